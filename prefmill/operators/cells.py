@@ -4,7 +4,7 @@ The graded negative preference is 1.2 on every unrated cell. It is never
 stored: with X the graded positive cells, c its column sums and S = X^T X,
 
     Y^T X [i, j]      = 1.2 c_j - S[i, j]
-    y_u (Y^T X) [j]   = 1.2 (n c_j 1.2 - s_j) - 1.2 c_j |x_u| + (x_u S)[j]
+    y_u (Y^T X) [j]   = 1.2 (n b_j - s_j) - b_j |x_u| + (x_u S)[j],   b_j = 1.2 c_j
 
 for n catalogue items, s_j the column sums of S and |x_u| the sum of x_u.
 """
@@ -42,12 +42,19 @@ def transpose(cells: DataFrame) -> DataFrame:
     return cells.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
 
 
-def item_gram(ratings: DataFrame) -> DataFrame:
-    """S = X^T X for graded X. Stars are multiplied as they are and divided by
-    25 at the end, which keeps the sums exact."""
-    whole = ratings.select(
+def star_cells(ratings: DataFrame) -> DataFrame:
+    return ratings.select(
         F.col("user_id").alias("row"), F.col("item_id").alias("col"), F.col("rating").alias("value"))
-    return gram(whole).withColumn("value", F.col("value") / 25)
+
+
+def star_gram(ratings: DataFrame) -> DataFrame:
+    """25 S: products of whole stars, whose sums are exact."""
+    return gram(star_cells(ratings))
+
+
+def item_gram(ratings: DataFrame) -> DataFrame:
+    """S = X^T X for graded X."""
+    return star_gram(ratings).withColumn("value", F.col("value") / 25)
 
 
 def binary_cross(ratings: DataFrame, threshold: float = 3) -> DataFrame:
@@ -76,11 +83,14 @@ def column_base(ratings: DataFrame) -> DataFrame:
     ).withColumn("base", F.col("c") * UNSEEN_DISLIKE)
 
 
-def graded_cross(s: DataFrame, base: DataFrame) -> DataFrame:
+def graded_cross(s: DataFrame, base: DataFrame, n_items: int) -> DataFrame:
     """Y^T X for graded preferences, whole but compact: one row per stored cell of
-    S, and per column one row with no ``row`` id standing for all other cells."""
+    S, and per column one row with no ``row`` id standing for all other of its
+    ``n_items`` cells (left out where there are none)."""
     stored = s.join(base, "col").select("row", "col", (F.col("base") - F.col("value")).alias("value"))
-    rest = base.select(F.lit(None).cast("long").alias("row"), "col", F.col("base").alias("value"))
+    filled = s.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
+    rest = base.join(filled, "col", "left").where(F.coalesce("n", F.lit(0)) < n_items).select(
+        F.lit(None).cast("long").alias("row"), "col", F.col("base").alias("value"))
     return stored.unionByName(rest)
 
 
@@ -89,12 +99,6 @@ def user_mass(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("user_id").agg((F.sum("rating") / 5).alias("mass"))
 
 
-def column_facts(s: DataFrame, base: DataFrame, names: dict[str, str]) -> DataFrame:
-    """``base`` plus column sums of the given value columns of ``s``."""
-    sums = s.groupBy("col").agg(*[F.sum(v).alias(n) for v, n in names.items()])
-    return base.join(sums, "col", "left").na.fill(0.0)
-
-
 def vstack(top: DataFrame, bottom: DataFrame, offset: int) -> DataFrame:
     """[top; bottom]: rows of ``bottom`` start at ``offset``. ``block`` tags the part."""
     return top.select("row", "col", "value", F.lit(1).alias("block")).unionByName(

@@ -78,9 +78,9 @@ def _each_group(batches, width):
             yield _split({n: c[at:end] for n, c in cols.items()}, width)
 
 
-def top_unseen(prefs: DataFrame, matrix: DataFrame, k: int, value: str = "value",
-               block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Top ``k`` items per user by ``X * M`` among items the user has not rated.
+def top_items(prefs: DataFrame, matrix: DataFrame, k: int, value: str = "value", hide_seen: bool = True,
+              block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Top ``k`` items per user by ``X * M``, by default among items not rated yet.
 
     ``prefs(user_id, item_id, value)`` lists every observed cell (value 0 where
     not positive). Only items with a positive score are ranked; ties go to the
@@ -91,7 +91,7 @@ def top_unseen(prefs: DataFrame, matrix: DataFrame, k: int, value: str = "value"
 
     def run(batches):
         for (u, i, (x,)), (r, c, (m,)), _ in _each_group(batches, 1):
-            for user, item, score in best_of_group(u, i, x, r, c, m, k):
+            for user, item, score in best_of_group(u, i, x, r, c, m, k, hide_seen):
                 yield pa.RecordBatch.from_pydict({"user_id": user, "item_id": item, "score": score})
 
     found = laid.mapInArrow(run, "user_id long, item_id long, score double")
@@ -104,8 +104,8 @@ def rank_per_user(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def best_of_group(u, i, x, r, c, m, k):
-    """Candidates of one group: every unseen cell scoring at least the k-th best."""
+def best_of_group(u, i, x, r, c, m, k, hide_seen):
+    """Candidates of one group: every allowed cell scoring at least the k-th best."""
     if len(u) == 0 or len(r) == 0:
         return
     users, ux = np.unique(u, return_inverse=True)
@@ -131,7 +131,7 @@ def best_of_group(u, i, x, r, c, m, k):
             ok = ix_ok[s]
             a[ux[s][ok] - h, ix[s][ok]] = x[s][ok]
             score = a @ dense
-            hide = seen_ok[s] & (seen_at[s] >= w) & (seen_at[s] < e)
+            hide = seen_ok[s] & (seen_at[s] >= w) & (seen_at[s] < e) & hide_seen
             score[ux[s][hide] - h, seen_at[s][hide] - w] = 0.0
             if score.shape[1] > k:
                 floor = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
