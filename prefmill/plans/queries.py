@@ -341,7 +341,8 @@ def matrix_histogram(spark, d):
 
 @query
 def pivot_ratings(spark, d):
-    return stats.pivot_ratings(ev(spark, d), list(range(100)))
+    r = freeze(ev(spark, d))
+    return stats.pivot_ratings(r, stats.bounded_ids(r, "item_id"))
 
 
 @query

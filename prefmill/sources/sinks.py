@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 def write_delimited(df: DataFrame, path: str, sep: str = "::", encoding: str = "UTF-8") -> None:
     """Fields joined by ``sep``, nulls as empty fields."""
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    df.select(F.concat_ws(sep, *fields).alias("value")).write.option("encoding", encoding).text(path)
+    lines = df.select(F.concat_ws(sep, *fields).alias("value"))
+    if encoding == "UTF-8":
+        lines.write.text(path)
+    else:  # the text sink knows no other encoding
+        lines.write.csv(path, sep="\x01", quote="", escapeQuotes=False, encoding=encoding)
 
 
 def write_table(df: DataFrame, path: str) -> None:
