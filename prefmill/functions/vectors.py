@@ -1,41 +1,51 @@
-"""Fixed-length vector arithmetic that stays inside generated code."""
+"""Fixed-length vector arithmetic that stays inside generated code.
 
-from __future__ import annotations
+Written as SQL text: one parse instead of many calls into the JVM. Small
+matrices enter as array literals, so plans of later rounds reuse compiled code.
+"""
 
-from functools import reduce
-from operator import add
+from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 
+def _array(terms) -> Column:
+    return F.expr(f"array({', '.join(terms)})")
+
+
 def dot(a: str, b: str, k: int) -> Column:
     """Inner product of two length-``k`` arrays, in double precision."""
-    terms = [F.col(a)[d].cast("double") * F.col(b)[d].cast("double") for d in range(k)]
-    return reduce(add, terms)
+    return F.expr(" + ".join(f"double({a}[{d}]) * double({b}[{d}])" for d in range(k)))
 
 
-def weighted_sum(weight: str | Column, vec: str, k: int) -> Column:
+def weighted_sum(weight: str, vec: str, k: int) -> Column:
     """Aggregate: element-wise sum of ``weight * vec`` as an array."""
-    w = F.col(weight) if isinstance(weight, str) else weight
-    return F.array(*[F.sum(w * F.col(vec)[d].cast("double")) for d in range(k)])
+    return _array(f"sum(double({weight}) * double({vec}[{d}]))" for d in range(k))
 
 
 def vec_sum(vec: str, k: int) -> Column:
-    return weighted_sum(F.lit(1.0), vec, k)
+    return weighted_sum("1", vec, k)
+
+
+def outer_sums(vec: str, k: int) -> Column:
+    """Aggregate: upper triangle of the summed outer products, row by row."""
+    return _array(f"sum(double({vec}[{a}]) * double({vec}[{b}]))" for a in range(k) for b in range(a, k))
+
+
+def literal(numbers) -> Column:
+    return F.lit([float(x) for x in numbers])
 
 
-def scaled(vec: str | Column, by: float) -> Column:
-    return F.transform(vec, lambda x: x * by)
+def times_matrix(vec: str, matrix: str, k: int) -> Column:
+    """Row vector times a k x k matrix held row by row in the array ``matrix``."""
+    return _array(
+        " + ".join(f"double({vec}[{e}]) * {matrix}[{e * k + d}]" for e in range(k)) for d in range(k))
 
 
-def times_matrix(vec: str, matrix) -> Column:
-    """Row vector times a small k x k matrix held as literals."""
-    k = len(matrix)
-    out = []
-    for d in range(len(matrix[0])):
-        out.append(reduce(add, [F.col(vec)[e].cast("double") * float(matrix[e][d]) for e in range(k)]))
-    return F.array(*out)
+def combine(template: str, k: int) -> Column:
+    """Array of ``template`` with ``{d}`` running over the positions."""
+    return _array(template.format(d=d) for d in range(k))
 
 
 def zeros(k: int) -> Column:
-    return F.array(*[F.lit(0.0) for _ in range(k)])
+    return F.lit([0.0] * k)

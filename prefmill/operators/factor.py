@@ -13,7 +13,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.prefs import UNSEEN_DISLIKE
-from ..functions.vectors import dot, vec_sum, weighted_sum, zeros
+from ..functions.vectors import combine, dot, literal, outer_sums, times_matrix, vec_sum, weighted_sum, zeros
 from ..session import shared_dir, task_count
 from .scale import Span
 
@@ -71,9 +71,8 @@ def user_vectors(prefs: DataFrame, factors: DataFrame, k: int, value: str = "x")
 def dislike_vectors(user_vecs: DataFrame, factors: DataFrame, k: int) -> DataFrame:
     """Rows of Y U for the graded dense Y: 1.2 times the factor sum, less X U."""
     total = factors.agg(vec_sum("features", k).alias("t")).first()["t"]
-    return user_vecs.select(
-        "user_id", F.array(*[F.lit(UNSEEN_DISLIKE * total[d]) - F.col("features")[d] for d in range(k)])
-        .alias("features"))
+    return user_vecs.withColumn("_t", literal(UNSEEN_DISLIKE * x for x in total)).select(
+        "user_id", combine("_t[{d}] - features[{d}]", k).alias("features"))
 
 
 def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -85,13 +84,10 @@ def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame, k: int) ->
 
 def factor_gram(factors: DataFrame, k: int) -> np.ndarray:
     """U^T U: k x k numbers, the only factor-derived values held on the driver."""
-    cell = {(a, b): F.sum(F.col("features")[a].cast("double") * F.col("features")[b].cast("double"))
-            for a in range(k) for b in range(a, k)}
-    row = factors.agg(*[c.alias(f"g{a}_{b}") for (a, b), c in cell.items()]).first()
+    sums = factors.agg(outer_sums("features", k).alias("g")).first()["g"]
     g = np.zeros((k, k))
-    for a, b in cell:
-        g[a, b] = g[b, a] = row[f"g{a}_{b}"] or 0.0
-    return g
+    g[np.triu_indices(k)] = [x or 0.0 for x in sums]
+    return g + np.triu(g, 1).T
 
 
 def matrix_rank(rows: DataFrame, cols: DataFrame, k: int) -> int:
@@ -101,11 +97,8 @@ def matrix_rank(rows: DataFrame, cols: DataFrame, k: int) -> int:
 
 def similarity_of_pairs(pairs: DataFrame, rows: DataFrame, cols: DataFrame, k: int) -> DataFrame:
     """Cells of R^T R for R = U V^T at ``pairs(row, col)``: v_i (U^T U) v_j."""
-    g = factor_gram(rows, k)
-    turned = F.array(*[
-        sum((F.col("features")[a].cast("double") * float(g[a][b]) for a in range(k)), F.lit(0.0))
-        for b in range(k)])
-    left = cols.select(F.col("id").alias("row"), turned.alias("_a"))
+    g = literal(factor_gram(rows, k).ravel())
+    left = cols.withColumn("_g", g).select(F.col("id").alias("row"), times_matrix("features", "_g", k).alias("_a"))
     right = cols.select(F.col("id").alias("col"), F.col("features").alias("_b"))
     return pairs.join(left, "row").join(right, "col").select("row", "col", dot("_a", "_b", k).alias("value"))
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.vectors import dot, vec_sum, weighted_sum
+from ..functions.vectors import combine, dot, literal, times_matrix, vec_sum, weighted_sum
 from ..session import freeze
 from .factor import factor_gram
 
@@ -33,22 +33,19 @@ class Nmf:
 def _start(ids: DataFrame, k: int, seed: int, scale: float) -> DataFrame:
     """Seeded positive start that depends on the id only."""
     step = 1 << 20
-    draw = [
-        (F.pmod(F.xxhash64("id", F.lit(d), F.lit(seed)), F.lit(step)) + 1) / step * scale for d in range(k)
-    ]
-    return ids.select("id", F.array(*draw).alias("features"))
+    draw = f"(pmod(xxhash64(id, {{d}}, {seed}), {step}) + 1) / {step}D * {scale!r}D"
+    return ids.select("id", combine(draw, k).alias("features"))
 
 
 def _updated(old: DataFrame, numer: DataFrame, gram: np.ndarray, k: int, shift=None) -> DataFrame:
-    """``old * (numer + shift) / (old gram)``; ``shift(d)`` is a column or nothing."""
-    def part(d):
-        top = F.coalesce(F.col("num")[d], F.lit(0.0))
-        if shift is not None:
-            top = top + shift(d)
-        low = sum((F.col("features")[e] * float(gram[e][d]) for e in range(k)), F.lit(TINY))
-        return F.col("features")[d] * F.greatest(top, F.lit(0.0)) / low
-    return old.join(numer, "id", "left").withColumn("features", F.array(*[part(d) for d in range(k)])).select(
-        "id", "features")
+    """``old * (numer + shift) / (old gram)``; numerators below 0 by rounding count as 0."""
+    joined = (
+        old.join(numer, "id", "left").withColumn("_g", literal(gram.ravel()))
+        .withColumn("_s", literal(shift if shift is not None else [0.0] * k))
+    )
+    turned = joined.withColumn("_low", times_matrix("features", "_g", k))
+    step = "features[{d}] * greatest(coalesce(num[{d}], 0D) + _s[{d}], 0D) / (_low[{d}] + " + f"{TINY}D)"
+    return turned.select("id", combine(step, k).alias("features"))
 
 
 def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame | None = None,
@@ -80,8 +77,7 @@ def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame
     def base_times_h():
         if base is None:
             return None
-        t = base.join(h, "id").agg(weighted_sum("base", "features", k).alias("t")).first()["t"]
-        return lambda d: F.lit(float(t[d]))
+        return base.join(h, "id").agg(weighted_sum("base", "features", k).alias("t")).first()["t"]
 
     for _ in range(iters):
         num = cells.join(h.withColumnRenamed("id", "col"), "col").groupBy(F.col("row").alias("id")).agg(
@@ -95,9 +91,8 @@ def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame
             new_h = _updated(h, num, gram_w, k)
         else:
             mass = w.agg(vec_sum("features", k).alias("t")).first()["t"]
-            whole = base.join(num, "id", "left").select("id", F.array(*[
-                F.coalesce(F.col("num")[d], F.lit(0.0)) + F.col("base") * float(mass[d]) for d in range(k)
-            ]).alias("num"))
+            whole = base.join(num, "id", "left").withColumn("_m", literal(mass)).select(
+                "id", combine("coalesce(num[{d}], 0D) + base * _m[{d}]", k).alias("num"))
             new_h = _updated(h, whole, gram_w, k)
         # sum of T * (W H) over all cells, from the numerator just used
         gained = num if base is None else whole

@@ -7,8 +7,9 @@ by range, freeze that layout, and add one offset per partition.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -37,66 +38,63 @@ def rank_cuts(df: DataFrame, cols: list[str], positions, fanout: int = FANOUT) -
     """
     keys = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = keys.count()
+        whole = keys.agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols],
+        ).first()
+        n = whole["n"]
         wanted = positions(n) if callable(positions) else positions
-        states = [{"key": (), "left": int(p), "open": 0 < p < n} for p in wanted]
-        for state, p in zip(states, wanted):
-            if not state["open"]:
-                state["edge"] = "low" if p <= 0 else "high"
+        cuts = ["low" if p <= 0 else "high" if p >= n else _Cut(int(p)) for p in wanted]
         for depth, name in enumerate(cols):
-            live = [s for s in states if s["open"]]
-            if not live:
-                break
-            _descend(keys, cols[:depth], name, live, fanout)
-        return n, [s["key"] if "edge" not in s else s["edge"] for s in states]
+            for c in cuts:
+                if isinstance(c, _Cut) and c.left:
+                    c.low, c.high = whole[f"lo_{name}"], whole[f"hi_{name}"]
+            while _narrow(keys, cols[:depth], name, [c for c in cuts if isinstance(c, _Cut)], fanout):
+                pass
+            for c in cuts:
+                if isinstance(c, _Cut) and len(c.key) == depth and (c.left or c.low is not None):
+                    c.key, c.low = c.key + (c.low,), None
+        return n, [c.key if isinstance(c, _Cut) else c for c in cuts]
     finally:
         keys.unpersist()
 
 
-def _descend(keys, prefix_cols, name, live, fanout):
-    """Fix the value of one more column for every open state."""
-    col = F.col(name)
+@dataclass
+class _Cut:
+    """A cut being narrowed: ``left`` rows of the current range lie before it."""
 
-    def inside(state):
-        conds = [F.col(c) == v for c, v in zip(prefix_cols, state["key"])]
-        return reduce(lambda a, b: a & b, conds, F.lit(True))
+    left: int
+    key: tuple = ()
+    low: int | None = None
+    high: int | None = None
 
-    bounds = keys.agg(
-        *[F.min(F.when(inside(s), col)).alias(f"lo{i}") for i, s in enumerate(live)],
-        *[F.max(F.when(inside(s), col)).alias(f"hi{i}") for i, s in enumerate(live)],
-    ).first()
-    for i, s in enumerate(live):
-        s["lo"], s["hi"] = bounds[f"lo{i}"], bounds[f"hi{i}"]
-    while True:
-        wide = [(i, s) for i, s in enumerate(live) if s["lo"] < s["hi"]]
-        if not wide:
-            break
-        picks, tests = [], []
-        for i, s in wide:
-            s["width"] = -(-(s["hi"] - s["lo"] + 1) // fanout)
-            hit = inside(s) & col.between(s["lo"], s["hi"])
-            bucket = F.floor((col - s["lo"]) / s["width"]).cast("long")
-            tests.append(hit)
-            picks.append(F.when(hit, F.struct(F.lit(i).alias("s"), bucket.alias("b"))))
-        counted = (
-            keys.where(reduce(or_, tests))
-            .select(F.explode(F.array(*picks)).alias("p"))
-            .where("p IS NOT NULL")
-            .groupBy("p.s", "p.b")
-            .count()
-            .collect()
-        )
-        for i, s in wide:
-            rows = sorted((r["b"], r["count"]) for r in counted if r["s"] == i)
-            for b, c in rows:
-                if s["left"] < c:
-                    s["lo"] = s["lo"] + b * s["width"]
-                    s["hi"] = min(s["hi"], s["lo"] + s["width"] - 1)
-                    break
-                s["left"] -= c
-    for s in live:
-        s["key"] += (s["lo"],)
-        s["open"] = s["left"] > 0
+
+def _narrow(keys, prefix_cols, name, cuts, fanout) -> bool:
+    """Count each open range in ``fanout`` buckets and keep the one holding the cut."""
+    col = F.col(name)
+    wide = [c for c in cuts if c.left and len(c.key) == len(prefix_cols) and c.low < c.high]
+    if not wide:
+        return False
+    tests, picks = [], []
+    for i, c in enumerate(wide):
+        width = -(-(c.high - c.low + 1) // fanout)
+        hit = reduce(and_, [F.col(p) == v for p, v in zip(prefix_cols, c.key)], col.between(c.low, c.high))
+        bucket = F.floor((col - c.low) / width).cast("long")
+        tests.append(hit)
+        picks.append(F.when(hit, F.struct(F.lit(i).alias("cut"), bucket.alias("bucket"))))
+    counted = (
+        keys.where(reduce(or_, tests)).select(F.explode(F.array(*picks)).alias("p")).where("p IS NOT NULL")
+        .groupBy("p.cut", "p.bucket").count().collect()
+    )
+    for i, c in enumerate(wide):
+        width = -(-(c.high - c.low + 1) // fanout)
+        for bucket, rows in sorted((r["bucket"], r["count"]) for r in counted if r["cut"] == i):
+            if c.left < rows:
+                c.low += bucket * width
+                c.high = min(c.high, c.low + width - 1)
+                break
+            c.left -= rows
+    return True
 
 
 def is_before(cols: list[str], cut) -> Column:

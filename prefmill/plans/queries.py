@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import prefs as P
+from ..functions.vectors import combine
 from ..operators import (
     bias, cells as C, clean, diversity, factor, graph, metrics, nmf, ordering, pairmodel, points, product,
     recommend, scale, score, search, similar, splits, stats, twosided,
@@ -610,8 +611,7 @@ def _score_two_sided_model(model, k, train, test, offset, beta=0.2):
     lower = factor.user_vectors(
         prefs.where("y = 1"), rows.where(F.col("id") >= offset).withColumn("id", F.col("id") - offset), k, "y")
     users = upper.join(lower.withColumnRenamed("features", "neg"), "user_id", "left").select(
-        "user_id", F.array(*[F.col("features")[i] + beta * F.coalesce(F.col("neg")[i], F.lit(0.0)) for i in range(k)])
-        .alias("features"))
+        "user_id", combine("features[{d}] + %r * coalesce(neg[{d}], 0D)" % beta, k).alias("features"))
     return factor.score_pairs(test.select("user_id", "item_id"), users, cols, k)
 
 

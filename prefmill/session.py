@@ -45,18 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, grouped by application."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/scratch-{app}/{name}-{uuid.uuid4().hex}"
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there.
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    Used where a result feeds several later steps, or where row placement must
-    not change if a lost executor makes Spark run a stage again.
+    Used where a result feeds several later steps, where a loop would let the
+    plan grow, or where row placement must not change if a lost executor makes
+    Spark run a stage again. Later steps read only the columns they need, and
+    their joins are planned with the table's true size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def task_count(spark: SparkSession) -> int:
