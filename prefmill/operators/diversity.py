@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .ordering import value_at
+from .scale import Span
 from .score import list_similarities, score_cells
 
 
@@ -39,19 +40,60 @@ def pair_distances(lists: DataFrame, sims: DataFrame) -> DataFrame:
         "user_id", F.col("col.ids").alias("item_a"), "item_b", (1 - F.col("col.sims")).alias("distance"))
 
 
-def rerank(lists: DataFrame, sims: DataFrame, n: int = 10) -> DataFrame:
+def packed_by_cells(lists: DataFrame, sims: DataFrame) -> DataFrame:
+    """Per user: list items in rank order and their similarities, column by column."""
+    return list_similarities(lists, sims).groupBy("user_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "item_id", "sims"))).alias("list")
+    ).select(
+        "user_id", F.transform("list", lambda s: s["item_id"]).alias("ids"),
+        F.flatten(F.transform("list", lambda s: s["sims"])).alias("flat"))
+
+
+def packed_by_factors(lists: DataFrame, rows: DataFrame, cols: DataFrame, span: Span) -> DataFrame:
+    """The same for similarities given as inner products of two item factor tables,
+    scaled over positive cells by ``span``."""
+    a = rows.select(F.col("id").alias("item_id"), F.col("features").cast("array<double>").alias("a"))
+    b = cols.select(F.col("id").alias("item_id"), F.col("features").cast("array<double>").alias("b"))
+    sides = lists.join(a, "item_id").join(b, "item_id").groupBy("user_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "item_id", "a", "b"))).alias("list"))
+    packed = sides.select(
+        "user_id", F.transform("list", lambda s: s["item_id"]).alias("ids"),
+        F.flatten(F.transform("list", lambda s: s["a"])).alias("a"),
+        F.flatten(F.transform("list", lambda s: s["b"])).alias("b"))
+    low, width = span.low, span.high - span.low
+
+    def multiply(batches):
+        for pdf in batches:
+            flats = []
+            for ids, x, y in zip(pdf["ids"], pdf["a"], pdf["b"]):
+                m = np.asarray(y).reshape(len(ids), -1) @ np.asarray(x).reshape(len(ids), -1).T
+                flats.append(np.where(m > 0, (m - low) / width if width > 0 else 1.0, 0.0).ravel())
+            yield pd.DataFrame({"user_id": pdf["user_id"], "ids": pdf["ids"], "flat": flats})
+
+    return packed.mapInPandas(multiply, "user_id long, ids array<long>, flat array<double>")
+
+
+def mean_distance(packed: DataFrame) -> DataFrame:
+    """Mean distance over each list's pairs, better ranked item first."""
+    def measure(batches):
+        for pdf in batches:
+            out = []
+            for ids, flat in zip(pdf["ids"], pdf["flat"]):
+                far = 1.0 - np.asarray(flat).reshape(len(ids), len(ids)).T
+                pairs = far[np.triu_indices(len(ids), 1)]
+                out.append(float(pairs.mean()) if len(pairs) else None)
+            yield pd.DataFrame({"user_id": pdf["user_id"], "diversity": out})
+
+    return packed.mapInPandas(measure, "user_id long, diversity double").where("diversity IS NOT NULL")
+
+
+def rerank(packed: DataFrame, n: int = 10) -> DataFrame:
     """Greedy diverse re-ranking of each list.
 
     Starts with the best item and repeatedly adds the candidate with the largest
     mean distance to those chosen (the better ranked one on ties). Returns the
     chosen items in order and the mean distance over their pairs.
     """
-    packed = list_similarities(lists, sims).groupBy("user_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "item_id", "sims"))).alias("list")
-    ).select(
-        "user_id", F.transform("list", lambda s: s["item_id"]).alias("ids"),
-        F.flatten(F.transform("list", lambda s: s["sims"])).alias("flat"))
-
     def choose(batches):
         for pdf in batches:
             picks = [greedy(np.asarray(i), np.asarray(f), n) for i, f in zip(pdf["ids"], pdf["flat"])]
@@ -64,7 +106,7 @@ def rerank(lists: DataFrame, sims: DataFrame, n: int = 10) -> DataFrame:
 def greedy(ids, flat_sims, n):
     """Chosen ids and their mean pairwise distance, for one list."""
     size = len(ids)
-    far = 1.0 - flat_sims.reshape(size, size)
+    far = 1.0 - flat_sims.reshape(size, size).T
     chosen, total = [0], far[0].copy()
     while len(chosen) < min(n, size):
         reach = np.round(total, 12)
@@ -82,7 +124,6 @@ def summary(per_user: DataFrame, value: str = "diversity") -> DataFrame:
 
     One row. The positions are found by distributed counting.
     """
-    spark = per_user.sparkSession
     n, (half, quarter) = value_at(per_user, value, lambda n: [n // 2, n // 4])
     return per_user.agg(
         F.avg(value).alias("mean"), F.lit(half).alias("median"), F.lit(quarter).alias("quarter"),

@@ -95,10 +95,15 @@ def matrix_rank(rows: DataFrame, cols: DataFrame, k: int) -> int:
     return int(np.linalg.matrix_rank(factor_gram(rows, k) @ factor_gram(cols, k)))
 
 
-def similarity_of_pairs(pairs: DataFrame, rows: DataFrame, cols: DataFrame, k: int) -> DataFrame:
-    """Cells of R^T R for R = U V^T at ``pairs(row, col)``: v_i (U^T U) v_j."""
+def turned(rows: DataFrame, cols: DataFrame, k: int) -> DataFrame:
+    """Item vectors v (U^T U): their inner products with V are the cells of R^T R, R = U V^T."""
     g = literal(factor_gram(rows, k).ravel())
-    left = cols.withColumn("_g", g).select(F.col("id").alias("row"), times_matrix("features", "_g", k).alias("_a"))
+    return cols.withColumn("_g", g).select("id", times_matrix("features", "_g", k).alias("features"))
+
+
+def similarity_of_pairs(pairs: DataFrame, rows: DataFrame, cols: DataFrame, k: int) -> DataFrame:
+    """Cells of R^T R for R = U V^T at ``pairs(row, col)``."""
+    left = turned(rows, cols, k).withColumnsRenamed({"id": "row", "features": "_a"})
     right = cols.select(F.col("id").alias("col"), F.col("features").alias("_b"))
     return pairs.join(left, "row").join(right, "col").select("row", "col", dot("_a", "_b", k).alias("value"))
 

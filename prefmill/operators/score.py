@@ -60,7 +60,7 @@ def _groups(prefs, matrix, targets, values, blocks, tiles):
         ))
     n = task_count(prefs.sparkSession)
     return both.repartition(max(n, min(blocks * tiles, 16 * n)), "block", "tile").sortWithinPartitions(
-        "block", "tile", "side", "a")
+        "block", "tile", "side", "a", "b")
 
 
 def _split(cols, width):
@@ -79,19 +79,23 @@ def _each_group(batches, width):
 
 
 def top_items(prefs: DataFrame, matrix: DataFrame, k: int, value: str = "value", hide_seen: bool = True,
-              block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+              seen: DataFrame | None = None, positive: bool = True, block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Top ``k`` items per user by ``X * M``, by default among items not rated yet.
 
     ``prefs(user_id, item_id, value)`` lists every observed cell (value 0 where
-    not positive). Only items with a positive score are ranked; ties go to the
-    larger item id.
+    not positive); ``seen(user_id, item_id)`` is to be given where it does not.
+    Items scoring above 0 are ranked, or all of them without ``positive``; ties
+    go to the larger item id.
     """
     blocks, tiles = _grid(prefs, matrix, block_rows, tile_rows)
-    laid = _groups(prefs, matrix, None, [value], blocks, tiles)
+    laid = _groups(prefs, matrix, seen, [value], blocks, tiles)
+    floor = 0.0 if positive else -np.inf
+    by_prefs = hide_seen and seen is None
 
     def run(batches):
-        for (u, i, (x,)), (r, c, (m,)), _ in _each_group(batches, 1):
-            for user, item, score in best_of_group(u, i, x, r, c, m, k, hide_seen):
+        for (u, i, (x,)), (r, c, (m,)), (su, si, _) in _each_group(batches, 1):
+            hidden = (u, i) if by_prefs else (su, si)
+            for user, item, score in best_of_group(u, i, x, r, c, m, k, hidden, floor):
                 yield pa.RecordBatch.from_pydict({"user_id": user, "item_id": item, "score": score})
 
     found = laid.mapInArrow(run, "user_id long, item_id long, score double")
@@ -104,17 +108,25 @@ def rank_per_user(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def best_of_group(u, i, x, r, c, m, k, hide_seen):
+def _where(ids, wanted):
+    """Positions of ``wanted`` in the sorted ``ids``, and which are there."""
+    at = np.searchsorted(ids, wanted)
+    return at, (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == wanted)
+
+
+def best_of_group(u, i, x, r, c, m, k, hidden, floor):
     """Candidates of one group: every allowed cell scoring at least the k-th best."""
     if len(u) == 0 or len(r) == 0:
         return
     users, ux = np.unique(u, return_inverse=True)
     items, rx = np.unique(r, return_inverse=True)
     cols, cx = np.unique(c, return_inverse=True)
-    ix = np.searchsorted(items, i)
-    ix_ok = (ix < len(items)) & (items[np.minimum(ix, len(items) - 1)] == i)
-    seen_at = np.searchsorted(cols, i)
-    seen_ok = (seen_at < len(cols)) & (cols[np.minimum(seen_at, len(cols) - 1)] == i)
+    ix, ix_ok = _where(items, i)
+    hu, hu_ok = _where(users, hidden[0])
+    hc, hc_ok = _where(cols, hidden[1])
+    hu, hc = hu[hu_ok & hc_ok], hc[hu_ok & hc_ok]
+    by_user = np.argsort(hu, kind="stable")
+    hu, hc = hu[by_user], hc[by_user]
     order = np.argsort(cx, kind="stable")
     rx, cx, m = rx[order], cx[order], m[order]
     width = max(1, min(len(cols), DENSE // len(items)))
@@ -131,17 +143,27 @@ def best_of_group(u, i, x, r, c, m, k, hide_seen):
             ok = ix_ok[s]
             a[ux[s][ok] - h, ix[s][ok]] = x[s][ok]
             score = a @ dense
-            hide = seen_ok[s] & (seen_at[s] >= w) & (seen_at[s] < e) & hide_seen
-            score[ux[s][hide] - h, seen_at[s][hide] - w] = 0.0
+            s = slice(*np.searchsorted(hu, (h, t)))
+            here = (hc[s] >= w) & (hc[s] < e)
+            score[hu[s][here] - h, hc[s][here] - w] = -np.inf
+            least = floor
             if score.shape[1] > k:
-                floor = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
-            else:
-                floor = 0.0
-            p, q = np.nonzero((score > 0) & (score >= floor))
+                least = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
+            p, q = np.nonzero((score > floor) & (score >= least))
             if len(p):
                 yield users[h + p], cols[w + q], score[p, q]
 
 
+def top_by_factors(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None,
+                   positive: bool = False) -> DataFrame:
+    """Top ``k`` items per user by U V^T, the factor vectors spelled out as cells."""
+    prefs = users.select("user_id", F.posexplode("features").alias("item_id", "value"))
+    matrix = items.select(F.col("id").alias("col"), F.posexplode("features").alias("row", "value"))
+    long = F.col("item_id").cast("long")
+    return top_items(prefs.withColumn("item_id", long), matrix.withColumn("row", F.col("row").cast("long")), k,
+                     hide_seen=seen is not None, seen=seen, positive=positive)
+
+
 def score_cells(prefs: DataFrame, matrix: DataFrame, targets: DataFrame, values: list[str] = ("value",),
                 names: list[str] = ("score",), block_rows: int = BLOCK_ROWS,
                 tile_rows: int = TILE_ROWS) -> DataFrame:

@@ -1 +1,293 @@
-"""Named jobs."""
+"""Named jobs: whole experiments from ratings to a report ``(metric, value)``.
+
+Each is a function of rating tables and settings; the registered forms run it
+on the derived ratings with a small grid.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions.prefs import sentiment
+from ..operators import (
+    bias, cells as C, clean, diversity, factor, metrics, nmf, pairmodel, recommend, scale, score, search, similar,
+    splits, stats, twosided,
+)
+from ..session import freeze, scratch_path
+from ..sources import blocks, sinks, tables, text
+from . import queries as Q
+from .queries import query
+
+
+def report(spark, **numbers) -> DataFrame:
+    return spark.createDataFrame([(k, float(v)) for k, v in numbers.items()], "metric string, value double")
+
+
+def auc(scored: DataFrame, truth: DataFrame) -> float:
+    return metrics.roc_auc(metrics.labelled(scored, truth)).first()["auc"]
+
+
+def best_row(found: DataFrame):
+    return found.where("best").first()
+
+
+def mean_of(per_user: DataFrame) -> float:
+    return per_user.agg(F.avg("diversity")).first()[0]
+
+
+def als_tutorial(spark, ratings, items, user_id, unit=1, ranks=(8, 12), regs=(0.1, 10.0), iters=(10, 20)):
+    """Grid of ALS on ratings by validation RMSE; test RMSE against the mean."""
+    r = freeze(splits.by_digit3(ratings, unit=unit))
+    train, valid, test = (r.where(F.col("role") == x) for x in ("train", "validation", "test"))
+    n_valid, n_test = valid.count(), test.count()
+
+    def error(model, rows, n):
+        return metrics.errors(factor.predict(model, rows), n_all=n).first()["rmse_all"]
+
+    found = search.search(spark, search.grid(rank=ranks, reg=regs, iters=iters),
+                          lambda rank, reg, iters: error(factor.fit_ratings(train, rank, iters, reg), valid, n_valid),
+                          largest=False)
+    b = best_row(found)
+    model = factor.fit_ratings(train, b["rank"], b["iters"], b["reg"])
+    test_rmse = error(model, test, n_test)
+    base = metrics.mean_baseline(train, valid, test).first()["baseline_rmse"]
+    listed = recommend.recommend_by_model(model, items, train, user_id, 50).count()
+    return report(spark, best_rank=b["rank"], best_reg=b["reg"], best_iters=b["iters"], validation_rmse=b["metric"],
+                  test_rmse=test_rmse, baseline_rmse=base, improvement_pct=(base - test_rmse) / base * 100,
+                  recommended=listed)
+
+
+def _split3(ratings):
+    r = freeze(splits.by_time(freeze(ratings), 0.6, 0.8))
+    return tuple(r.where(F.col("role") == x).drop("role") for x in ("train", "validation", "test"))
+
+
+def _pairs(rows):
+    return rows.select("user_id", "item_id")
+
+
+def item_gram(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,), nmf_iters=4):
+    """Factors of X^T X by ALS and by NMF: AUC, and diversity after re-ranking."""
+    train, valid, test = _split3(ratings)
+    s = freeze(scale.minmax_positive(freeze(C.item_gram(train))))
+    kept = freeze(scale.sparsify(scale.zero_below(s, 0.1), 1e-2))
+    prefs = freeze(C.graded(train))
+
+    def als_scores(rank, reg, iters, rows):
+        model = factor.als_fit(kept, rank, iters, reg)
+        users = factor.user_vectors(prefs, factor.row_factors(model), rank)
+        return factor.score_pairs(_pairs(rows), users, factor.col_factors(model), rank)
+
+    b = best_row(search.search(spark, search.grid(rank=ranks, reg=regs, iters=iters),
+                               lambda **g: auc(als_scores(**g, rows=valid), valid)))
+    rank = b["rank"]
+    m = nmf.nmf_fit(s, rank, nmf_iters)
+    users = freeze(factor.user_vectors(prefs, m.rows, rank))
+    lists = freeze(score.top_by_factors(users, m.cols, 50, seen=_pairs(train)))
+    packed = diversity.packed_by_factors(lists, m.rows, m.cols, factor.product_span(m.rows, m.cols))
+    return report(spark, best_rank=rank, validation_auc=b["metric"],
+                  als_test_auc=auc(als_scores(rank, b["reg"], b["iters"], test), test),
+                  nmf_test_auc=auc(factor.score_pairs(_pairs(test), users, m.cols, rank), test),
+                  reranked_diversity=mean_of(diversity.rerank(packed)))
+
+
+def preferences(spark, ratings, ranks=(8,), regs=(0.1,), iters=(10,), nmf_iters=4):
+    """Factors of X itself by ALS and by NMF: AUC, and diversity of unseen lists."""
+    train, valid, test = _split3(ratings)
+    b = best_row(search.search(
+        spark, search.grid(rank=ranks, reg=regs, iters=iters),
+        lambda rank, reg, iters: auc(factor.predict(Q._pref_model(train, rank, iters, reg), _pairs(valid)), valid)))
+    rank = b["rank"]
+    als_auc = auc(factor.predict(Q._pref_model(train, rank, b["iters"], b["reg"]), _pairs(test)), test)
+    m = nmf.nmf_fit(freeze(C.as_cells(C.graded(train), "x")), rank, nmf_iters)
+    users = m.rows.withColumnRenamed("id", "user_id")
+    lists = freeze(score.top_by_factors(users, m.cols, 50, seen=_pairs(train)))
+    sims = freeze(factor.turned(m.rows, m.cols, rank))
+    packed = diversity.packed_by_factors(lists, sims, m.cols, factor.product_span(sims, m.cols))
+    return report(spark, best_rank=rank, validation_auc=b["metric"], als_test_auc=als_auc,
+                  nmf_test_auc=auc(factor.score_pairs(_pairs(test), users, m.cols, rank), test),
+                  diversity=mean_of(diversity.mean_distance(packed)))
+
+
+def two_sided(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,)):
+    """[X^T X; Y^T X]: exact scores and ALS factors, AUC and diversity of unseen lists."""
+    train, valid, test = _split3(ratings)
+    n_items = ratings.select("item_id").distinct().count()
+    offset = C.id_bound(ratings, "item_id")
+    t = freeze(Q._two_sided_cells(train, offset))
+
+    def scores(rank, reg, iters, rows):
+        return Q._score_two_sided_model(factor.als_fit(t, rank, iters, reg), rank, train, rows, offset)
+
+    b = best_row(search.search(spark, search.grid(rank=ranks, reg=regs, iters=iters),
+                               lambda **g: auc(scores(**g, rows=valid), valid)))
+    m = twosided.build(train, n_items)
+    lists = freeze(score.top_items(Q.stars(train), m.s, 50))
+    div = freeze(diversity.list_diversity(lists, scale.minmax_positive(m.s)))
+    d = diversity.summary(div).first()
+    return report(spark, best_rank=b["rank"], validation_auc=b["metric"],
+                  als_test_auc=auc(scores(b["rank"], b["reg"], b["iters"], test), test),
+                  exact_test_auc=auc(twosided.scores(m, train, test), test),
+                  diversity=d["mean"], diversity_median=d["median"], diversity_quarter=d["quarter"])
+
+
+def left_half(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,)):
+    """ALS on [X, Y], scored on the left half."""
+    train, valid, test = _split3(ratings)
+    offset = C.id_bound(ratings, "item_id")
+
+    def scores(rank, reg, iters, rows):
+        return factor.predict(Q._left_half_model(train, offset, rank, iters, reg), _pairs(rows))
+
+    b = best_row(search.search(spark, search.grid(rank=ranks, reg=regs, iters=iters),
+                               lambda **g: auc(scores(**g, rows=valid), valid)))
+    return report(spark, best_rank=b["rank"], validation_auc=b["metric"],
+                  test_auc=auc(scores(b["rank"], b["reg"], b["iters"], test), test))
+
+
+def neg_blend(spark, ratings, rank=16, reg=0.1, iters=10, nmf_iters=4):
+    """[X, Y Y^T X] side by side by ALS (halves blended 1, -0.5) and one above
+    the other by NMF (blended 1, +0.5)."""
+    train, _, test = _split3(ratings)
+    offset = C.id_bound(ratings, "item_id")
+    model = Q._neg_blend_model(train, offset, rank, iters, reg)
+    als_auc = auc(Q._score_neg_blend(model, rank, test, offset), test)
+    below = C.id_bound(ratings, "user_id")
+    far = freeze(C.binary_propagation(train))
+    tall = C.vstack(scale.minmax_positive(C.as_cells(C.graded(train), "x")), scale.minmax_positive(far), below)
+    m = nmf.nmf_fit(freeze(tall.where("value > 0")), rank, nmf_iters)
+    upper = freeze(m.rows.where(F.col("id") < below).withColumnRenamed("id", "user_id"))
+    lower = freeze(m.rows.where(F.col("id") >= below).select((F.col("id") - below).alias("user_id"), "features"))
+    near, off = (
+        scale.minmax_positive(factor.score_pairs(_pairs(test), half, m.cols, rank), "score",
+                              factor.product_span(half.withColumnRenamed("user_id", "id"), m.cols))
+        for half in (upper, lower))
+    blended = near.join(off.withColumnRenamed("score", "off"), ["user_id", "item_id"], "left").select(
+        "user_id", "item_id", (F.col("score") + 0.5 * F.coalesce("off", F.lit(0.0))).alias("score"))
+    return report(spark, als_test_auc=als_auc, nmf_test_auc=auc(blended, test))
+
+
+def pair_model(spark, ratings, k=4, nmf_iters=3, hidden=32, iters=15):
+    """Two-sided embeddings and the neural pair model: AUC on the last rows."""
+    train, valid, test = _split3(ratings)
+    emb = Q._embeddings(train, ratings, k, nmf_iters)
+    emb = pairmodel.Embeddings(freeze(emb.users), freeze(emb.items))
+    model = pairmodel.fit_pair_model(train, emb, k, hidden, iters)
+    both = [auc(pairmodel.score_with(model, _pairs(x), emb), x) for x in (valid, test)]
+    return report(spark, validation_auc=both[0], test_auc=both[1])
+
+
+def block_files(spark, path):
+    """Block files: read, trim, random split, then the three exact scorers."""
+    r = blocks.read_blocks(spark, path).select(
+        "user_id", "item_id", "rating", (F.date_diff(F.to_date("date"), F.to_date(F.lit("1970-01-01"))).cast("long") * Q.DAY).alias("ts"))
+    raw = freeze(r)
+    kept = freeze(splits.by_hash(clean.trim_by_activity(raw), ["user_id", "item_id"]))
+    train, test = (kept.where(F.col("role") == x).drop("role") for x in ("train", "test"))
+    n_items = kept.select("item_id").distinct().count()
+    m = twosided.build(train, n_items)
+    by_s = score.score_cells(Q.stars(train), m.s, _pairs(test))
+    pref = factor.predict(Q._pref_model(train, 8, 5, 0.1), _pairs(test))
+    return report(spark, n_read=raw.count(), n_kept=kept.count(), n_items=n_items,
+                  gram_auc=auc(by_s, test), two_sided_auc=auc(twosided.scores(m, train, test), test),
+                  preference_auc=auc(pref, test))
+
+
+def explore(spark, ratings, items, user_id, item_id):
+    """Statistics, trimming, cross-validated biased factors, similar titles."""
+    ratings = freeze(ratings)
+    s = stats.dataset_stats(ratings).first()
+    kept = freeze(clean.trim_by_activity(ratings))
+    folds = freeze(splits.hash_folds(kept, 3))
+    errs = []
+    for f in range(3):
+        model = bias.fit_biased(folds.where(F.col("fold") != f), rank=4, iters=3)
+        errs.append(metrics.errors(bias.predict_biased(model, folds.where(F.col("fold") == f))).first())
+    liked = recommend.favourites(kept, items, user_id).count()
+    alike = similar.similar_titles(kept, items, item_id).count()
+    return report(spark, n_ratings=s["n_ratings"], n_users=s["n_users"], n_items=s["n_items"], n_kept=kept.count(),
+                  cv_rmse=sum(e["rmse"] for e in errs) / 3, cv_mae=sum(e["mae"] for e in errs) / 3,
+                  favourites=liked, similar=alike)
+
+
+def cell_products(spark, ratings, rank=8, reg=0.1, iters=5, unit=1):
+    """Binary [X^T X; Y^T X] as distributed cells, its shape, and ALS on it."""
+    r = freeze(splits.by_digit3(ratings, unit=unit))
+    train, test = (r.where(F.col("role") == x).drop("role") for x in ("train", "test"))
+    offset = C.id_bound(r, "item_id")
+    t = freeze(Q._two_sided_cells(train, offset))
+    shape = t.agg(F.max("row") + 1, F.max("col") + 1, F.count(F.lit(1))).first()
+    got = Q._score_two_sided_model(factor.als_fit(t, rank, iters, reg), rank, train, test, offset)
+    return report(spark, n_rows=shape[0], n_cols=shape[1], n_cells=shape[2], test_auc=auc(got, test))
+
+
+@query
+def job_als_tutorial(spark, d):
+    return als_tutorial(spark, Q.li(spark, d), tables.items_from_parts(spark, d), Q.USER, Q.DAY,
+                        ranks=(4, 8), regs=(0.1,), iters=(5,))
+
+
+@query
+def job_item_gram(spark, d):
+    return item_gram(spark, Q.ev(spark, d), ranks=(8,), iters=(5,))
+
+
+@query
+def job_preferences(spark, d):
+    return preferences(spark, Q.ev(spark, d), iters=(5,))
+
+
+@query
+def job_two_sided(spark, d):
+    return two_sided(spark, freeze(Q.ev(spark, d)), ranks=(8,), iters=(5,))
+
+
+@query
+def job_left_half(spark, d):
+    return left_half(spark, freeze(Q.ev(spark, d)), ranks=(4, 8), iters=(5,))
+
+
+@query
+def job_neg_blend(spark, d):
+    return neg_blend(spark, freeze(Q.ev(spark, d)), rank=8, iters=5, nmf_iters=3)
+
+
+@query
+def job_pair_model(spark, d):
+    return pair_model(spark, freeze(Q.ev(spark, d)))
+
+
+@query
+def job_block_files(spark, d):
+    path = scratch_path(spark, "blocks")
+    sinks.write_blocks(Q.ev(spark, d), path)
+    return block_files(spark, path)
+
+
+@query
+def job_explore(spark, d):
+    return explore(spark, Q.ev(spark, d), tables.items_from_parts(spark, d), Q.USER, Q.ITEM)
+
+
+@query
+def job_reviews(spark, d):
+    """Read, label and split the reviews: rows per sentiment and role."""
+    r = text.not_neutral(tables.reviews_from_labels(spark, d)).withColumn("sentiment", sentiment())
+    return splits.by_hash(r, ["summary"], 0.8, 42).groupBy("sentiment", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def job_cell_products(spark, d):
+    return cell_products(spark, Q.ev(spark, d))
+
+
+@query
+def job_cv_subsets(spark, d):
+    """Write the five positional folds and both per-user splits; rows of each part."""
+    r = freeze(Q.ev(spark, d))
+    parts = splits.five_fold(r).select(F.concat(F.lit("r"), "fold").alias("set"), *r.columns).withColumn("role", F.lit("test"))
+    for name, start, stop in (("ra", 1, 10), ("rb", 11, 20)):
+        parts = parts.unionByName(splits.all_but(r, start, stop).withColumn("set", F.lit(name)))
+    path = scratch_path(spark, "subsets")
+    sinks.write_splits(parts.withColumnRenamed("set", "fold"), path)
+    return spark.read.parquet(path).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))

@@ -559,7 +559,7 @@ def topk_pairs(spark, d):
 @query
 def diversity_rerank(spark, d):
     lists, s, _ = _lists(spark, d, 50)
-    return diversity.rerank(lists, scale.minmax_positive(s))
+    return diversity.rerank(diversity.packed_by_cells(lists, scale.minmax_positive(s)))
 
 
 # ------------------------------------------------------------------- models
