@@ -84,9 +84,13 @@ def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame, k: int) ->
 
 def factor_gram(factors: DataFrame, k: int) -> np.ndarray:
     """U^T U: k x k numbers, the only factor-derived values held on the driver."""
-    sums = factors.agg(outer_sums("features", k).alias("g")).first()["g"]
+    return symmetric(factors.agg(outer_sums("features", k).alias("g")).first()["g"], k)
+
+
+def symmetric(upper, k: int) -> np.ndarray:
+    """A k x k matrix from its upper triangle, row by row."""
     g = np.zeros((k, k))
-    g[np.triu_indices(k)] = [x or 0.0 for x in sums]
+    g[np.triu_indices(k)] = [x or 0.0 for x in upper]
     return g + np.triu(g, 1).T
 
 

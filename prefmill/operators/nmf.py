@@ -16,9 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.vectors import combine, dot, literal, times_matrix, vec_sum, weighted_sum
+from ..functions.vectors import combine, dot, literal, outer_sums, times_matrix, vec_sum, weighted_sum
 from ..session import freeze
-from .factor import factor_gram
+from .factor import factor_gram, symmetric
 
 TINY = 1e-12
 
@@ -38,14 +38,23 @@ def _start(ids: DataFrame, k: int, seed: int, scale: float) -> DataFrame:
 
 
 def _updated(old: DataFrame, numer: DataFrame, gram: np.ndarray, k: int, shift=None) -> DataFrame:
-    """``old * (numer + shift) / (old gram)``; numerators below 0 by rounding count as 0."""
+    """``old * (numer + shift) / (old gram)``, frozen; numerators below 0 by rounding
+    count as 0. ``hit`` is each new vector's product with its numerator."""
     joined = (
         old.join(numer, "id", "left").withColumn("_g", literal(gram.ravel()))
         .withColumn("_s", literal(shift if shift is not None else [0.0] * k))
     )
-    turned = joined.withColumn("_low", times_matrix("features", "_g", k))
-    step = "features[{d}] * greatest(coalesce(num[{d}], 0D) + _s[{d}], 0D) / (_low[{d}] + " + f"{TINY}D)"
-    return turned.select("id", combine(step, k).alias("features"))
+    top = joined.withColumn("_low", times_matrix("features", "_g", k)).withColumn(
+        "num", combine("greatest(coalesce(num[{d}], 0D) + _s[{d}], 0D)", k))
+    step = "features[{d}] * num[{d}] / (_low[{d}] + " + f"{TINY}D)"
+    new = top.select("id", combine(step, k).alias("features"), "num")
+    return freeze(new.select("id", "features", dot("features", "num", k).alias("hit")))
+
+
+def _facts(factors: DataFrame, k: int) -> tuple[np.ndarray, float]:
+    """F^T F, and the summed products with the numerator of the last update."""
+    row = factors.agg(outer_sums("features", k).alias("g"), F.sum("hit").alias("hit")).first()
+    return symmetric(row["g"], k), row["hit"] or 0.0
 
 
 def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame | None = None,
@@ -72,31 +81,24 @@ def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame
     scale = 2 * float(np.sqrt(max(total_sum, TINY) / (n * m * k)))
     w = freeze(_start(row_ids, k, seed, scale))
     h = freeze(_start(col_ids, k, seed + 1, scale))
+    gram_h = factor_gram(h, k)
     losses = []
-
-    def base_times_h():
-        if base is None:
-            return None
-        return base.join(h, "id").agg(weighted_sum("base", "features", k).alias("t")).first()["t"]
-
     for _ in range(iters):
-        num = cells.join(h.withColumnRenamed("id", "col"), "col").groupBy(F.col("row").alias("id")).agg(
-            weighted_sum("value", "features", k).alias("num"))
-        w = freeze(_updated(w, num, factor_gram(h, k), k, base_times_h()))
-
-        num = cells.join(w.withColumnRenamed("id", "row"), "row").groupBy(F.col("col").alias("id")).agg(
-            weighted_sum("value", "features", k).alias("num"))
-        gram_w = factor_gram(w, k)
-        if base is None:
-            new_h = _updated(h, num, gram_w, k)
-        else:
+        num = cells.join(h.select(F.col("id").alias("col"), "features"), "col").groupBy(
+            F.col("row").alias("id")).agg(weighted_sum("value", "features", k).alias("num"))
+        shift = None
+        if base is not None:
+            shift = base.join(h, "id").agg(weighted_sum("base", "features", k).alias("t")).first()["t"]
+        w = _updated(w, num, gram_h, k, shift)
+        gram_w, _ = _facts(w, k)
+
+        num = cells.join(w.select(F.col("id").alias("row"), "features"), "row").groupBy(
+            F.col("col").alias("id")).agg(weighted_sum("value", "features", k).alias("num"))
+        if base is not None:
             mass = w.agg(vec_sum("features", k).alias("t")).first()["t"]
-            whole = base.join(num, "id", "left").withColumn("_m", literal(mass)).select(
+            num = base.join(num, "id", "left").withColumn("_m", literal(mass)).select(
                 "id", combine("coalesce(num[{d}], 0D) + base * _m[{d}]", k).alias("num"))
-            new_h = _updated(h, whole, gram_w, k)
-        # sum of T * (W H) over all cells, from the numerator just used
-        gained = num if base is None else whole
-        h = freeze(new_h)
-        cross = h.withColumnRenamed("features", "f").join(gained, "id").agg(F.sum(dot("f", "num", k))).first()[0]
-        losses.append(float(square - 2 * (cross or 0.0) + np.sum(gram_w * factor_gram(h, k))))
-    return Nmf(w, h, losses)
+        h = _updated(h, num, gram_w, k)
+        gram_h, cross = _facts(h, k)  # cross: the sum of T * (W H) over all cells
+        losses.append(float(square - 2 * cross + np.sum(gram_w * gram_h)))
+    return Nmf(w.select("id", "features"), h.select("id", "features"), losses)
