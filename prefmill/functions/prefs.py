@@ -44,3 +44,8 @@ def clamp(x: Column, low: float = 1.0, high: float = 5.0) -> Column:
 def last_digit(ts: str = "ts", unit: int = 1) -> Column:
     """Last digit of the timestamp counted in ``unit`` seconds."""
     return F.floor(F.col(ts) / unit) % 10
+
+
+def rated_at(ts: str = "ts") -> Column:
+    """The moment of a rating, from epoch seconds."""
+    return F.timestamp_seconds(ts)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.prefs import clamp
 from ..functions.vectors import dot
+from ..session import freeze
 from .factor import als_fit, col_factors, row_factors
 
 ITEM_DAMPING = 10.0
@@ -25,11 +26,11 @@ class Biases:
 def fit_biases(ratings: DataFrame, item_damping: float = ITEM_DAMPING, user_damping: float = USER_DAMPING) -> Biases:
     """Damped deviations from the mean: items first, then users on the remainder."""
     mean = float(ratings.agg(F.avg("rating")).first()[0])
-    items = ratings.groupBy("item_id").agg(
-        (F.sum(F.col("rating") - mean) / (item_damping + F.count(F.lit(1)))).alias("item_bias"))
+    items = freeze(ratings.groupBy("item_id").agg(
+        (F.sum(F.col("rating") - mean) / (item_damping + F.count(F.lit(1)))).alias("item_bias")))
     rest = ratings.join(items, "item_id")
-    users = rest.groupBy("user_id").agg(
-        (F.sum(F.col("rating") - mean - F.col("item_bias")) / (user_damping + F.count(F.lit(1)))).alias("user_bias"))
+    users = freeze(rest.groupBy("user_id").agg(
+        (F.sum(F.col("rating") - mean - F.col("item_bias")) / (user_damping + F.count(F.lit(1)))).alias("user_bias")))
     return Biases(mean, items, users)
 
 

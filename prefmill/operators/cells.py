@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.prefs import UNSEEN_DISLIKE, disliked, graded_dislike, graded_like, liked, observed
+from ..session import freeze
 from .product import cross_product, gram
 
 
@@ -69,7 +70,7 @@ def binary_cross(ratings: DataFrame, threshold: float = 3) -> DataFrame:
 
 def binary_propagation(ratings: DataFrame, threshold: float = 3) -> DataFrame:
     """Y (Y^T X) for binary preferences, users x items."""
-    a = binary_cross(ratings, threshold).select(F.col("row").alias("key"), "col", "value")
+    a = freeze(binary_cross(ratings, threshold)).select(F.col("row").alias("key"), "col", "value")
     y = binary(ratings, threshold).where("y = 1").select(
         F.col("item_id").alias("key"), F.col("user_id").alias("row"), F.col("y").alias("value"))
     return cross_product(y, a)

@@ -17,14 +17,15 @@ from ..functions.vectors import combine, dot, literal, outer_sums, times_matrix,
 from ..session import shared_dir, task_count
 from .scale import Span
 
-BLOCK = 4096  # factor rows per side of an all-pairs block
+BLOCK = 4096      # factor rows per side of an all-pairs block
+MAX_BLOCKS = 256  # ALS exchanges a message per pair of blocks
 
 
 def als_fit(cells: DataFrame, rank: int, iters: int, reg: float, nonnegative: bool = True,
             seed: int = 999) -> ALSModel:
     """Explicit ALS on ``(row, col, value)`` cells."""
     shared_dir(cells.sparkSession)  # lets ALS cut its lineage while iterating
-    blocks = task_count(cells.sparkSession)
+    blocks = max(10, min(task_count(cells.sparkSession), MAX_BLOCKS))
     als = ALS(
         rank=rank, maxIter=iters, regParam=reg, nonnegative=nonnegative, seed=seed,
         userCol="row", itemCol="col", ratingCol="value", coldStartStrategy="drop",

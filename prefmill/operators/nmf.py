@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.vectors import combine, dot, literal, outer_sums, times_matrix, vec_sum, weighted_sum
+from ..functions.vectors import combine, dot, literal, outer_sums, times_matrix, vec_sum, weighted_sum, zeros
 from ..session import freeze
 from .factor import factor_gram, symmetric
 
@@ -37,12 +37,12 @@ def _start(ids: DataFrame, k: int, seed: int, scale: float) -> DataFrame:
     return ids.select("id", combine(draw, k).alias("features"))
 
 
-def _updated(old: DataFrame, numer: DataFrame, gram: np.ndarray, k: int, shift=None) -> DataFrame:
+def _updated(old: DataFrame, numer: DataFrame, gram: np.ndarray, k: int, shift=None, shift_from: int = 0) -> DataFrame:
     """``old * (numer + shift) / (old gram)``, frozen; numerators below 0 by rounding
     count as 0. ``hit`` is each new vector's product with its numerator."""
     joined = (
         old.join(numer, "id", "left").withColumn("_g", literal(gram.ravel()))
-        .withColumn("_s", literal(shift if shift is not None else [0.0] * k))
+        .withColumn("_s", F.when(F.col("id") >= shift_from, literal(shift)).otherwise(zeros(k)) if shift else zeros(k))
     )
     top = joined.withColumn("_low", times_matrix("features", "_g", k)).withColumn(
         "num", combine("greatest(coalesce(num[{d}], 0D) + _s[{d}], 0D)", k))
@@ -58,11 +58,11 @@ def _facts(factors: DataFrame, k: int) -> tuple[np.ndarray, float]:
 
 
 def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame | None = None,
-            row_ids: DataFrame | None = None) -> Nmf:
+            row_ids: DataFrame | None = None, base_from: int = 0) -> Nmf:
     """Factorise frozen cells ``(row, col, value)``.
 
-    ``base(col, value)`` is a constant added to every row of a column; then
-    ``row_ids(id)`` must list the rows.
+    ``base(col, value)`` is a constant added to every row of a column, or to
+    the rows from ``base_from`` on; then ``row_ids(id)`` must list the rows.
     """
     row_ids = row_ids if row_ids is not None else cells.select(F.col("row").alias("id")).distinct()
     col_ids = cells.select(F.col("col").alias("id"))
@@ -71,13 +71,14 @@ def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame
         base = freeze(base.select(F.col("col").alias("id"), F.col("value").alias("base")))
     row_ids, col_ids = freeze(row_ids), freeze(col_ids.distinct())
     n, m = row_ids.count(), col_ids.count()
+    n_based = row_ids.where(F.col("id") >= base_from).count()
     total = cells.agg(F.sum("value"), F.sum(F.col("value") * F.col("value"))).first()
     total_sum, square = total[0] or 0.0, total[1] or 0.0
     if base is not None:
         b = base.agg(F.sum("base"), F.sum(F.col("base") * F.col("base"))).first()
-        mixed = cells.join(base.withColumnRenamed("id", "col"), "col").agg(
+        mixed = cells.where(F.col("row") >= base_from).join(base.withColumnRenamed("id", "col"), "col").agg(
             F.sum(F.col("value") * F.col("base"))).first()[0] or 0.0
-        total_sum, square = total_sum + n * b[0], square + n * b[1] + 2 * mixed
+        total_sum, square = total_sum + n_based * b[0], square + n_based * b[1] + 2 * mixed
     scale = 2 * float(np.sqrt(max(total_sum, TINY) / (n * m * k)))
     w = freeze(_start(row_ids, k, seed, scale))
     h = freeze(_start(col_ids, k, seed + 1, scale))
@@ -89,13 +90,13 @@ def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame
         shift = None
         if base is not None:
             shift = base.join(h, "id").agg(weighted_sum("base", "features", k).alias("t")).first()["t"]
-        w = _updated(w, num, gram_h, k, shift)
+        w = _updated(w, num, gram_h, k, shift, base_from)
         gram_w, _ = _facts(w, k)
 
         num = cells.join(w.select(F.col("id").alias("row"), "features"), "row").groupBy(
             F.col("col").alias("id")).agg(weighted_sum("value", "features", k).alias("num"))
         if base is not None:
-            mass = w.agg(vec_sum("features", k).alias("t")).first()["t"]
+            mass = w.where(F.col("id") >= base_from).agg(vec_sum("features", k).alias("t")).first()["t"]
             num = base.join(num, "id", "left").withColumn("_m", literal(mass)).select(
                 "id", combine("coalesce(num[{d}], 0D) + base * _m[{d}]", k).alias("num"))
         h = _updated(h, num, gram_w, k)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import task_count
+from ..session import freeze, task_count
 from .stream import chunks_by_cost, group_batches, ranges, starts_of
 
 PAIR_BUDGET = 1 << 27     # multiplications one key may cost before it is split
@@ -24,21 +24,22 @@ EXPAND = 1 << 22          # products expanded at once in a sparse batch
 
 def cross_product(left: DataFrame, right: DataFrame, pair_budget: int = PAIR_BUDGET,
                   tasks: int | None = None) -> DataFrame:
-    """``sum_key left(key,row) * right(key,col)`` as cells ``(row, col, value)``."""
+    """``sum_key left(key,row) * right(key,col)`` as cells ``(row, col, value)``.
+
+    Both inputs are read twice, so pass frozen or cheap tables.
+    """
     sizes = (
         left.groupBy("key").agg(F.count(F.lit(1)).alias("nl"))
         .join(right.groupBy("key").agg(F.count(F.lit(1)).alias("nr")), "key")
     )
     heavy = _heavy(sizes, F.col("nl") * F.col("nr"), pair_budget)
-    l = left.join(heavy, "key", "left").select(
-        "key",
-        F.coalesce(F.pmod(F.xxhash64("row"), "splits"), F.lit(0)).alias("part"),
+    l = _with_splits(left, heavy).select(
+        "key", _own_part("row").alias("part"),
         F.lit(True).alias("is_row"), F.lit(False).alias("is_col"),
         F.col("row").alias("id"), F.col("value").cast("double"),
     )
-    r = right.join(heavy, "key", "left").select(
-        "key",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("splits", F.lit(1)) - 1)).alias("part"),
+    r = _with_splits(right, heavy).select(
+        "key", _all_parts(heavy).alias("part"),
         F.lit(False).alias("is_row"), F.lit(True).alias("is_col"),
         F.col("col").alias("id"), F.col("value").cast("double"),
     )
@@ -47,21 +48,12 @@ def cross_product(left: DataFrame, right: DataFrame, pair_budget: int = PAIR_BUD
 
 def gram(cells: DataFrame, pair_budget: int = PAIR_BUDGET, tasks: int | None = None) -> DataFrame:
     """``M^T M`` of cells ``(row, col, value)``; only one triangle is computed."""
+    cells = cells.withColumnRenamed("row", "key")
     heavy = _heavy(
-        cells.groupBy(F.col("row").alias("key")).agg(F.count(F.lit(1)).alias("n")),
-        F.col("n") * F.col("n"), pair_budget,
-    )
-    tagged = (
-        cells.withColumnRenamed("row", "key").join(heavy, "key", "left")
-        .withColumn("part", F.explode(
-            F.sequence(F.lit(0).cast("long"), F.coalesce("splits", F.lit(1)) - 1)))
-        .select(
-            "key", "part",
-            F.coalesce(F.pmod(F.xxhash64("col"), "splits") == F.col("part"), F.lit(True)).alias("is_row"),
-            F.lit(True).alias("is_col"),
-            F.col("col").alias("id"), F.col("value").cast("double"),
-        )
-    )
+        cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")), F.col("n") * F.col("n"), pair_budget)
+    tagged = _with_splits(cells, heavy).select("*", _all_parts(heavy).alias("part")).select(
+        "key", "part", (_own_part("col") == F.col("part")).alias("is_row"), F.lit(True).alias("is_col"),
+        F.col("col").alias("id"), F.col("value").cast("double"))
     upper = _multiply(tagged, True, tasks)
     both = F.when(
         F.col("row") == F.col("col"), F.array(F.struct("row", "col"))
@@ -69,9 +61,28 @@ def gram(cells: DataFrame, pair_budget: int = PAIR_BUDGET, tasks: int | None = N
     return upper.select(F.explode(both).alias("at"), "value").select("at.row", "at.col", "value")
 
 
-def _heavy(sizes: DataFrame, cost, budget: int) -> DataFrame:
+def _heavy(sizes: DataFrame, cost, budget: int) -> DataFrame | None:
+    """Keys too costly for one task, with the number of tasks each is split over.
+
+    Written as a table, so that its true size decides how it is joined."""
     splits = F.ceil(cost / F.lit(float(budget))).cast("long")
-    return sizes.select("key", splits.alias("splits")).where("splits > 1")
+    found = freeze(sizes.select("key", splits.alias("splits")).where("splits > 1"))
+    return None if found.isEmpty() else found
+
+
+def _with_splits(cells: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    if heavy is None:
+        return cells.withColumn("splits", F.lit(1).cast("long"))
+    return cells.join(heavy, "key", "left").withColumn("splits", F.coalesce("splits", F.lit(1).cast("long")))
+
+
+def _own_part(col: str):
+    return F.pmod(F.xxhash64(col), "splits")
+
+
+def _all_parts(heavy: DataFrame | None):
+    zero = F.lit(0).cast("long")
+    return zero if heavy is None else F.explode(F.sequence(zero, F.col("splits") - 1))
 
 
 def _multiply(tagged: DataFrame, triangle: bool, tasks: int | None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import task_count
 from .stream import chunks_by_cost, group_batches, ranges
 
-BLOCK_ROWS = 1 << 20   # preference cells per user block
+BLOCK_ROWS = 1 << 21   # preference cells per user block
 TILE_ROWS = 1 << 21    # matrix cells per column tile
 DENSE = 1 << 23        # cells of a dense scratch block
 EXPAND = 1 << 22       # lookups expanded at once
@@ -39,7 +39,7 @@ def _groups(prefs, matrix, targets, values, blocks, tiles):
     """Union of the three inputs, laid out by (block, tile).
 
     ``side`` 0: preference (user, item, value), 1: matrix (row, col, values),
-    2: wanted cell (user, item).
+    2: wanted or hidden cell (user, item), with a value of its own if it has one.
     """
     nothing = [F.lit(0.0).alias(f"v{i}") for i in range(len(values))]
     p = prefs.select(
@@ -54,9 +54,11 @@ def _groups(prefs, matrix, targets, values, blocks, tiles):
     )
     both = p.unionByName(m)
     if targets is not None:
+        own = F.col("value") if "value" in targets.columns else F.lit(0.0)
         both = both.unionByName(targets.select(
             _hashed("user_id", blocks).alias("block"), _hashed("item_id", tiles).alias("tile"),
-            F.lit(2).alias("side"), F.col("user_id").alias("a"), F.col("item_id").alias("b"), *nothing,
+            F.lit(2).alias("side"), F.col("user_id").alias("a"), F.col("item_id").alias("b"),
+            own.alias("v0"), *nothing[1:],
         ))
     n = task_count(prefs.sparkSession)
     return both.repartition(max(n, min(blocks * tiles, 16 * n)), "block", "tile").sortWithinPartitions(
@@ -235,10 +237,11 @@ def list_similarities(lists: DataFrame, matrix: DataFrame, value: str = "value",
     """
     prefs = lists.select("user_id", "item_id", F.col("rank").cast("double").alias("value"))
     blocks, tiles = _grid(prefs, matrix, block_rows, tile_rows)
-    laid = _groups(prefs, matrix, lists.select("user_id", "item_id"), [value], blocks, tiles)
+    wanted = lists.select("user_id", "item_id", F.col("rank").cast("double").alias("value"))
+    laid = _groups(prefs, matrix, wanted, [value], blocks, tiles)
 
     def run(batches):
-        for (u, i, (rank,)), (r, c, ms), (tu, ti, _) in _each_group(batches, 1):
+        for (u, i, (rank,)), (r, c, ms), (tu, ti, (own,)) in _each_group(batches, 1):
             if len(tu) == 0:
                 continue
             by = np.lexsort((rank, u))
@@ -246,9 +249,8 @@ def list_similarities(lists: DataFrame, matrix: DataFrame, value: str = "value",
             for at, end, n, cell, found, vals in lookups(u, i, r, c, ms, tu, ti):
                 offsets = np.r_[0, np.cumsum(n)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tu[at:end]), pa.array(ti[at:end]),
+                    [pa.array(tu[at:end]), pa.array(ti[at:end]), pa.array(own[at:end].astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(vals[0]))],
-                    names=["user_id", "item_id", "sims"])
+                    names=["user_id", "item_id", "rank", "sims"])
 
-    return laid.mapInArrow(run, "user_id long, item_id long, sims array<double>").join(
-        lists.select("user_id", "item_id", "rank"), ["user_id", "item_id"])
+    return laid.mapInArrow(run, "user_id long, item_id long, rank int, sims array<double>")

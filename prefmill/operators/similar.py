@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import freeze
+
 
 def pearson_with(ratings: DataFrame, item_id: int) -> DataFrame:
     """Correlation of every item's column with one item's column.
 
     Missing ratings are zeros, so all moments are sums over stored ratings and
-    n is the number of users. Work is linear in the ratings. Items with a
+    n is the number of users. Work is linear in the ratings, and the one item's
+    column is written first, so that its size decides how it is joined. Items with a
     constant column have no correlation and are left out.
     """
-    target = ratings.where(F.col("item_id") == item_id)
+    target = freeze(ratings.where(F.col("item_id") == item_id).select("user_id", F.col("rating").alias("x")))
     n = ratings.agg(F.count_distinct("user_id")).first()[0]
-    t = target.agg(F.sum("rating"), F.sum(F.col("rating") * F.col("rating"))).first()
+    t = target.agg(F.sum("x"), F.sum(F.col("x") * F.col("x"))).first()
     sx, sxx = float(t[0] or 0.0), float(t[1] or 0.0)
     y = F.col("rating")
-    sums = ratings.join(target.select("user_id", F.col("rating").alias("x")), "user_id", "left").groupBy("item_id").agg(
+    sums = ratings.join(target, "user_id", "left").groupBy("item_id").agg(
         F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.coalesce(F.sum(y * F.col("x")), F.lit(0.0)).alias("sxy"),
         F.count(F.lit(1)).alias("n_ratings"), F.avg("rating").alias("mean_rating"),
     )

@@ -7,9 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.prefs import UNSEEN_DISLIKE
+from ..functions.vectors import dot
 from ..session import freeze
-from .cells import column_base, graded_cross, item_gram, user_mass
-from .scale import Span, positive_span
+from .cells import column_base, graded, graded_cross, item_gram, user_mass
+from .factor import dislike_vectors, product_span, user_vectors
+from .nmf import Nmf, nmf_fit
+from .scale import Span, minmax_positive, positive_span
 from .score import score_cells
 
 BETA = 0.2
@@ -62,3 +65,39 @@ def scores(m: TwoSided, train: DataFrame, targets: DataFrame, beta: float = BETA
     lower = F.when(F.col("base") > 0, scaled).otherwise(0.0)
     return _facts(m, train, targets).select(
         "user_id", "item_id", (F.col("xs_scaled") + beta * lower).alias("score"))
+
+
+def fit_nmf(m: TwoSided, item_ids: DataFrame, offset: int, k: int, iters: int, seed: int = 0) -> Nmf:
+    """Non-negative factors of the scaled [S; Y^T X], graded. The lower half starts
+    at row ``offset`` and enters as a column constant less the scaled cells of S."""
+    width = (m.neg.high - m.neg.low) or 1.0
+    upper = minmax_positive(m.s, span=m.pos)
+    lower = m.s.select((F.col("row") + offset).alias("row"), "col", (-F.col("value") / width).alias("value"))
+    base = m.base.select("col", ((F.col("base") - m.neg.low) / width).alias("value"))
+    ids = item_ids.select("id").distinct()
+    rows = ids.unionByName(ids.select((F.col("id") + offset).alias("id")))
+    return nmf_fit(freeze(upper.unionByName(lower)), k, iters, seed, base, rows, offset)
+
+
+def nmf_scores(model: Nmf, offset: int, n_items: int, train: DataFrame, targets: DataFrame, k: int,
+               beta: float = 0.5) -> DataFrame:
+    """[x, beta y] times the completed halves, each scaled over its positive cells.
+
+    Multiplicative updates keep factors positive, so every completed cell is
+    positive and the scaling is affine: it moves out of the product.
+    """
+    pos = freeze(model.rows.where(F.col("id") < offset))
+    neg = freeze(model.rows.where(F.col("id") >= offset).withColumn("id", F.col("id") - offset))
+    prefs = graded(train)
+    up = user_vectors(prefs, pos, k).withColumnRenamed("features", "_up")
+    down = dislike_vectors(user_vectors(prefs, neg, k), neg, k).withColumnRenamed("features", "_down")
+    items = model.cols.select(F.col("id").alias("item_id"), F.col("features").alias("_v"))
+    a, b = product_span(pos, model.cols), product_span(neg, model.cols)
+    y_sum = UNSEEN_DISLIKE * n_items - F.col("mass")
+    upper = (dot("_up", "_v", k) - a.low * F.col("mass")) / ((a.high - a.low) or 1.0)
+    lower = (dot("_down", "_v", k) - b.low * y_sum) / ((b.high - b.low) or 1.0)
+    return (
+        targets.select("user_id", "item_id").join(up.join(down, "user_id"), "user_id")
+        .join(user_mass(train), "user_id").join(items, "item_id")
+        .select("user_id", "item_id", (upper + beta * lower).alias("score"))
+    )

@@ -109,8 +109,8 @@ def preferences(spark, ratings, ranks=(8,), regs=(0.1,), iters=(10,), nmf_iters=
                   diversity=mean_of(diversity.mean_distance(packed)))
 
 
-def two_sided(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,)):
-    """[X^T X; Y^T X]: exact scores and ALS factors, AUC and diversity of unseen lists."""
+def two_sided(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,), nmf_iters=4):
+    """[X^T X; Y^T X]: exact scores, ALS and NMF factors: AUC, and diversity of unseen lists."""
     train, valid, test = _split3(ratings)
     n_items = ratings.select("item_id").distinct().count()
     offset = C.id_bound(ratings, "item_id")
@@ -125,8 +125,11 @@ def two_sided(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,)):
     lists = freeze(score.top_items(Q.stars(train), m.s, 50))
     div = freeze(diversity.list_diversity(lists, scale.minmax_positive(m.s)))
     d = diversity.summary(div).first()
+    k = b["rank"]
+    factors = twosided.fit_nmf(m, ratings.select(F.col("item_id").alias("id")), offset, k, nmf_iters)
     return report(spark, best_rank=b["rank"], validation_auc=b["metric"],
                   als_test_auc=auc(scores(b["rank"], b["reg"], b["iters"], test), test),
+                  nmf_test_auc=auc(twosided.nmf_scores(factors, offset, n_items, train, test, k), test),
                   exact_test_auc=auc(twosided.scores(m, train, test), test),
                   diversity=d["mean"], diversity_median=d["median"], diversity_quarter=d["quarter"])
 

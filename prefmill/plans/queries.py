@@ -737,6 +737,15 @@ def nmf_neg_graded(spark, d):
     return _loss_rows(spark, _graded_cross_nmf(r, r, 8, 4))
 
 
+@query
+def nmf_two_sided(spark, d):
+    """Held-out cells scored with the non-negative factors of graded [S; Y^T X]."""
+    train, test, r = ev_split(spark, d)
+    ids, offset = r.select(F.col("item_id").alias("id")), C.id_bound(r, "item_id")
+    m = twosided.build(train, n_items(r))
+    return twosided.nmf_scores(twosided.fit_nmf(m, ids, offset, 8, 4), offset, m.n_items, train, test, 8)
+
+
 def _embeddings(train, r, k, iters):
     pos = nmf.nmf_fit(freeze(scale.minmax_positive(freeze(C.item_gram(train)))), k, iters)
     neg = _graded_cross_nmf(train, r, k, iters)

@@ -209,3 +209,21 @@ def test_nmf_of_a_dense_matrix_kept_as_base_and_cells(spark, stars):
                         base=base.select("col", F.col("base").alias("value")), row_ids=spark.range(11).select("id"))
     assert model.losses == sorted(model.losses, reverse=True)
     assert np.isclose(model.losses[-1], loss_of(y.T @ x, model))
+
+
+def test_two_sided_nmf_scores(spark, stars):
+    x, y = graded(stars)
+    r = freeze(rated(spark, stars))
+    m = twosided.build(r, 11)
+    model = twosided.fit_nmf(m, spark.range(11), 11, 3, 3)
+    t = np.vstack((scaled(x.T @ x), scaled(y.T @ x)))
+    assert np.isclose(model.losses[-1], loss_of(t, model)) and model.losses == sorted(model.losses, reverse=True)
+    w, h = np.zeros((22, 3)), np.zeros((11, 3))
+    for table_, df in ((w, model.rows), (h, model.cols)):
+        for row in df.collect():
+            table_[row["id"]] = row["features"]
+    t_hat = w @ h.T
+    want = np.hstack((x, 0.5 * y)) @ np.vstack((scaled(t_hat[:11]), scaled(t_hat[11:])))
+    cells = spark.createDataFrame([(u, i) for u in range(14) for i in range(11)], "user_id long, item_id long")
+    got = twosided.nmf_scores(model, 11, 11, r, cells, 3).collect()
+    assert len(got) == 154 and all(np.isclose(v["score"], want[v["user_id"], v["item_id"]]) for v in got)
