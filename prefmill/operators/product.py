@@ -4,7 +4,8 @@
 and ``right(key, col, value)``: the sum over a shared key. Spark partitions the
 cells by key; inside a task the keys of a batch are multiplied together and
 summed, so what is shuffled for the final sum are partial matrix cells, not
-pairs. A key with very many cells is split over several tasks by its row ids.
+pairs. A key with very many cells is split over a grid of tasks by its row and
+column ids.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ PAIR_BUDGET = 1 << 27     # multiplications one key may cost before it is split
 BATCH_CELLS = 1 << 20     # cells multiplied together in a task
 BLOCK_CELLS = 1 << 24     # cells of a dense partial block
 EXPAND = 1 << 22          # products expanded at once in a sparse batch
+UP_TO = "sequence(0L, {} - 1L)"
 
 
 def cross_product(left: DataFrame, right: DataFrame, pair_budget: int = PAIR_BUDGET,
@@ -32,15 +34,18 @@ def cross_product(left: DataFrame, right: DataFrame, pair_budget: int = PAIR_BUD
         left.groupBy("key").agg(F.count(F.lit(1)).alias("nl"))
         .join(right.groupBy("key").agg(F.count(F.lit(1)).alias("nr")), "key")
     )
-    heavy = _heavy(sizes, F.col("nl") * F.col("nr"), pair_budget)
+    heavy = _heavy(sizes, pair_budget)
+    if heavy is None:
+        own = across = F.lit(0).cast("long")
+    else:
+        own = F.explode(F.expr(f"transform({UP_TO.format('q')}, x -> pmod(xxhash64(row), p) * q + x)"))
+        across = F.explode(F.expr(f"transform({UP_TO.format('p')}, x -> x * q + pmod(xxhash64(col), q))"))
     l = _with_splits(left, heavy).select(
-        "key", _own_part("row").alias("part"),
-        F.lit(True).alias("is_row"), F.lit(False).alias("is_col"),
+        "key", own.alias("part"), F.lit(True).alias("is_row"), F.lit(False).alias("is_col"),
         F.col("row").alias("id"), F.col("value").cast("double"),
     )
     r = _with_splits(right, heavy).select(
-        "key", _all_parts(heavy).alias("part"),
-        F.lit(False).alias("is_row"), F.lit(True).alias("is_col"),
+        "key", across.alias("part"), F.lit(False).alias("is_row"), F.lit(True).alias("is_col"),
         F.col("col").alias("id"), F.col("value").cast("double"),
     )
     return _multiply(l.unionByName(r), False, tasks)
@@ -49,10 +54,18 @@ def cross_product(left: DataFrame, right: DataFrame, pair_budget: int = PAIR_BUD
 def gram(cells: DataFrame, pair_budget: int = PAIR_BUDGET, tasks: int | None = None) -> DataFrame:
     """``M^T M`` of cells ``(row, col, value)``; only one triangle is computed."""
     cells = cells.withColumnRenamed("row", "key")
-    heavy = _heavy(
-        cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")), F.col("n") * F.col("n"), pair_budget)
-    tagged = _with_splits(cells, heavy).select("*", _all_parts(heavy).alias("part")).select(
-        "key", "part", (_own_part("col") == F.col("part")).alias("is_row"), F.lit(True).alias("is_col"),
+    n = cells.groupBy("key").agg(F.count(F.lit(1)).alias("nl"))
+    heavy = _heavy(n.withColumn("nr", F.col("nl")), pair_budget)
+    if heavy is None:
+        part, is_row, is_col = F.lit(0).cast("long"), F.lit(True), F.lit(True)
+    else:  # each cell goes to the groups of its own grid row and of its own grid column
+        mine = "pmod(xxhash64(col), q)"
+        part = F.explode(F.expr(
+            f"array_distinct(concat(transform({UP_TO.format('q')}, x -> {mine} * q + x), "
+            f"transform({UP_TO.format('q')}, x -> x * q + {mine})))"))
+        is_row, is_col = F.expr(f"part div q = {mine}"), F.expr(f"part % q = {mine}")
+    tagged = _with_splits(cells, heavy).withColumn("part", part).select(
+        "key", "part", is_row.alias("is_row"), is_col.alias("is_col"),
         F.col("col").alias("id"), F.col("value").cast("double"))
     upper = _multiply(tagged, True, tasks)
     both = F.when(
@@ -61,28 +74,23 @@ def gram(cells: DataFrame, pair_budget: int = PAIR_BUDGET, tasks: int | None = N
     return upper.select(F.explode(both).alias("at"), "value").select("at.row", "at.col", "value")
 
 
-def _heavy(sizes: DataFrame, cost, budget: int) -> DataFrame | None:
-    """Keys too costly for one task, with the number of tasks each is split over.
-
-    Written as a table, so that its true size decides how it is joined."""
-    splits = F.ceil(cost / F.lit(float(budget))).cast("long")
-    found = freeze(sizes.select("key", splits.alias("splits")).where("splits > 1"))
+def _heavy(sizes: DataFrame, budget: int) -> DataFrame | None:
+    """Keys whose ``nl * nr`` products are too many for one task, each with a grid of
+    ``p`` row parts by ``q`` column parts. Where the right side is short, only the
+    left is cut. Written as a table, so that its true size decides how it is joined."""
+    side = float(budget) ** 0.5
+    q = F.ceil(F.greatest(F.col("nr") / side, F.lit(1.0))).cast("long")
+    grid = sizes.where(F.col("nl").cast("double") * F.col("nr") > budget).withColumn("q", q)
+    p = F.ceil(F.col("nl").cast("double") * F.col("nr") / (F.col("q") * float(budget))).cast("long")
+    found = freeze(grid.select("key", p.alias("p"), "q"))
     return None if found.isEmpty() else found
 
 
 def _with_splits(cells: DataFrame, heavy: DataFrame | None) -> DataFrame:
     if heavy is None:
-        return cells.withColumn("splits", F.lit(1).cast("long"))
-    return cells.join(heavy, "key", "left").withColumn("splits", F.coalesce("splits", F.lit(1).cast("long")))
-
-
-def _own_part(col: str):
-    return F.pmod(F.xxhash64(col), "splits")
-
-
-def _all_parts(heavy: DataFrame | None):
-    zero = F.lit(0).cast("long")
-    return zero if heavy is None else F.explode(F.sequence(zero, F.col("splits") - 1))
+        return cells
+    one = F.lit(1).cast("long")
+    return cells.join(heavy, "key", "left").withColumns({"p": F.coalesce("p", one), "q": F.coalesce("q", one)})
 
 
 def _multiply(tagged: DataFrame, triangle: bool, tasks: int | None) -> DataFrame:

@@ -39,6 +39,16 @@ def by_time(ratings: DataFrame, *shares: float, roles=("train", "validation", "t
     return ratings.withColumn("role", role)
 
 
+def parts_by_time(ratings: DataFrame, *shares: float) -> list[DataFrame]:
+    """The parts of ``by_time`` as separate tables; each is a filter its scan can use."""
+    _, cuts = rank_cuts(ratings, TIME_ORDER, lambda n: [int(n * s) for s in shares])
+    tests = [is_before(TIME_ORDER, cut) for cut in cuts]
+    parts = [ratings.where(tests[0])]
+    for low, high in zip(tests, tests[1:]):
+        parts.append(ratings.where(~low & high))
+    return [*parts, ratings.where(~tests[-1])]
+
+
 def _bucket(cols, seed: int, n: int):
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(n))
 

@@ -58,8 +58,7 @@ def als_tutorial(spark, ratings, items, user_id, unit=1, ranks=(8, 12), regs=(0.
 
 
 def _split3(ratings):
-    r = freeze(splits.by_time(freeze(ratings), 0.6, 0.8))
-    return tuple(r.where(F.col("role") == x).drop("role") for x in ("train", "validation", "test"))
+    return splits.parts_by_time(freeze(ratings), 0.6, 0.8)
 
 
 def _pairs(rows):

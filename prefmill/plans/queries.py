@@ -38,9 +38,10 @@ def li(spark, d) -> DataFrame:
 
 
 def ev_split(spark, d):
-    """Frozen dense ratings with an 80/20 chronological role, as (train, test, all)."""
-    r = freeze(splits.by_time(freeze(ev(spark, d)), 0.8))
-    return r.where("role = 'train'").drop("role"), r.where("role = 'test'").drop("role"), r.drop("role")
+    """Dense ratings cut 80/20 in time, as (train, test, all)."""
+    r = freeze(ev(spark, d))
+    train, test = splits.parts_by_time(r, 0.8)
+    return train, test, r
 
 
 def stars(ratings: DataFrame) -> DataFrame:
@@ -800,8 +801,7 @@ def cv_report(spark, d):
 @query
 def grid_report(spark, d):
     """AUC on validation rows for a grid of ALS settings over S."""
-    r = freeze(splits.by_time(freeze(ev(spark, d)), 0.6, 0.8))
-    train, valid = r.where("role = 'train'"), r.where("role = 'validation'")
+    train, valid, _ = splits.parts_by_time(freeze(ev(spark, d)), 0.6, 0.8)
     s = freeze(scale.sparsify(scale.minmax_positive(freeze(C.item_gram(train))), 1e-2))
 
     def measure(rank, reg, iters):

@@ -32,7 +32,7 @@ def stars():
     return m
 
 
-@pytest.mark.parametrize("budget", [1 << 27, 30, 5])
+@pytest.mark.parametrize("budget", [1 << 27, 30, 5, 1])
 def test_products_with_hot_keys_split(spark, stars, budget):
     m = table(spark, stars)
     assert np.allclose(dense(product.gram(m, budget), (11, 11)), stars.T @ stars)

@@ -35,6 +35,16 @@ def test_by_time_two_cuts(tiny):
         assert got[u, i] == ("train" if p < a else "validation" if p < b else "test",)
 
 
+def test_parts_agree_with_roles(tiny):
+    _, df = tiny
+    for shares in ((0.8,), (0.6, 0.8), (0.0, 1.0)):
+        named = splits.by_time(df, *shares)
+        names = ["train", "test"] if len(shares) == 1 else ["train", "validation", "test"]
+        for name, part in zip(names, splits.parts_by_time(df, *shares)):
+            want = named.where(F.col("role") == name).drop("role")
+            assert part.exceptAll(want).count() == 0 and part.count() == want.count()
+
+
 def test_five_fold_remainder_goes_to_the_last_fold(tiny):
     rows, df = tiny
     rows = sorted(rows)[:53]
