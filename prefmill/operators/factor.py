@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.prefs import UNSEEN_DISLIKE
 from ..functions.vectors import combine, dot, literal, outer_sums, times_matrix, vec_sum, weighted_sum, zeros
-from ..session import shared_dir, task_count
+from ..session import shared_dir, tasks_for
 from .scale import Span
 
 BLOCK = 4096      # factor rows per side of an all-pairs block
@@ -24,8 +24,9 @@ MAX_BLOCKS = 256  # ALS exchanges a message per pair of blocks
 def als_fit(cells: DataFrame, rank: int, iters: int, reg: float, nonnegative: bool = True,
             seed: int = 999) -> ALSModel:
     """Explicit ALS on ``(row, col, value)`` cells."""
-    shared_dir(cells.sparkSession)  # lets ALS cut its lineage while iterating
-    blocks = max(10, min(task_count(cells.sparkSession), MAX_BLOCKS))
+    spark = cells.sparkSession
+    shared_dir(spark)  # lets ALS cut its lineage while iterating
+    blocks = min(tasks_for(spark, cells.count(), 1 << 14, 1 << 21), MAX_BLOCKS)
     als = ALS(
         rank=rank, maxIter=iters, regParam=reg, nonnegative=nonnegative, seed=seed,
         userCol="row", itemCol="col", ratingCol="value", coldStartStrategy="drop",

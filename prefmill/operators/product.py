@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import freeze, task_count
+from ..session import freeze, tasks_for
 from .stream import chunks_by_cost, group_batches, ranges, starts_of
 
 PAIR_BUDGET = 1 << 27     # multiplications one key may cost before it is split
+SMALL = 1 << 21           # multiplications worth a task of their own
 BATCH_CELLS = 1 << 20     # cells multiplied together in a task
 BLOCK_CELLS = 1 << 24     # cells of a dense partial block
 EXPAND = 1 << 22          # products expanded at once in a sparse batch
@@ -34,7 +35,7 @@ def cross_product(left: DataFrame, right: DataFrame, pair_budget: int = PAIR_BUD
         left.groupBy("key").agg(F.count(F.lit(1)).alias("nl"))
         .join(right.groupBy("key").agg(F.count(F.lit(1)).alias("nr")), "key")
     )
-    heavy = _heavy(sizes, pair_budget)
+    heavy, work = _heavy(sizes, pair_budget)
     if heavy is None:
         own = across = F.lit(0).cast("long")
     else:
@@ -48,14 +49,14 @@ def cross_product(left: DataFrame, right: DataFrame, pair_budget: int = PAIR_BUD
         "key", across.alias("part"), F.lit(False).alias("is_row"), F.lit(True).alias("is_col"),
         F.col("col").alias("id"), F.col("value").cast("double"),
     )
-    return _multiply(l.unionByName(r), False, tasks)
+    return _multiply(l.unionByName(r), False, tasks or _tasks(left, work))
 
 
 def gram(cells: DataFrame, pair_budget: int = PAIR_BUDGET, tasks: int | None = None) -> DataFrame:
     """``M^T M`` of cells ``(row, col, value)``; only one triangle is computed."""
     cells = cells.withColumnRenamed("row", "key")
     n = cells.groupBy("key").agg(F.count(F.lit(1)).alias("nl"))
-    heavy = _heavy(n.withColumn("nr", F.col("nl")), pair_budget)
+    heavy, work = _heavy(n.withColumn("nr", F.col("nl")), pair_budget)
     if heavy is None:
         part, is_row, is_col = F.lit(0).cast("long"), F.lit(True), F.lit(True)
     else:  # each cell goes to the groups of its own grid row and of its own grid column
@@ -67,23 +68,27 @@ def gram(cells: DataFrame, pair_budget: int = PAIR_BUDGET, tasks: int | None = N
     tagged = _with_splits(cells, heavy).withColumn("part", part).select(
         "key", "part", is_row.alias("is_row"), is_col.alias("is_col"),
         F.col("col").alias("id"), F.col("value").cast("double"))
-    upper = _multiply(tagged, True, tasks)
+    upper = _multiply(tagged, True, tasks or _tasks(cells, work))
     both = F.when(
         F.col("row") == F.col("col"), F.array(F.struct("row", "col"))
     ).otherwise(F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"))))
     return upper.select(F.explode(both).alias("at"), "value").select("at.row", "at.col", "value")
 
 
-def _heavy(sizes: DataFrame, budget: int) -> DataFrame | None:
+def _heavy(sizes: DataFrame, budget: int) -> tuple[DataFrame | None, float]:
     """Keys whose ``nl * nr`` products are too many for one task, each with a grid of
-    ``p`` row parts by ``q`` column parts. Where the right side is short, only the
-    left is cut. Written as a table, so that its true size decides how it is joined."""
-    side = float(budget) ** 0.5
-    q = F.ceil(F.greatest(F.col("nr") / side, F.lit(1.0))).cast("long")
-    grid = sizes.where(F.col("nl").cast("double") * F.col("nr") > budget).withColumn("q", q)
-    p = F.ceil(F.col("nl").cast("double") * F.col("nr") / (F.col("q") * float(budget))).cast("long")
-    found = freeze(grid.select("key", p.alias("p"), "q"))
-    return None if found.isEmpty() else found
+    ``p`` row parts by ``q`` column parts; and the number of all products.
+
+    Where the right side is short, only the left is cut. The keys are written as
+    a table, so that its true size decides how it is joined.
+    """
+    cost = F.col("nl").cast("double") * F.col("nr")
+    facts = sizes.agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("work"), F.max(cost).alias("most")).first()
+    if (facts["most"] or 0.0) <= budget:
+        return None, facts["work"]
+    q = F.ceil(F.greatest(F.col("nr") / float(budget) ** 0.5, F.lit(1.0))).cast("long")
+    p = F.ceil(cost / (F.col("q") * float(budget))).cast("long")
+    return freeze(sizes.where(cost > budget).withColumn("q", q).select("key", p.alias("p"), "q")), facts["work"]
 
 
 def _with_splits(cells: DataFrame, heavy: DataFrame | None) -> DataFrame:
@@ -93,9 +98,12 @@ def _with_splits(cells: DataFrame, heavy: DataFrame | None) -> DataFrame:
     return cells.join(heavy, "key", "left").withColumns({"p": F.coalesce("p", one), "q": F.coalesce("q", one)})
 
 
-def _multiply(tagged: DataFrame, triangle: bool, tasks: int | None) -> DataFrame:
-    n = tasks or task_count(tagged.sparkSession)
-    laid = tagged.repartition(n, "key", "part").sortWithinPartitions("key", "part")
+def _tasks(cells: DataFrame, work: float) -> int:
+    return tasks_for(cells.sparkSession, work, SMALL, PAIR_BUDGET)
+
+
+def _multiply(tagged: DataFrame, triangle: bool, tasks: int) -> DataFrame:
+    laid = tagged.repartition(tasks, "key", "part").sortWithinPartitions("key", "part")
 
     def run(batches):
         for cols in group_batches(batches, ("key", "part"), BATCH_CELLS):

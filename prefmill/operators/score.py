@@ -11,18 +11,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import task_count
+from ..session import tasks_for
 from .stream import chunks_by_cost, group_batches, ranges
 
 BLOCK_ROWS = 1 << 21   # preference cells per user block
 TILE_ROWS = 1 << 21    # matrix cells per column tile
+SMALL = 1 << 13        # preference cells worth a task of their own
 DENSE = 1 << 23        # cells of a dense scratch block
 EXPAND = 1 << 22       # lookups expanded at once
 
 
 def _grid(prefs: DataFrame, matrix: DataFrame, block_rows: int, tile_rows: int):
     n_prefs, n_matrix = prefs.count(), matrix.count()
-    blocks = max(-(-n_prefs // block_rows), task_count(prefs.sparkSession))
+    blocks = tasks_for(prefs.sparkSession, n_prefs, SMALL, block_rows)
     tiles = max(-(-n_matrix // tile_rows), 1)
     return blocks, tiles
 
@@ -60,8 +61,8 @@ def _groups(prefs, matrix, targets, values, blocks, tiles):
             F.lit(2).alias("side"), F.col("user_id").alias("a"), F.col("item_id").alias("b"),
             own.alias("v0"), *nothing[1:],
         ))
-    n = task_count(prefs.sparkSession)
-    return both.repartition(max(n, min(blocks * tiles, 16 * n)), "block", "tile").sortWithinPartitions(
+    n = tasks_for(prefs.sparkSession, 2 * blocks * tiles, 1, 1) if blocks * tiles > 1 else 1
+    return both.repartition(n, "block", "tile").sortWithinPartitions(
         "block", "tile", "side", "a", "b")
 
 

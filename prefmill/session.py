@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -63,6 +64,13 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def task_count(spark: SparkSession) -> int:
-    """Partitions for stages whose cost is computing, not bytes."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def tasks_for(spark: SparkSession, work: float, small: float, large: float) -> int:
+    """Tasks for a stage whose cost is computing, not bytes.
+
+    Work is spread over all cores unless a task would get less than ``small``,
+    and over more tasks once one would get more than ``large``.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(math.ceil(work / large), min(cores, math.ceil(work / small)))
+    return max(1, min(wanted, 16 * max(cores, shuffles)))
