@@ -175,3 +175,18 @@ def test_summary_takes_sorted_positions(spark):
     values = [0.3, 0.1, 0.9, 0.5, 0.5, 0.2, 0.7]
     r = diversity.summary(spark.createDataFrame([(v,) for v in values], "diversity double")).first()
     assert (r["median"], r["quarter"], r["n_users"]) == (sorted(values)[3], sorted(values)[1], 7)
+
+
+def test_only_users_with_a_liked_training_item(spark, lists):
+    _, _, df, _ = lists
+    train = spark.createDataFrame([(0, 1, 2.0), (1, 1, 4.0), (3, 2, 3.0)], "user_id long, item_id long, rating double")
+    assert {r["user_id"] for r in diversity.with_liked_train(df, train).collect()} == {1, 3}
+
+
+def test_tasks_follow_work(spark):
+    from prefmill.session import tasks_for
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks_for(spark, 0, 10, 100) == 1
+    assert tasks_for(spark, 15, 10, 100) == min(2, cores)
+    assert tasks_for(spark, 100 * (cores + 5), 10, 100) == cores + 5
+    assert tasks_for(spark, 1e15, 10, 100) >= 16 * cores
