@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality_rules
+from . import mixing, pieces, quality_rules, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -21,6 +21,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@query
+def op1_randomness_battery(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every whole text, by pattern and by randomness."""
+    return secret_scan.scan(documents(spark, folder), q=0.1)
+
+
 @query
 def op3_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The whole corpus at source shares to the power 0.7, as many characters as before."""
