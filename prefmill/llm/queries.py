@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality_rules, secret_scan
+from . import line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -43,3 +43,16 @@ def op7_gumbel_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def op9_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base rules and compression verdict of every document."""
     return quality_rules.judge(documents(spark, folder))
+
+
+@query
+def op10_site_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    """Posterior of both faults and verdict for every document."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality_classifier.judge(documents(spark, folder), labels).select("doc_id", "p_low", "p_toxic", "kept")
+
+
+@query
+def op8_deletion_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its lines that occur nowhere earlier, exactly or within one word."""
+    return line_dedup.dedup(documents(spark, folder), min_words=8).select("doc_id", "text", "n_lines", "n_removed")
