@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan
+from . import line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -56,3 +56,9 @@ def op10_site_bayes(spark: SparkSession, folder: str) -> DataFrame:
 def op8_deletion_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its lines that occur nowhere earlier, exactly or within one word."""
     return line_dedup.dedup(documents(spark, folder), min_words=8).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op5_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_duplicates(documents(spark, folder), limit=4)
