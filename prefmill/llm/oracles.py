@@ -30,3 +30,27 @@ SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
 FROM counted, LATERAL (SELECT unnest(range(1, n::BIGINT + 1)) AS copy)
 """
 
+
+SQL["op2_deep_shallow"] = """
+WITH base AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM base, LATERAL (SELECT unnest(range(0, n - 49)) AS i) WHERE n >= 50),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE first < doc_id),
+edges AS (
+  SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hits),
+runs AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY ALL),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, s.a AS b, run FROM spans s WINDOW w AS (PARTITION BY doc_id ORDER BY run)
+  UNION ALL SELECT doc_id, max(b), 1000000000, max(run) + 1 FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, (2 * (b - a))::BIGINT), '' ORDER BY run) AS k FROM gaps JOIN base USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM base LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash
+from . import line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -62,3 +62,11 @@ def op8_deletion_lines(spark: SparkSession, folder: str) -> DataFrame:
 def op5_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(documents(spark, folder), limit=4)
+
+
+@query
+def op2_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document left after strings of 50 bytes of smaller documents are taken out."""
+    return suffix_dedup.dedup(documents(spark, folder), width=50).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
