@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import freeze, scratch_path
-from .kernels import new_run, sliding_min
+from .kernels import new_run, ranges, sliding_min
 
 LAST = (1 << 63) - 1
 BLOCK_BYTES = 2 << 20
@@ -243,3 +243,53 @@ def anchor_states(hashes: np.ndarray, masks: dict, buckets: int) -> np.ndarray:
         state[a:z] = _states(payload)
     order = np.argsort(distinct, kind="stable")
     return state[order][np.searchsorted(distinct[order], hashes)]
+
+
+def any_hot():
+    """Whether a mask has a hot anchor: its second half is not all zero bits."""
+    half = (F.octet_length("payload") - 8) / 2
+    return F.length(F.replace(F.hex(F.substring("payload", (9 + half).cast("int"), half.cast("int"))), F.lit("0"), F.lit(""))) > 0
+
+
+def hot_places(staged: Staged, masks: DataFrame, grams, content, starts) -> DataFrame:
+    """(block, places) of the windows of hot anchors that also start in a smaller document.
+
+    A row per block and different window (``content`` gives its bytes) goes through
+    an aggregate to its smallest id and is joined back; Spark combines before the
+    shuffle and can split the join. ``starts(block)`` are the first units of its documents.
+    """
+    buckets = staged.buckets
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        skip, states = split_side(right)
+        cols = [[] for _ in range(4)]
+        for pack in left.column("pack").to_pylist() if states else []:
+            block = unpack(pack)
+            h, (at, lo, hi) = grams(block, skip)[:2]
+            keep = np.flatnonzero(anchor_states(h[at], states, buckets) == 2)
+            found: dict[bytes, list[int]] = {}
+            for w in ranges(lo[keep], hi[keep] - lo[keep] + 1).tolist():
+                found.setdefault(content(block, w), []).append(w)
+            first = starts(block)
+            for window, places in found.items():
+                p = np.array(places)
+                doc = np.searchsorted(first, p, side="right") - 1
+                for c, x in zip(cols, (window, int(block.ords[doc].min()), key[0].as_py(), put_arrays(
+                        block.ords[doc], doc.astype(np.int32), (p - first[doc]).astype(np.int32)))):
+                    c.append(x)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.binary()))],
+                                    ["window", "first", "block", "at"])
+
+    hot = freeze(staged.by_block(side_rows(staged, masks)).applyInArrow(run, "window binary, first long, block long, at binary"))
+    owners = hot.groupBy("window").agg(F.min("first").alias("owner"))
+
+    def places(batches):
+        for b in batches:
+            out = []
+            for owner, at in zip(b.column("owner").to_pylist(), b.column("at").to_pylist()):
+                ords, doc, start = get_arrays(at, np.int64, np.int32, np.int32)
+                lost = ords > owner
+                out.append(put_arrays(doc[lost], start[lost], np.ones(int(lost.sum()), np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary())], ["block", "places"])
+
+    return hot.join(owners, "window").select("block", "owner", "at").mapInArrow(places, "block long, places binary")

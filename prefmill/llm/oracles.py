@@ -54,3 +54,20 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
   sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM base LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op4_debruijn_spans"] = r"""
+WITH base AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 13], ' ') AS k FROM base, LATERAL (SELECT unnest(range(0, len(w) - 12)) AS i)
+  WHERE len(w) >= 13),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM windows JOIN firsts USING (k), LATERAL (SELECT unnest(range(0, 13)) AS j)
+  WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM base),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM base LEFT JOIN kept USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
+from . import debruijn_dedup, line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -70,3 +70,10 @@ def op2_deep_shallow(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, folder), width=50).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_debruijn_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document left after 13-word windows of smaller documents are taken out."""
+    return debruijn_dedup.dedup(documents(spark, folder), width=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

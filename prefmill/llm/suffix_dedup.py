@@ -233,65 +233,17 @@ def _resolve(sent: DataFrame, width: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block long, places binary")
 
 
-def _hot_places(staged: blocks.Staged, masks: DataFrame, width: int) -> DataFrame:
-    """The same for hot anchors: a row per block and different window, reduced and joined back by Spark."""
-    buckets = staged.buckets
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        skip, states = blocks.split_side(right)
-        cols = [[] for _ in range(4)]
-        for pack in left.column("pack").to_pylist() if states else []:
-            block = blocks.unpack(pack)
-            h, (at, lo, hi) = grams(block, skip, width)
-            keep = np.flatnonzero(blocks.anchor_states(h[at], states, buckets) == 2)
-            at_window = ranges(lo[keep], hi[keep] - lo[keep] + 1)
-            if not len(at_window):
-                continue
-            data = block.data.tobytes()
-            found: dict[bytes, list[int]] = {}
-            for w in at_window.tolist():
-                found.setdefault(data[w:w + width], []).append(w)
-            for window, places in found.items():
-                p = np.array(places)
-                doc = np.searchsorted(block.start, p, side="right") - 1
-                for c, x in zip(cols, (window, int(block.ords[doc].min()), key[0].as_py(), put_arrays(
-                        block.ords[doc], doc.astype(np.int32), (p - block.start[doc]).astype(np.int32)))):
-                    c.append(x)
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.binary()))],
-                                    ["window", "first", "block", "at"])
-
-    hot = freeze(staged.by_block(blocks.side_rows(staged, masks)).applyInArrow(
-        run, "window binary, first long, block long, at binary"))
-    owners = hot.groupBy("window").agg(F.min("first").alias("owner"))
-
-    def places(batches):
-        for b in batches:
-            out = []
-            for owner, at in zip(b.column("owner").to_pylist(), b.column("at").to_pylist()):
-                ords, doc, start = get_arrays(at, np.int64, np.int32, np.int32)
-                lost = ords > owner
-                out.append(put_arrays(doc[lost], start[lost], np.ones(int(lost.sum()), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary())], ["block", "places"])
-
-    return hot.join(owners, "window").select("block", "owner", "at").mapInArrow(places, "block long, places binary")
-
-
 def repeats(docs: DataFrame, width: int = 50, hot: int = 4096) -> tuple[blocks.Staged, DataFrame]:
     """The staged table and (block, places) of all windows that also start in a smaller document."""
     staged = blocks.stage(docs)
     masks = freeze(blocks.repeated_anchors(staged, lambda b, skip: grams(b, skip, width), hot))
     places = _resolve(_send(staged, masks, width), width)
-    if masks.where(_any_hot()).limit(1).count():
-        places = places.unionByName(_hot_places(staged, masks, width))
+    if masks.where(blocks.any_hot()).limit(1).count():
+        places = places.unionByName(blocks.hot_places(
+            staged, masks, lambda b, skip: grams(b, skip, width), lambda b, w: b.data[w:w + width].tobytes(), lambda b: b.start))
     return staged, freeze(places)
 
 
-def _any_hot():
-    """Whether a mask has a hot anchor: its second half is not all zero bits."""
-    half = (F.octet_length("payload") - 8) / 2
-    return F.length(F.replace(F.hex(F.substring("payload", (9 + half).cast("int"), half.cast("int"))), F.lit("0"), F.lit(""))) > 0
-
-
 def dedup(docs: DataFrame, width: int = 50, hot: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) per row; spans are the maximal removed runs [start, end), kept the bytes left."""
     staged, places = repeats(docs, width, hot)
