@@ -71,3 +71,20 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM base LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op6_blockmax_bm25"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"''()[]',
+    'abcdefghijklmnopqrstuvwxyz            '), '[^\x20\x09-\x0D]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM words GROUP BY ALL),
+len AS (SELECT d.doc_id, coalesce(n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM words GROUP BY ALL) USING (doc_id)),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+post AS (
+  SELECT doc_id, t, ln(1 + ((SELECT count(*) FROM len) - df + 0.5) / (df + 0.5)) * tf * 2.2
+    / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM len))) AS s FROM tf JOIN df USING (t) JOIN len USING (doc_id)),
+scores AS (
+  SELECT q.doc_id AS query_id, p.doc_id, round(sum(q.tf * p.s), 9) AS score FROM tf q JOIN post p USING (t)
+  WHERE q.doc_id % 100 = 0 AND p.doc_id <> q.doc_id GROUP BY ALL),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import debruijn_dedup, line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
+from . import bm25, debruijn_dedup, line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -77,3 +77,10 @@ def op4_debruijn_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document left after 13-word windows of smaller documents are taken out."""
     return debruijn_dedup.dedup(documents(spark, folder), width=13).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_blockmax_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best other documents for every document whose id is divisible by 100, as a query of its whole text."""
+    docs = documents(spark, folder)
+    return bm25.search(docs, docs.where("doc_id % 100 = 0"), k=10)
