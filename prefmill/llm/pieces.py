@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = """doc_id long, sample int, ids array<int>, n_pieces long, log_prob double, perturbed double,
     log_inclusion double, decoded boolean"""
 SPACE, LITERAL, NEWLINE = 0x2581, 0x110001, 10
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 3 << 20
 # What leaves a path after its first NEAR arcs, where the mass is below exp(-FAR), would have to come with a
 # waiting time below any that 53 bits can give.
 NEAR, FAR = 256, 120.0
@@ -100,7 +100,7 @@ class Vocabulary:
     def arcs(self, cp: np.ndarray, end: np.ndarray):
         """(start, end, piece) of all pieces in the units; -1 for a character to be spelled in bytes."""
         n = len(cp)
-        at, state, length = np.arange(n), np.zeros(n, np.int64), 0
+        at, state, length = np.arange(n, dtype=np.int32), np.zeros(n, np.int64), 0
         single = np.zeros(n, bool)
         found = []
         while len(at) and length < self.longest:
@@ -114,7 +114,7 @@ class Vocabulary:
                 single[at[full]] = True
             more = at + length < end[at]
             at, state = at[more], state[more]
-        odd = np.flatnonzero(~single)
+        odd = np.flatnonzero(~single).astype(np.int32)
         found.append((odd, odd + 1, np.full(len(odd), -1)))
         return tuple(np.concatenate(c) for c in zip(*found))
 
@@ -156,28 +156,30 @@ class Lattice:
     def _weigh(self, end):
         """Backward sums over each unit, then arcs sorted by start with running probabilities."""
         start, stop, piece = self.v.arcs(self.cp, end)
-        order = np.argsort(start.astype(np.int32), kind="stable")  # runs by piece length: merged
+        order = np.argsort(start, kind="stable")  # runs by piece length: merged
         start, stop, piece = start[order], stop[order], piece[order]
         self.arc_start, self.arc_end, self.piece = start, stop, piece
         weight = np.where(piece >= 0, self.v.log_weight[piece], self.v.log_weight[self.v.first_byte] * 3)
         left = end[start] - start
         small = len(left) and left.max() < 1 << 16  # sorted by radix
         order = np.argsort(left.astype(np.uint16) if small else left, kind="stable")
-        first = order[new_run(start[order])]  # first arc of each place, by the place's distance to the end
-        self.node_arc = np.searchsorted(start, np.arange(len(self.cp) + 1))
-        count = self.node_arc[start[first] + 1] - first
-        steps = np.append(np.flatnonzero(new_run(left[first])), len(first)) if len(first) else [0]
+        o_start, o_weight, o_left = start[order], weight[order], left[order]
+        o_stop = np.where(stop[order] == o_start + o_left, len(self.cp), stop[order])  # a unit's end is one place
+        first = np.flatnonzero(new_run(o_start))  # first arc of each place, by the place's distance to the end
+        place = o_start[first]
+        count = np.diff(np.append(first, len(order)))
+        steps = np.append(np.flatnonzero(new_run(o_left[first])), len(first)).tolist() if len(first) else [0]
+        bounds = np.append(first, len(order))[steps].tolist()
         beta = np.zeros(len(self.cp) + 1)
-        total = np.where(stop == end[start], weight, 0.0)
-        done = 0
-        for a, b in zip(steps[:-1], steps[1:]):  # places one character from the end first, then two ...
-            arcs, n = order[done:done + int(count[a:b].sum())], count[a:b]
-            done += len(arcs)
-            begin = np.cumsum(n) - n
-            value = np.where(total[arcs] == 0.0, weight[arcs] + beta[stop[arcs]], total[arcs])
+        for a, b, lo, hi in zip(steps[:-1], steps[1:], bounds[:-1], bounds[1:]):  # one character from the end first, then two ...
+            value = o_weight[lo:hi] + beta[o_stop[lo:hi]]
+            o_weight[lo:hi] = value
+            begin = first[a:b] - lo
             top = np.maximum.reduceat(value, begin)
-            total[arcs] = value
-            beta[start[first[a:b]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), begin))
+            beta[place[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count[a:b])), begin))
+        total = np.empty(len(start))
+        total[order] = o_weight
+        self.node_arc = np.searchsorted(start, np.arange(len(self.cp) + 1))
         total -= beta[start]
         self.logq = np.minimum(total, 0.0)
         q = np.exp(self.logq)
@@ -390,4 +392,4 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("sample"), pa.array(texts, pa.string())], ["doc_id", "sample", "text"])
 
-    return rows.select("doc_id", "sample", "ids").mapInArrow(run, kind)
+    return rows.select(F.col("doc_id").cast("long"), F.col("sample").cast("int"), "ids").mapInArrow(run, kind)
