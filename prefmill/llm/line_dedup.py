@@ -91,7 +91,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         F.coalesce(F.get("own", i - 1), F.lit(0).cast("long")).bitwiseXOR(rest.bitwiseXOR(F.get("moved", i))),
         F.col("n") - 1).alias("key")))
     whole = F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64(F.get("own", F.col("n") - 1), F.col("n")).alias("key")))
-    variants = sums.select("h", "at", F.explode(F.concat(without, whole)).alias("v")).select("h", "at", "v.i", "v.key").distinct()
+    variants = freeze(sums.select("h", "at", F.explode(F.concat(without, whole)).alias("v")).select("h", "at", "v.i", "v.key"))
 
     # the earliest line per (variant, place) and per variant, and the line that is the variant itself
     places = freeze(variants.groupBy("key", "i").agg(F.min("at").alias("first"), F.count("*").alias("n")))
