@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import freeze
+
 
 def latest_per_cell(raw: DataFrame, order: list[str]) -> DataFrame:
     """One row per (user, item): the latest by ``order``, then by rating.
@@ -42,12 +44,12 @@ def sizes_of(ratings: DataFrame, key: str) -> DataFrame:
     return ratings.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def activity_floor(ratings: DataFrame, key: str, q: float = 0.7) -> float:
-    """The rounded ``q`` quantile (interpolated, half to even) of ratings per key.
+def activity_floor(sizes: DataFrame, q: float = 0.7) -> float:
+    """The rounded ``q`` quantile (interpolated, half to even) of ``sizes_of`` a key.
 
     Equal sizes are counted first, so the quantile sees distinct sizes only.
     """
-    freq = sizes_of(ratings, key).groupBy("n").agg(F.count(F.lit(1)).alias("f"))
+    freq = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("f"))
     return float(freq.agg(F.bround(F.percentile("n", F.lit(q), F.col("f")), 0).alias("x")).first()["x"])
 
 
@@ -58,6 +60,7 @@ def trim_by_activity(ratings: DataFrame, q: float = 0.7) -> DataFrame:
     """
     kept = ratings
     for key in ("item_id", "user_id"):
-        rare = sizes_of(ratings, key).where(F.col("n") < activity_floor(ratings, key, q)).select(key)
+        sizes = freeze(sizes_of(ratings, key))
+        rare = sizes.where(F.col("n") < activity_floor(sizes, q)).select(key)
         kept = kept.join(rare, key, "left_anti")
     return kept.select(*ratings.columns)

@@ -7,55 +7,89 @@ for the cells asked for. The dense product is never formed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.recommendation import ALS, ALSModel
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.prefs import UNSEEN_DISLIKE
 from ..functions.vectors import combine, dot, literal, outer_sums, times_matrix, vec_sum, weighted_sum, zeros
-from ..session import shared_dir, tasks_for
+from ..session import freeze, shared_dir, tasks_for
+from .ordering import positions
 from .scale import Span
 
 BLOCK = 4096      # factor rows per side of an all-pairs block
-MAX_BLOCKS = 256  # ALS exchanges a message per pair of blocks
+INT_MAX = 2**31 - 1
+
+
+@dataclass
+class Factors:
+    """What ALS found: ``(id, features)`` of rows and of columns, under the ids they came with."""
+
+    userFactors: DataFrame
+    itemFactors: DataFrame
+    rank: int
+
+
+def _numbered(cells: DataFrame, col: str) -> DataFrame:
+    """A dense number for every id of a column, frozen so that it cannot change."""
+    return freeze(positions(cells.select(col).distinct(), [F.col(col)], "n"))
 
 
 def als_fit(cells: DataFrame, rank: int, iters: int, reg: float, nonnegative: bool = True,
-            seed: int = 999) -> ALSModel:
-    """Explicit ALS on ``(row, col, value)`` cells."""
+            seed: int = 999, blocks: int | None = None) -> Factors:
+    """Explicit ALS on ``(row, col, value)`` cells.
+
+    Spark's ALS takes 32-bit ids; larger ones are numbered before and named
+    again afterwards. ``blocks`` defaults to one per two million cells, or per
+    core where there are fewer.
+    """
     spark = cells.sparkSession
     shared_dir(spark)  # lets ALS cut its lineage while iterating
-    blocks = min(tasks_for(spark, cells.count(), 1 << 14, 1 << 21), MAX_BLOCKS)
+    facts = cells.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("row", "col") for k, f in (
+        ("lo", F.min), ("hi", F.max))]).first()
+    names = {c: _numbered(cells, c) for c in ("row", "col") if (facts[f"hi_{c}"] or 0) > INT_MAX or (facts[f"lo_{c}"] or 0) < -INT_MAX}
+    for c, known in names.items():
+        cells = cells.join(known, c).withColumn(c, F.col("n")).drop("n")
+    blocks = blocks or max(-(-facts["n"] // (1 << 21)), tasks_for(spark, facts["n"], 1 << 14, 1 << 21))
     als = ALS(
         rank=rank, maxIter=iters, regParam=reg, nonnegative=nonnegative, seed=seed,
         userCol="row", itemCol="col", ratingCol="value", coldStartStrategy="drop",
         numUserBlocks=blocks, numItemBlocks=blocks,
     )
-    return als.fit(cells.select(
+    model = als.fit(cells.select(
         F.col("row").cast("int"), F.col("col").cast("int"), F.col("value").cast("float")))
 
+    def named(factors, c):
+        factors = factors.select(F.col("id").cast("long").alias("id"), "features")
+        if c not in names:
+            return factors
+        return factors.join(names[c], F.col("id") == F.col("n")).select(F.col(c).cast("long").alias("id"), "features")
+
+    return Factors(named(model.userFactors, "row"), named(model.itemFactors, "col"), rank)
+
 
 def fit_ratings(ratings: DataFrame, rank: int = 8, iters: int = 10, reg: float = 0.1,
-                nonnegative: bool = False, seed: int = 999) -> ALSModel:
+                nonnegative: bool = False, seed: int = 999) -> Factors:
     return als_fit(
         ratings.select(F.col("user_id").alias("row"), F.col("item_id").alias("col"),
                        F.col("rating").alias("value")), rank, iters, reg, nonnegative, seed)
 
 
-def row_factors(model: ALSModel) -> DataFrame:
-    return model.userFactors.select(F.col("id").cast("long").alias("id"), "features")
+def row_factors(model: Factors) -> DataFrame:
+    return model.userFactors
 
 
-def col_factors(model: ALSModel) -> DataFrame:
-    return model.itemFactors.select(F.col("id").cast("long").alias("id"), "features")
+def col_factors(model: Factors) -> DataFrame:
+    return model.itemFactors
 
 
-def predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
-    """Scores of the given (user, item) pairs; pairs with unknown ids are left out."""
-    asked = pairs.select("*", F.col("user_id").cast("int").alias("row"), F.col("item_id").cast("int").alias("col"))
-    return model.transform(asked).drop("row", "col").withColumn(
-        "score", F.col("prediction").cast("double")).drop("prediction")
+def predict(model: Factors, pairs: DataFrame) -> DataFrame:
+    """Scores of the given (user, item) pairs; pairs with unknown ids, of whatever size, are left out."""
+    users = model.userFactors.withColumnRenamed("id", "user_id")
+    return score_pairs(pairs, users, model.itemFactors, model.rank)
 
 
 def complete_factors(domain: DataFrame, factors: DataFrame, k: int) -> DataFrame:

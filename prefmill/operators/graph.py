@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import freeze
+from ..session import freeze, freezing
 
 
 def pagerank(edges: DataFrame, iters: int = 10, damping: float = 0.85) -> DataFrame:
     """Ranks ``(id, rank)`` from ``edges(src, dst)``; every node starts at 1.
 
     Contributions to a node are summed before the shuffle; each round's ranks
-    are frozen, so the plan does not grow.
+    are written, so the plan does not grow, over those of two rounds before.
     """
     edges = freeze(edges.distinct())
     nodes = freeze(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     out = freeze(edges.join(degree, "src"))
-    ranks = nodes.withColumn("rank", F.lit(1.0))
+    ranks, keep = nodes.withColumn("rank", F.lit(1.0)), freezing(edges.sparkSession, "ranks")
     for _ in range(iters):
         sent = out.join(ranks, out.src == ranks.id).groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        ranks = freeze(nodes.join(sent, "id", "left").select(
+        ranks = keep(nodes.join(sent, "id", "left").select(
             "id", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
     return ranks

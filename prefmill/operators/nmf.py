@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import combine, dot, literal, outer_sums, times_matrix, vec_sum, weighted_sum, zeros
-from ..session import freeze
+from ..session import freeze, freezing
 from .factor import factor_gram, symmetric
 
 TINY = 1e-12
@@ -37,8 +37,8 @@ def _start(ids: DataFrame, k: int, seed: int, scale: float) -> DataFrame:
     return ids.select("id", combine(draw, k).alias("features"))
 
 
-def _updated(old: DataFrame, numer: DataFrame, gram: np.ndarray, k: int, shift=None, shift_from: int = 0) -> DataFrame:
-    """``old * (numer + shift) / (old gram)``, frozen; numerators below 0 by rounding
+def _updated(old: DataFrame, numer: DataFrame, gram: np.ndarray, k: int, keep, shift=None, shift_from: int = 0) -> DataFrame:
+    """``old * (numer + shift) / (old gram)``, written by ``keep``; numerators below 0 by rounding
     count as 0. ``hit`` is each new vector's product with its numerator."""
     joined = (
         old.join(numer, "id", "left").withColumn("_g", literal(gram.ravel()))
@@ -48,7 +48,7 @@ def _updated(old: DataFrame, numer: DataFrame, gram: np.ndarray, k: int, shift=N
         "num", combine("greatest(coalesce(num[{d}], 0D) + _s[{d}], 0D)", k))
     step = "features[{d}] * num[{d}] / (_low[{d}] + " + f"{TINY}D)"
     new = top.select("id", combine(step, k).alias("features"), "num")
-    return freeze(new.select("id", "features", dot("features", "num", k).alias("hit")))
+    return keep(new.select("id", "features", dot("features", "num", k).alias("hit")))
 
 
 def _facts(factors: DataFrame, k: int) -> tuple[np.ndarray, float]:
@@ -84,13 +84,14 @@ def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame
     h = freeze(_start(col_ids, k, seed + 1, scale))
     gram_h = factor_gram(h, k)
     losses = []
+    keep_w, keep_h = freezing(cells.sparkSession, "rows"), freezing(cells.sparkSession, "cols")
     for _ in range(iters):
         num = cells.join(h.select(F.col("id").alias("col"), "features"), "col").groupBy(
             F.col("row").alias("id")).agg(weighted_sum("value", "features", k).alias("num"))
         shift = None
         if base is not None:
             shift = base.join(h, "id").agg(weighted_sum("base", "features", k).alias("t")).first()["t"]
-        w = _updated(w, num, gram_h, k, shift, base_from)
+        w = _updated(w, num, gram_h, k, keep_w, shift, base_from)
         gram_w, _ = _facts(w, k)
 
         num = cells.join(w.select(F.col("id").alias("row"), "features"), "row").groupBy(
@@ -99,7 +100,7 @@ def nmf_fit(cells: DataFrame, k: int, iters: int, seed: int = 0, base: DataFrame
             mass = w.where(F.col("id") >= base_from).agg(vec_sum("features", k).alias("t")).first()["t"]
             num = base.join(num, "id", "left").withColumn("_m", literal(mass)).select(
                 "id", combine("coalesce(num[{d}], 0D) + base * _m[{d}]", k).alias("num"))
-        h = _updated(h, num, gram_w, k)
+        h = _updated(h, num, gram_w, k, keep_h)
         gram_h, cross = _facts(h, k)  # cross: the sum of T * (W H) over all cells
         losses.append(float(square - 2 * cross + np.sum(gram_w * gram_h)))
     return Nmf(w.select("id", "features"), h.select("id", "features"), losses)

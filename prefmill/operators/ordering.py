@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import freeze
@@ -20,11 +19,15 @@ FANOUT = 4096
 
 
 def before(cols: list[str], key: tuple) -> Column:
-    """True for rows sorting strictly before ``key`` (which may be a key prefix)."""
+    """True for rows sorting strictly before ``key`` (which may be a key prefix); nulls sort first."""
     test = F.lit(False)
     for name, value in reversed(list(zip(cols, key))):
-        test = (F.col(name) < value) | ((F.col(name) == value) & test)
-    return test
+        col = F.col(name)
+        if value is None:
+            test = col.isNull() & test
+        else:
+            test = col.isNull() | (col < value) | ((col == value) & test)
+    return F.coalesce(test, F.lit(False))
 
 
 def rank_cuts(df: DataFrame, cols: list[str], positions, fanout: int = FANOUT) -> tuple[int, list[tuple]]:
@@ -32,31 +35,34 @@ def rank_cuts(df: DataFrame, cols: list[str], positions, fanout: int = FANOUT) -
 
     ``positions`` is a list, or a function from the row count to such a list.
     Each key separates the rows before that position from the rest. ``cols``
-    are integer columns which together are unique. Every step groups into at
-    most ``fanout`` buckets per position, so only that many counts reach the
-    driver, and tied values cost no more than others.
+    are integer columns which together are unique; a null sorts before all
+    numbers, as one step below the least. Every step groups into at most
+    ``fanout`` buckets per position, so only that many counts reach the driver,
+    and tied values cost no more than others. ``df`` is read some times over, so
+    pass a frozen table: its scans prune columns and filter.
     """
-    keys = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        whole = keys.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols],
-        ).first()
-        n = whole["n"]
-        wanted = positions(n) if callable(positions) else positions
-        cuts = ["low" if p <= 0 else "high" if p >= n else _Cut(int(p)) for p in wanted]
-        for depth, name in enumerate(cols):
-            for c in cuts:
-                if isinstance(c, _Cut) and c.left:
-                    c.low, c.high = whole[f"lo_{name}"], whole[f"hi_{name}"]
-            while _narrow(keys, cols[:depth], name, [c for c in cuts if isinstance(c, _Cut)], fanout):
-                pass
-            for c in cuts:
-                if isinstance(c, _Cut) and len(c.key) == depth and (c.left or c.low is not None):
-                    c.key, c.low = c.key + (c.low,), None
-        return n, [c.key if isinstance(c, _Cut) else c for c in cuts]
-    finally:
-        keys.unpersist()
+    bounds = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols],
+        *[F.count(c).alias(f"n_{c}") for c in cols],
+    ).first()
+    n = bounds["n"]
+    null = {c: (bounds[f"lo_{c}"] or 0) - 1 for c in cols if bounds[f"n_{c}"] < n}
+    keys = df.select(*[F.coalesce(F.col(c), F.lit(null[c])).cast("long").alias(c) if c in null else c for c in cols])
+    wanted = positions(n) if callable(positions) else positions
+    cuts = ["low" if p <= 0 else "high" if p >= n else _Cut(int(p)) for p in wanted]
+    for depth, name in enumerate(cols):
+        for c in cuts:
+            if isinstance(c, _Cut) and c.left:
+                c.low, c.high = null.get(name, bounds[f"lo_{name}"]), bounds[f"hi_{name}"]
+                c.high = c.low if c.high is None else c.high
+        while _narrow(keys, cols[:depth], name, [c for c in cuts if isinstance(c, _Cut)], fanout):
+            pass
+        for c in cuts:
+            if isinstance(c, _Cut) and len(c.key) == depth and (c.left or c.low is not None):
+                c.key, c.low = c.key + (c.low,), None
+    back = lambda key: tuple(None if c in null and v == null[c] else v for c, v in zip(cols, key))
+    return n, [back(c.key) if isinstance(c, _Cut) else c for c in cuts]
 
 
 @dataclass

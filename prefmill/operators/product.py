@@ -18,6 +18,7 @@ from ..session import freeze, tasks_for
 from .stream import chunks_by_cost, group_batches, ranges, starts_of
 
 PAIR_BUDGET = 1 << 27     # multiplications one key may cost before it is split
+SIDE_BUDGET = 1 << 22     # cells of either side of one key before it is split
 SMALL = 1 << 21           # multiplications worth a task of their own
 BATCH_CELLS = 1 << 20     # cells multiplied together in a task
 BLOCK_CELLS = 1 << 24     # cells of a dense partial block
@@ -79,16 +80,20 @@ def _heavy(sizes: DataFrame, budget: int) -> tuple[DataFrame | None, float]:
     """Keys whose ``nl * nr`` products are too many for one task, each with a grid of
     ``p`` row parts by ``q`` column parts; and the number of all products.
 
-    Where the right side is short, only the left is cut. The keys are written as
-    a table, so that its true size decides how it is joined.
+    Neither side of a part has many more than ``SIDE_BUDGET`` cells; where the
+    right side is short, only the left is cut. The keys are written as a table,
+    so that its true size decides how it is joined.
     """
     cost = F.col("nl").cast("double") * F.col("nr")
-    facts = sizes.agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("work"), F.max(cost).alias("most")).first()
-    if (facts["most"] or 0.0) <= budget:
+    longest = F.greatest("nl", "nr")
+    facts = sizes.agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("work"), F.max(cost).alias("most"), F.max(longest).alias("side")).first()
+    if (facts["most"] or 0.0) <= budget and (facts["side"] or 0) <= SIDE_BUDGET:
         return None, facts["work"]
-    q = F.ceil(F.greatest(F.col("nr") / float(budget) ** 0.5, F.lit(1.0))).cast("long")
-    p = F.ceil(cost / (F.col("q") * float(budget))).cast("long")
-    return freeze(sizes.where(cost > budget).withColumn("q", q).select("key", p.alias("p"), "q")), facts["work"]
+    side = float(SIDE_BUDGET)
+    q = F.ceil(F.greatest(F.when(cost > budget, F.col("nr") / float(budget) ** 0.5).otherwise(1.0), F.col("nr") / side, F.lit(1.0))).cast("long")
+    p = F.ceil(F.greatest(cost / (F.col("q") * float(budget)), F.col("nl") / side, F.lit(1.0))).cast("long")
+    heavy = sizes.where((cost > budget) | (longest > SIDE_BUDGET))
+    return freeze(heavy.withColumn("q", q).select("key", p.alias("p"), "q")), facts["work"]
 
 
 def _with_splits(cells: DataFrame, heavy: DataFrame | None) -> DataFrame:
@@ -145,6 +150,7 @@ def _dense(groups, lg, lx, lv, rg, rx, rv, rows, cids, triangle):
         mine = (lx >= at) & (lx < end)
         mg, mx, mv = lg[mine], lx[mine] - at, lv[mine]
         acc = np.zeros((end - at, len(cids)))
+        met = np.zeros(acc.shape, bool)
         for g in range(0, groups, slab):
             h = min(g + slab, groups)
             a, b = np.zeros((h - g, end - at)), np.zeros((h - g, len(cids)))
@@ -153,7 +159,13 @@ def _dense(groups, lg, lx, lv, rg, rx, rv, rows, cids, triangle):
             s = slice(*np.searchsorted(rg, (g, h)))
             np.add.at(b, (rg[s] - g, rx[s]), rv[s])
             acc += a.T @ b
-        i, j = np.nonzero(acc)
+            ones, others = np.zeros(a.shape, np.float32), np.zeros(b.shape, np.float32)
+            s = slice(*np.searchsorted(mg, (g, h)))
+            ones[mg[s] - g, mx[s]] = 1
+            s = slice(*np.searchsorted(rg, (g, h)))
+            others[rg[s] - g, rx[s]] = 1
+            met |= (ones.T @ others) > 0
+        i, j = np.nonzero(met)
         if triangle:
             keep = rows[at + i] <= cids[j]
             i, j = i[keep], j[keep]

@@ -21,9 +21,12 @@ DENSE = 1 << 23        # cells of a dense scratch block
 EXPAND = 1 << 22       # lookups expanded at once
 
 
-def _grid(prefs: DataFrame, matrix: DataFrame, block_rows: int, tile_rows: int):
+def _grid(prefs: DataFrame, matrix: DataFrame, targets: DataFrame | None, block_rows: int, tile_rows: int):
+    """User blocks and column tiles such that no group holds many more than ``block_rows`` of users' cells
+    (preferences and targets) or ``tile_rows`` of the matrix, however large the tables."""
     n_prefs, n_matrix = prefs.count(), matrix.count()
-    blocks = tasks_for(prefs.sparkSession, n_prefs, SMALL, block_rows)
+    n_users = n_prefs + (targets.count() if targets is not None else 0)
+    blocks = max(-(-n_users // block_rows), tasks_for(prefs.sparkSession, n_prefs, SMALL, block_rows))
     tiles = max(-(-n_matrix // tile_rows), 1)
     return blocks, tiles
 
@@ -36,20 +39,30 @@ def _spread(n: int):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def _groups(prefs, matrix, targets, values, blocks, tiles):
+def _groups(prefs, matrix, targets, values, blocks, tiles, wanted=False):
     """Union of the three inputs, laid out by (block, tile).
 
     ``side`` 0: preference (user, item, value), 1: matrix (row, col, values),
     2: wanted or hidden cell (user, item), with a value of its own if it has one.
+    With ``wanted``, targets are all that is scored: a preference then goes only
+    to tiles its user asks for, a matrix cell only to blocks that ask for its tile.
     """
     nothing = [F.lit(0.0).alias(f"v{i}") for i in range(len(values))]
+    if wanted and tiles > 1:
+        asked = targets.select("user_id", _hashed("item_id", tiles).alias("tile")).distinct()
+        prefs = prefs.join(asked, "user_id")
+        by_block = asked.select(_hashed("user_id", blocks).alias("block"), "tile").distinct()
+        matrix = matrix.withColumn("tile", _hashed("col", tiles)).join(by_block, "tile")
+        p_tile, m_block, m_tile = F.col("tile"), F.col("block"), F.col("tile")
+    else:
+        p_tile, m_block, m_tile = _spread(tiles).alias("tile"), _spread(blocks).alias("block"), _hashed("col", tiles).alias("tile")
     p = prefs.select(
-        _hashed("user_id", blocks).alias("block"), _spread(tiles).alias("tile"), F.lit(0).alias("side"),
+        _hashed("user_id", blocks).alias("block"), p_tile, F.lit(0).alias("side"),
         F.col("user_id").alias("a"), F.col("item_id").alias("b"),
         F.col("value").cast("double").alias("v0"), *nothing[1:],
     )
     m = matrix.select(
-        _spread(blocks).alias("block"), _hashed("col", tiles).alias("tile"), F.lit(1).alias("side"),
+        m_block, m_tile, F.lit(1).alias("side"),
         F.col("row").alias("a"), F.col("col").alias("b"),
         *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)],
     )
@@ -90,7 +103,7 @@ def top_items(prefs: DataFrame, matrix: DataFrame, k: int, value: str = "value",
     Items scoring above 0 are ranked, or all of them without ``positive``; ties
     go to the larger item id.
     """
-    blocks, tiles = _grid(prefs, matrix, block_rows, tile_rows)
+    blocks, tiles = _grid(prefs, matrix, seen, block_rows, tile_rows)
     laid = _groups(prefs, matrix, seen, [value], blocks, tiles)
     floor = 0.0 if positive else -np.inf
     by_prefs = hide_seen and seen is None
@@ -176,8 +189,8 @@ def score_cells(prefs: DataFrame, matrix: DataFrame, targets: DataFrame, values:
     each gives one column of ``names``.
     """
     values, names = list(values), list(names)
-    blocks, tiles = _grid(prefs, matrix, block_rows, tile_rows)
-    laid = _groups(prefs, matrix, targets, values, blocks, tiles)
+    blocks, tiles = _grid(prefs, matrix, targets, block_rows, tile_rows)
+    laid = _groups(prefs, matrix, targets, values, blocks, tiles, wanted=True)
     width = len(values)
 
     def run(batches):
@@ -237,9 +250,9 @@ def list_similarities(lists: DataFrame, matrix: DataFrame, value: str = "value",
     Lists are short by construction (top-k), so the arrays are too.
     """
     prefs = lists.select("user_id", "item_id", F.col("rank").cast("double").alias("value"))
-    blocks, tiles = _grid(prefs, matrix, block_rows, tile_rows)
     wanted = lists.select("user_id", "item_id", F.col("rank").cast("double").alias("value"))
-    laid = _groups(prefs, matrix, wanted, [value], blocks, tiles)
+    blocks, tiles = _grid(prefs, matrix, wanted, block_rows, tile_rows)
+    laid = _groups(prefs, matrix, wanted, [value], blocks, tiles, wanted=True)
 
     def run(batches):
         for (u, i, (rank,)), (r, c, ms), (tu, ti, (own,)) in _each_group(batches, 1):

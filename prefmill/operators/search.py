@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,18 +15,22 @@ def grid(**axes) -> list[dict]:
 
 
 def search(spark: SparkSession, settings: list[dict], measure, largest: bool = True) -> DataFrame:
-    """Run ``measure(**setting) -> float`` for each setting.
+    """Run ``measure(**setting) -> float or None`` for each setting.
 
-    One row per setting with its metric, seconds, and whether it is the best.
+    One row per setting with its metric, seconds, and whether it is the best. A
+    metric that cannot be taken (one class only) is null and never the best
+    while another can; if none can, the first setting is.
     Data shared by the settings should be frozen before.
     """
     rows = []
     for s in settings:
         began = perf_counter()
-        value = float(measure(**s))
-        rows.append({**s, "metric": value, "seconds": perf_counter() - began})
-    pick = max if largest else min
-    best = pick(range(len(rows)), key=lambda i: rows[i]["metric"])
+        value = measure(**s)
+        rows.append({**s, "metric": None if value is None else float(value), "seconds": perf_counter() - began})
+    known = [i for i, r in enumerate(rows) if r["metric"] is not None and not math.isnan(r["metric"])]
+    best = (max if largest else min)(known, key=lambda i: rows[i]["metric"]) if known else 0
     for i, r in enumerate(rows):
         r["best"] = i == best
-    return spark.createDataFrame(rows)
+    kinds = {bool: "boolean", int: "long", float: "double", str: "string"}
+    schema = ", ".join(f"{c} {'double' if c == 'metric' else kinds[type(v)]}" for c, v in rows[0].items())
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.prefs import last_digit
+from ..session import freeze
 from .ordering import is_before, positions, rank_cuts
 
 TIME_ORDER = ["ts", "user_id", "item_id"]
@@ -28,8 +29,9 @@ def by_time(ratings: DataFrame, *shares: float, roles=("train", "validation", "t
     """Chronological split: the first ``floor(n * share)`` rows are train, and so on.
 
     One share gives train/test, two give train/validation/test. Rows with equal
-    time are ordered by user and item. The cut is found by counting, so the
-    split itself is a filter: no sort, no shuffle.
+    time are ordered by user and item; rows without a time come before all
+    others. The cut is found by counting, so the split itself is a filter: no
+    sort, no shuffle.
     """
     _, cuts = rank_cuts(ratings, TIME_ORDER, lambda n: [int(n * s) for s in shares])
     names = [roles[0], roles[2]] if len(shares) == 1 else list(roles)
@@ -49,8 +51,13 @@ def parts_by_time(ratings: DataFrame, *shares: float) -> list[DataFrame]:
     return [*parts, ratings.where(~tests[-1])]
 
 
+def _digest(cols, seed: int):
+    """md5 of the columns and the seed, which any engine gives alike."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))).cast("binary"))
+
+
 def _bucket(cols, seed: int, n: int):
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(n))
+    return F.conv(F.substring(_digest(cols, seed), 1, 8), 16, 10).cast("long") % n
 
 
 def by_hash(df: DataFrame, keys: list[str], share: float = 0.8, seed: int = 42) -> DataFrame:
@@ -98,7 +105,9 @@ def all_but(ratings: DataFrame, start: int = 1, stop: int = 10, max_test: int =
     )
     test = first.where(F.col("nth") >= start).select(*FILE_ORDER)
     if max_test > 0:
-        test = positions(test, [F.col(c) for c in FILE_ORDER]).where(F.col("pos") < max_test).drop("pos")
+        test = freeze(test)
+        _, (cut,) = rank_cuts(test, FILE_ORDER, [max_test])
+        test = test.where(is_before(FILE_ORDER, cut))
     return ratings.join(test.withColumn("role", F.lit("test")), FILE_ORDER, "left").withColumn(
         "role", F.coalesce("role", F.lit("train")))
 
@@ -110,4 +119,4 @@ def every_nth(df: DataFrame, n: int, order: list[str] = FILE_ORDER) -> DataFrame
 
 def sample_cells(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows at random, the same ones however rows are partitioned."""
-    return df.orderBy(F.xxhash64(*FILE_ORDER, F.lit(seed)), *FILE_ORDER).limit(n)
+    return df.orderBy(_digest(FILE_ORDER, seed), *FILE_ORDER).limit(n)

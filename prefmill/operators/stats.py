@@ -38,16 +38,11 @@ def matrix_histogram(ratings: DataFrame) -> DataFrame:
     return counts.unionByName(empty.where("n > 0"))
 
 
-def bounded_ids(df: DataFrame, col: str, limit: int = 2000) -> list[int]:
-    """The distinct ids in order, refused beyond ``limit``: they become columns."""
-    rows = df.select(col).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct {col}: keep the long form")
-    return sorted(r[0] for r in rows)
-
-
 def pivot_ratings(ratings: DataFrame, item_ids: list[int]) -> DataFrame:
-    """Wide export for a given, bounded list of items; 0 where unrated."""
+    """Wide export for a given list of items; 0 where unrated. Ratings of other items are refused, not dropped."""
+    known = ratings.sparkSession.createDataFrame([(i,) for i in item_ids], "item_id long")
+    if not ratings.join(known, "item_id", "left_anti").isEmpty():
+        raise ValueError("ratings of items that are not in the list")
     wide = ratings.groupBy("user_id").pivot("item_id", item_ids).agg(F.avg("rating"))
     return wide.select(
         "user_id", *[F.coalesce(F.col(f"`{i}`"), F.lit(0.0)).alias(f"item_{i}") for i in item_ids]

@@ -83,8 +83,9 @@ def nmf_scores(model: Nmf, offset: int, n_items: int, train: DataFrame, targets:
                beta: float = 0.5) -> DataFrame:
     """[x, beta y] times the completed halves, each scaled over its positive cells.
 
-    Multiplicative updates keep factors positive, so every completed cell is
-    positive and the scaling is affine: it moves out of the product.
+    Completed cells of two factor rows that are not all 0 are positive, and their
+    scaling is affine: it moves out of the product. Rows that the updates have
+    set to 0 complete to 0 cells, which stay 0: they take no part in the sums.
     """
     pos = freeze(model.rows.where(F.col("id") < offset))
     neg = freeze(model.rows.where(F.col("id") >= offset).withColumn("id", F.col("id") - offset))
@@ -93,11 +94,18 @@ def nmf_scores(model: Nmf, offset: int, n_items: int, train: DataFrame, targets:
     down = dislike_vectors(user_vectors(prefs, neg, k), neg, k).withColumnRenamed("features", "_down")
     items = model.cols.select(F.col("id").alias("item_id"), F.col("features").alias("_v"))
     a, b = product_span(pos, model.cols), product_span(neg, model.cols)
-    y_sum = UNSEEN_DISLIKE * n_items - F.col("mass")
-    upper = (dot("_up", "_v", k) - a.low * F.col("mass")) / ((a.high - a.low) or 1.0)
+    live = F.exists("features", lambda x: x > 0)
+    live_pos, live_neg = (m.where(live).select(F.col("id").alias("item_id")) for m in (pos, neg))
+    n_down = live_neg.count()
+    mass = prefs.select("user_id", "item_id", "x").join(live_pos.withColumn("_p", F.lit(1)), "item_id", "left").join(
+        live_neg.withColumn("_n", F.lit(1)), "item_id", "left").groupBy("user_id").agg(
+        F.coalesce(F.sum(F.col("x") * F.col("_p")), F.lit(0.0)).alias("_mass_up"),
+        F.coalesce(F.sum(F.col("x") * F.col("_n")), F.lit(0.0)).alias("_mass_down"))
+    y_sum = UNSEEN_DISLIKE * n_down - F.col("_mass_down")
+    upper = (dot("_up", "_v", k) - a.low * F.col("_mass_up")) / ((a.high - a.low) or 1.0)
     lower = (dot("_down", "_v", k) - b.low * y_sum) / ((b.high - b.low) or 1.0)
+    score = F.when(F.exists("_v", lambda x: x > 0), upper + beta * lower).otherwise(F.lit(0.0))
     return (
         targets.select("user_id", "item_id").join(up.join(down, "user_id"), "user_id")
-        .join(user_mass(train), "user_id").join(items, "item_id")
-        .select("user_id", "item_id", (upper + beta * lower).alias("score"))
+        .join(mass, "user_id").join(items, "item_id").select("user_id", "item_id", score.alias("score"))
     )

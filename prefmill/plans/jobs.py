@@ -20,7 +20,7 @@ from .queries import query
 
 
 def report(spark, **numbers) -> DataFrame:
-    return spark.createDataFrame([(k, float(v)) for k, v in numbers.items()], "metric string, value double")
+    return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in numbers.items()], "metric string, value double")
 
 
 def auc(scored: DataFrame, truth: DataFrame) -> float:

@@ -23,6 +23,11 @@ r AS (SELECT user_id, item_id, rating, ts FROM (
     ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, rating DESC) AS rn
   FROM li0) WHERE rn = 1)"""
 
+def md5_role(digest: str) -> str:
+    return f"CASE WHEN ('0x' || substr(md5({digest}), 1, 8))::BIGINT % 1000 < 800 THEN 'train' ELSE 'test' END"
+
+
+
 SPLIT = """s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY ts, user_id, item_id)
     <= CAST(floor((SELECT count(*) FROM r) * CAST(0.8 AS DOUBLE)) AS BIGINT) THEN 'train' ELSE 'test' END AS role FROM r),
 train AS (SELECT * FROM s WHERE role = 'train'),
@@ -176,6 +181,18 @@ SQL = {
         count(*) OVER () * CAST(0.6 AS DOUBLE) AS a, count(*) OVER () * CAST(0.8 AS DOUBLE) AS b FROM r)
       SELECT CASE WHEN pos <= floor(a) THEN 'train' WHEN pos <= floor(b) THEN 'validation' ELSE 'test' END AS role,
         count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum(rating) AS stars FROM p GROUP BY 1""",
+    "split_by_hash": w(LI) + f"SELECT user_id, item_id, rating, {md5_role("concat_ws('|', user_id, item_id, 42)")} AS role FROM r",
+    "sample_cells": w(EV) + """SELECT user_id, item_id, rating FROM r
+      ORDER BY md5(concat_ws('|', user_id, item_id, 0)), user_id, item_id LIMIT 50""",
+    "reviews_split": w(REVIEWS) + f"""SELECT CASE WHEN score > 3 THEN 1 ELSE 0 END AS sentiment, summary,
+      {md5_role("concat_ws('|', summary, 42)")} AS role FROM rv WHERE score <> 3""",
+    "job_reviews": w(REVIEWS) + f"""SELECT CASE WHEN score > 3 THEN 1 ELSE 0 END AS sentiment,
+      {md5_role("concat_ws('|', summary, 42)")} AS role, count(*) AS n FROM rv WHERE score <> 3 GROUP BY 1, 2""",
+    "job_cv_subsets": w(EV) + """, p AS (SELECT *, row_number() OVER (ORDER BY user_id, item_id) - 1 AS pos,
+        count(*) OVER () // 5 AS size, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS nth FROM r)
+      SELECT 'r' || (1 + least(pos // size, 4)) AS fold, 'test' AS role, count(*) AS n FROM p GROUP BY 1
+      UNION ALL SELECT 'ra', CASE WHEN nth <= 10 THEN 'test' ELSE 'train' END, count(*) FROM p GROUP BY 2
+      UNION ALL SELECT 'rb', CASE WHEN nth BETWEEN 11 AND 20 THEN 'test' ELSE 'train' END, count(*) FROM p GROUP BY 2""",
     "five_fold": w(LI) + """, p AS (SELECT *, row_number() OVER (ORDER BY user_id, item_id) - 1 AS pos,
         count(*) OVER () // 5 AS size FROM r)
       SELECT user_id, item_id, CAST(1 + least(pos // size, 4) AS INTEGER) AS fold FROM p""",

@@ -344,7 +344,7 @@ def matrix_histogram(spark, d):
 @query
 def pivot_ratings(spark, d):
     r = freeze(ev(spark, d))
-    return stats.pivot_ratings(r, stats.bounded_ids(r, "item_id"))
+    return stats.pivot_ratings(r, list(range(tables.EVENT_ITEMS)))
 
 
 @query

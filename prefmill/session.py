@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         return known
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="prefmill-")
     sc.setCheckpointDir(named)
@@ -64,6 +65,18 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freezing(spark: SparkSession, name: str = "loop") -> Callable[[DataFrame], DataFrame]:
+    """``freeze`` for a loop that needs only the last two results of this name: they take turns at two paths."""
+    paths = [scratch_path(spark, name) for _ in range(2)]
+
+    def write(df: DataFrame) -> DataFrame:
+        paths.reverse()
+        df.write.mode("overwrite").parquet(paths[0])
+        return spark.read.schema(df.schema).parquet(paths[0])
+
+    return write
+
+
 def tasks_for(spark: SparkSession, work: float, small: float, large: float) -> int:
     """Tasks for a stage whose cost is computing, not bytes.
 

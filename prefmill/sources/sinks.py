@@ -26,11 +26,12 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_blocks(ratings: DataFrame, path: str, pieces: int = 32) -> None:
-    """Block files. An item's ratings are cut into up to ``pieces`` blocks, each with
+def write_blocks(ratings: DataFrame, path: str, piece_rows: int = 100_000) -> None:
+    """Block files. An item's ratings are cut into blocks of about ``piece_rows``, each with
     its own header, so that one popular item does not become one task."""
-    own = ratings.select(
-        "item_id", F.pmod(F.xxhash64("user_id"), F.lit(pieces)).alias("piece"), F.lit(1).alias("line"), "user_id",
+    pieces = ratings.groupBy("item_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece_rows)).alias("pieces"))
+    own = ratings.join(pieces, "item_id").select(
+        "item_id", F.pmod(F.xxhash64("user_id"), F.col("pieces")).alias("piece"), F.lit(1).alias("line"), "user_id",
         F.concat_ws(",", F.col("user_id").cast("string"), F.col("rating").cast("int").cast("string"),
                     F.expr("date_add(DATE'1970-01-01', CAST(floor(ts / 86400) AS INT))").cast("string")).alias("value"),
     )

@@ -8,6 +8,8 @@ from ..operators.clean import latest_per_cell
 
 # Lower bounds of ratings 2..5 on the event value.
 VALUE_STEPS = (11, 25, 45, 80)
+# Items of the events ratings: ids 0 .. 99 at every scale.
+EVENT_ITEMS = 100
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_blocks_span_many_splits_and_files(spark, tmp_path):
 def test_block_files_round_trip_with_split_items(spark, tiny, tmp_path):
     rows, df = tiny
     path = str(tmp_path / "out")
-    sinks.write_blocks(df, path, pieces=3)
+    sinks.write_blocks(df, path, piece_rows=4)
     got = blocks.read_blocks(spark, path).collect()
     assert sorted((r["user_id"], r["item_id"], r["rating"]) for r in got) == sorted(r[:3] for r in rows)
 

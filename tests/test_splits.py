@@ -92,7 +92,7 @@ def test_trim_uses_floors_of_the_untrimmed_table(spark):
     rows = [(u, i, 1.0, 0) for u in range(6) for i in range(u + 1)]
     df = spark.createDataFrame(rows, "user_id long, item_id long, rating double, ts long")
     # sizes 1..6: quantile 0.7 = 4.5, half to even = 4
-    assert clean.activity_floor(df, "user_id") == 4.0
+    assert clean.activity_floor(clean.sizes_of(df, "user_id")) == 4.0
     kept = {(r["user_id"], r["item_id"]) for r in clean.trim_by_activity(df).collect()}
     assert kept == {(u, i) for u, i, *_ in rows if u + 1 >= 4 and 6 - i >= 4}
 
