@@ -223,7 +223,7 @@ def unitigs(paths: DataFrame) -> DataFrame:
                       F.sum("edges").over(whole).cast("int").alias("unitig_edges"))
 
 
-def repeats(docs: DataFrame, width: int = 13, hot: int = 4096) -> tuple[blocks.Staged, DataFrame]:
+def repeats(docs: DataFrame, width: int = 13, hot: int = 1024) -> tuple[blocks.Staged, DataFrame]:
     """The staged table, and per block the runs of windows that later documents share with a source."""
     staged = blocks.stage(docs)
     masks = freeze(blocks.repeated_anchors(staged, lambda b, skip: grams(b, skip, width), hot))
@@ -255,7 +255,7 @@ def repeats(docs: DataFrame, width: int = 13, hot: int = 4096) -> tuple[blocks.S
     return staged, freeze(runs)
 
 
-def dedup(docs: DataFrame, width: int = 13, hot: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 13, hot: int = 1024) -> DataFrame:
     """(doc_id, n_words, n_removed, n_spans, longest, kept) per row.
 
     ``n_spans`` counts maximal spans that follow one unitig in step, ``longest`` is

@@ -31,7 +31,7 @@ from .kernels import combine, new_run, ranges, word_at_each_byte
 
 GRAM = 16
 SHALLOW = 3  # digits of eight bytes before the tries take over
-CHUNK = 400_000  # suffixes sorted at a time
+CHUNK = 200_000  # suffixes sorted at a time
 _KINDS = (np.uint64, np.int64, np.uint8, np.int64, np.int64, np.int32, np.int32)
 
 
@@ -108,15 +108,10 @@ def _split(digit: np.ndarray, order: np.ndarray, begins: np.ndarray) -> None:
     begins[rows] |= new_run(group, value[sub])
 
 
-def _window_keys(contexts: list[bytes], count: np.ndarray, width: int) -> np.ndarray:
-    """All windows of the contexts as rows of big-endian 8-byte digits."""
-    flat = np.frombuffer(b"".join(contexts) + b"\0" * 8, np.uint8)
-    size = count + width - 1
-    at = ranges(np.cumsum(size) - size, count)
-    whole = word_at_each_byte(flat).byteswap()
-    digits = -(-width // 8)
-    keys = np.empty((len(at), digits), np.uint64)
-    for d in range(digits):
+def _digits(whole: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The windows at some places as rows of big-endian 8-byte digits."""
+    keys = np.empty((len(at), -(-width // 8)), np.uint64)
+    for d in range(keys.shape[1]):
         short = max(0, 8 * (d + 1) - width)
         keys[:, d] = whole[at + 8 * d] >> np.uint64(8 * short) if short else whole[at + 8 * d]
     return keys
@@ -143,12 +138,23 @@ def window_owners(anchor: np.ndarray, contexts: list[bytes], owner: np.ndarray,
         b = int(np.searchsorted(filled, (filled[a - 1] if a else 0) + CHUNK))
         b += int(np.argmax(last_of_group[min(b, len(shared) - 1):])) + 1
         part = shared[a:b]
-        where = ranges(begin[part], count[part])
-        order, begins = deep_shallow(_window_keys([contexts[i] for i in part.tolist()], count[part], width))
-        first = np.flatnonzero(begins)
-        least = np.minimum.reduceat(out[where[order]], first)
-        out[where[order]] = np.repeat(least, np.diff(np.append(first, len(order))))
         a = b
+        size = count[part] + width - 1
+        flat = np.frombuffer(b"".join([contexts[i] for i in part.tolist()]) + b"\0" * 8, np.uint8)
+        whole = word_at_each_byte(flat).byteswap()
+        at, where = ranges(np.cumsum(size) - size, count[part]), ranges(begin[part], count[part])
+        # all windows by their first digit; the rest of the sort takes slices that no digit crosses
+        by = np.argsort(whole[at], kind="stable")
+        at, where = at[by], where[by]
+        heads = np.append(np.flatnonzero(new_run(whole[at])), len(at))
+        lo = 0
+        while lo < len(at):
+            hi = int(heads[np.searchsorted(heads, min(lo + CHUNK, len(at)))])
+            order, begins = deep_shallow(_digits(whole, at[lo:hi], width))
+            first = np.flatnonzero(begins)
+            mine = where[lo:hi][order]
+            out[mine] = np.repeat(np.minimum.reduceat(out[mine], first), np.diff(np.append(first, len(order))))
+            lo = hi
     return out, count
 
 
@@ -233,7 +239,7 @@ def _resolve(sent: DataFrame, width: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block long, places binary")
 
 
-def repeats(docs: DataFrame, width: int = 50, hot: int = 4096) -> tuple[blocks.Staged, DataFrame]:
+def repeats(docs: DataFrame, width: int = 50, hot: int = 1024) -> tuple[blocks.Staged, DataFrame]:
     """The staged table and (block, places) of all windows that also start in a smaller document."""
     staged = blocks.stage(docs)
     masks = freeze(blocks.repeated_anchors(staged, lambda b, skip: grams(b, skip, width), hot))
@@ -244,7 +250,7 @@ def repeats(docs: DataFrame, width: int = 50, hot: int = 4096) -> tuple[blocks.S
     return staged, freeze(places)
 
 
-def dedup(docs: DataFrame, width: int = 50, hot: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 50, hot: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) per row; spans are the maximal removed runs [start, end), kept the bytes left."""
     staged, places = repeats(docs, width, hot)
     side = places.select("block", F.lit(0).alias("idx"), "places").unionByName(
