@@ -203,7 +203,7 @@ def repeated_anchors(staged: Staged, grams, hot: int) -> DataFrame:
         ends = np.cumsum(sizes)
         out = [state[e - n:e] for e, n in zip(ends, sizes)]
         keep = [i for i, x in enumerate(out) if x.any()]
-        rows = rows.take(keep)
+        rows = rows.take(pa.array(keep, pa.int64()))
         return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"),
                                      pa.array([_squeeze(out[i]) for i in keep], pa.binary())], ["block", "bucket", "payload"])
 
