@@ -1,7 +1,8 @@
 """Named jobs: whole experiments from ratings to a report ``(metric, value)``.
 
-Each is a function of rating tables and settings; the registered forms run it
-on the derived ratings with a small grid.
+Each is a function of rating tables and settings; its defaults are the full
+grid. The registered forms run it on the derived ratings with two points on the
+axes that decide most, and fewer rounds.
 """
 
 from __future__ import annotations
@@ -65,8 +66,23 @@ def _pairs(rows):
     return rows.select("user_id", "item_id")
 
 
-def item_gram(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,), nmf_iters=4):
-    """Factors of X^T X by ALS and by NMF: AUC, and diversity after re-ranking."""
+def nmf_search(spark, ranks, rounds, fit, scores, valid):
+    """Grid of NMF over rank x rounds by validation AUC; the best settings with their model.
+
+    ``fit(rank, rounds)`` gives a model, ``scores(model, rank, rows)`` its scores.
+    """
+    models = {}
+
+    def measure(rank, rounds):
+        models[rank, rounds] = fit(rank, rounds)
+        return auc(scores(models[rank, rounds], rank, valid), valid)
+
+    b = best_row(search.search(spark, search.grid(rank=ranks, rounds=rounds), measure))
+    return b, models[b["rank"], b["rounds"]]
+
+
+def item_gram(spark, ratings, ranks=(16, 12), regs=(0.1, 0.01), iters=(10, 20), nmf_ranks=(16, 25), nmf_rounds=(50, 80)):
+    """Factors of X^T X by ALS and by NMF, each chosen by validation AUC; diversity after re-ranking."""
     train, valid, test = _split3(ratings)
     s = freeze(scale.minmax_positive(freeze(C.item_gram(train))))
     kept = freeze(scale.sparsify(scale.zero_below(s, 0.1), 1e-2))
@@ -79,37 +95,48 @@ def item_gram(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,), nmf_iters=4
 
     b = best_row(search.search(spark, search.grid(rank=ranks, reg=regs, iters=iters),
                                lambda **g: auc(als_scores(**g, rows=valid), valid)))
-    rank = b["rank"]
-    m = nmf.nmf_fit(s, rank, nmf_iters)
-    users = freeze(factor.user_vectors(prefs, m.rows, rank))
+
+
+    def nmf_scores(m, k, rows):
+        return factor.score_pairs(_pairs(rows), factor.user_vectors(prefs, m.rows, k), m.cols, k)
+
+    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, rounds: nmf.nmf_fit(s, k, rounds), nmf_scores, valid)
+    users = freeze(factor.user_vectors(prefs, m.rows, n["rank"]))
     lists = freeze(score.top_by_factors(users, m.cols, 50, seen=_pairs(train)))
     packed = diversity.packed_by_factors(lists, m.rows, m.cols, factor.product_span(m.rows, m.cols))
-    return report(spark, best_rank=rank, validation_auc=b["metric"],
-                  als_test_auc=auc(als_scores(rank, b["reg"], b["iters"], test), test),
-                  nmf_test_auc=auc(factor.score_pairs(_pairs(test), users, m.cols, rank), test),
+    return report(spark, best_rank=b["rank"], validation_auc=b["metric"],
+                  als_test_auc=auc(als_scores(b["rank"], b["reg"], b["iters"], test), test),
+                  nmf_rank=n["rank"], nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
+                  nmf_test_auc=auc(nmf_scores(m, n["rank"], test), test),
                   reranked_diversity=mean_of(diversity.rerank(packed)))
 
 
-def preferences(spark, ratings, ranks=(8,), regs=(0.1,), iters=(10,), nmf_iters=4):
-    """Factors of X itself by ALS and by NMF: AUC, and diversity of unseen lists."""
+def preferences(spark, ratings, ranks=(8, 12), regs=(0.1, 0.01), iters=(10, 20), nmf_ranks=(16, 25), nmf_rounds=(50, 80)):
+    """Factors of X itself by ALS and by NMF, each chosen by validation AUC; diversity of unseen lists."""
     train, valid, test = _split3(ratings)
     b = best_row(search.search(
         spark, search.grid(rank=ranks, reg=regs, iters=iters),
         lambda rank, reg, iters: auc(factor.predict(Q._pref_model(train, rank, iters, reg), _pairs(valid)), valid)))
-    rank = b["rank"]
-    als_auc = auc(factor.predict(Q._pref_model(train, rank, b["iters"], b["reg"]), _pairs(test)), test)
-    m = nmf.nmf_fit(freeze(C.as_cells(C.graded(train), "x")), rank, nmf_iters)
+    als_auc = auc(factor.predict(Q._pref_model(train, b["rank"], b["iters"], b["reg"]), _pairs(test)), test)
+    x = freeze(C.as_cells(C.graded(train), "x"))
+
+    def nmf_scores(m, k, rows):
+        return factor.score_pairs(_pairs(rows), m.rows.withColumnRenamed("id", "user_id"), m.cols, k)
+
+    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, rounds: nmf.nmf_fit(x, k, rounds), nmf_scores, valid)
+    rank = n["rank"]
     users = m.rows.withColumnRenamed("id", "user_id")
     lists = freeze(score.top_by_factors(users, m.cols, 50, seen=_pairs(train)))
     sims = freeze(factor.turned(m.rows, m.cols, rank))
     packed = diversity.packed_by_factors(lists, sims, m.cols, factor.product_span(sims, m.cols))
-    return report(spark, best_rank=rank, validation_auc=b["metric"], als_test_auc=als_auc,
-                  nmf_test_auc=auc(factor.score_pairs(_pairs(test), users, m.cols, rank), test),
+    return report(spark, best_rank=b["rank"], validation_auc=b["metric"], als_test_auc=als_auc,
+                  nmf_rank=rank, nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
+                  nmf_test_auc=auc(nmf_scores(m, rank, test), test),
                   diversity=mean_of(diversity.mean_distance(packed)))
 
 
-def two_sided(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,), nmf_iters=4):
-    """[X^T X; Y^T X]: exact scores, ALS and NMF factors: AUC, and diversity of unseen lists."""
+def two_sided(spark, ratings, ranks=(16, 12), regs=(0.1, 0.01), iters=(10, 20), nmf_ranks=(16, 25), nmf_rounds=(50, 80)):
+    """[X^T X; Y^T X]: exact scores, ALS and NMF factors, each chosen by validation AUC; diversity of unseen lists."""
     train, valid, test = _split3(ratings)
     n_items = ratings.select("item_id").distinct().count()
     offset = C.id_bound(ratings, "item_id")
@@ -124,16 +151,22 @@ def two_sided(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,), nmf_iters=4
     lists = freeze(score.top_items(Q.stars(train), m.s, 50))
     div = freeze(diversity.list_diversity(lists, scale.minmax_positive(m.s)))
     d = diversity.summary(div).first()
-    k = b["rank"]
-    factors = twosided.fit_nmf(m, ratings.select(F.col("item_id").alias("id")), offset, k, nmf_iters)
+    ids = ratings.select(F.col("item_id").alias("id"))
+
+    def nmf_scores(model, k, rows):
+        return twosided.nmf_scores(model, offset, n_items, train, rows, k)
+
+    n, factors = nmf_search(spark, nmf_ranks, nmf_rounds,
+                            lambda k, rounds: twosided.fit_nmf(m, ids, offset, k, rounds), nmf_scores, valid)
     return report(spark, best_rank=b["rank"], validation_auc=b["metric"],
                   als_test_auc=auc(scores(b["rank"], b["reg"], b["iters"], test), test),
-                  nmf_test_auc=auc(twosided.nmf_scores(factors, offset, n_items, train, test, k), test),
+                  nmf_rank=n["rank"], nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
+                  nmf_test_auc=auc(nmf_scores(factors, n["rank"], test), test),
                   exact_test_auc=auc(twosided.scores(m, train, test), test),
                   diversity=d["mean"], diversity_median=d["median"], diversity_quarter=d["quarter"])
 
 
-def left_half(spark, ratings, ranks=(16,), regs=(0.1,), iters=(10,)):
+def left_half(spark, ratings, ranks=(16, 25), regs=(0.1, 0.01), iters=(10, 20)):
     """ALS on [X, Y], scored on the left half."""
     train, valid, test = _split3(ratings)
     offset = C.id_bound(ratings, "item_id")
@@ -231,22 +264,22 @@ def job_als_tutorial(spark, d):
 
 @query
 def job_item_gram(spark, d):
-    return item_gram(spark, Q.ev(spark, d), ranks=(8,), iters=(5,))
+    return item_gram(spark, freeze(Q.ev(spark, d)), iters=(10,), nmf_ranks=(8, 16), nmf_rounds=(4, 8))
 
 
 @query
 def job_preferences(spark, d):
-    return preferences(spark, Q.ev(spark, d), iters=(5,))
+    return preferences(spark, freeze(Q.ev(spark, d)), iters=(10,), nmf_ranks=(8, 16), nmf_rounds=(4, 8))
 
 
 @query
 def job_two_sided(spark, d):
-    return two_sided(spark, freeze(Q.ev(spark, d)), ranks=(8,), iters=(5,))
+    return two_sided(spark, freeze(Q.ev(spark, d)), iters=(10,), nmf_ranks=(8, 16), nmf_rounds=(4, 8))
 
 
 @query
 def job_left_half(spark, d):
-    return left_half(spark, freeze(Q.ev(spark, d)), ranks=(4, 8), iters=(5,))
+    return left_half(spark, freeze(Q.ev(spark, d)), iters=(10,))
 
 
 @query
