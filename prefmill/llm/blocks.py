@@ -27,6 +27,7 @@ from .kernels import new_run, ranges, sliding_min
 
 LAST = (1 << 63) - 1
 BLOCK_BYTES = 2 << 20
+BLOCKS_A_BUCKET = 8
 _LOW40 = np.uint64((1 << 40) - 1)
 _BYTES5 = np.arange(5, dtype=np.uint64) * np.uint64(8)
 
@@ -126,7 +127,8 @@ def stage(docs: DataFrame) -> Staged:
         "block", "idx", F.col("d.ords").alias("ord"), F.col("d.digests").alias("digest"))
     firsts = each.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last")
     copies = freeze(each.join(firsts, "digest").where("ord > first").select("block", "idx"))
-    return Staged(table, copies, max(n, 16), name)
+    # a block sends one or two megabytes at most to the buckets of its anchors
+    return Staged(table, copies, max(n, 16, -(-table.count() // BLOCKS_A_BUCKET)), name)
 
 
 def anchors(gram_hash: np.ndarray, span: int, window_ok: np.ndarray):
