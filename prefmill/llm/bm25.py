@@ -5,9 +5,9 @@ its postings by term, so the texts are never shuffled. Document frequencies are
 summed over the shards and give every query term its global weight. Queries go in
 blocks of bounded size past all shards. In a shard a query's rare terms are
 added up exactly; for its frequent terms only the largest contribution per block
-of documents is added at first. Documents whose bound misses the k-th best exact
-score found so far are never scored in full (block-max WAND, with the bounds of a
-whole shard tried at once); the rest are. The shards' lists are merged by score.
+of documents is added at first. Documents whose bound misses the k-th best
+score found so far are never scored in full (block-max WAND over blocks, for many
+queries at once); the rest are. The shards' lists are merged by score.
 
 Terms are runs of non-space bytes after A-Z are lowered and ``PUNCTUATION`` is
 taken for spaces. A query is a set of (term, count in the query). Ties go to the
@@ -33,9 +33,12 @@ from .kernels import new_run, ranges
 K1, B = 1.2, 0.75
 PUNCTUATION = b".,;:!?\"'()[]"
 _TABLE = bytes(32 if c in PUNCTUATION else c + 32 if 65 <= c <= 90 else c for c in range(256))
-SHARD_BYTES, SHARD_DOCS = 12 << 20, 1 << 14
+SHARD_BYTES, SHARD_DOCS = 12 << 20, 1 << 13
 PART = 64  # documents of a block
-OFTEN = 32  # a term in more than one of so many documents of a shard is frequent there
+BATCH = 256  # queries multiplied together
+SLACK = 1e-4  # relative, above the error of single precision sums
+TINY = np.float32(1e-30)
+OFTEN = 16  # a term in more than one of so many documents of a shard is frequent there
 QUERY_TERMS = 2_000_000  # terms of a block of queries, which is broadcast: 16 bytes each
 _SHARD = (np.int64, np.int32, np.uint64, np.int64, np.uint16, np.uint16)
 _RESULT = "query_id long, doc_id long, score double"
@@ -160,55 +163,67 @@ def _bucket(term, buckets: int):
 def score_shard(shard: bytes, queries, average: float, k: int):
     """(query, document, score) of the k best documents of a shard for every query.
 
-    ``queries`` is (ids, pointer, terms, weights).
+    ``queries`` is (ids, pointer, terms, weights). They go in batches; the blocks
+    of documents come by falling bounds, and a block is multiplied only with the
+    queries whose bound for it still reaches their k-th best score. That is done
+    in single precision, whatever comes near the k-th best again in double.
     """
     ids, pointer, terms, weights = queries
     ords, length, own, at, doc, tf = _open(shard)
     n = len(ords)
-    count = np.diff(at)
-    often = np.flatnonzero(count * OFTEN > n)
-    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
-    dense = np.zeros((n, len(often)))
-    rows = ranges(at[often], count[often])
-    dense[doc[rows], np.repeat(np.arange(len(often)), count[often])] = impact[rows]
-    parts = np.arange(0, n, PART)
-    part_max = np.maximum.reduceat(dense, parts, axis=0) if n else dense
-    column = np.full(len(own), -1)
-    column[often] = np.arange(len(often))
-    slot = np.minimum(np.searchsorted(own, terms), max(len(own) - 1, 0))
-    known = own[slot] == terms if len(own) else np.zeros(len(terms), bool)
-    part_of = np.arange(n) // PART
     out = [[], [], []]
+    if n and len(own):
+        count = np.diff(at)
+        often = np.flatnonzero(count * OFTEN > n)
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
+        dense = np.zeros((n, len(often)))
+        rows = ranges(at[often], count[often])
+        dense[doc[rows], np.repeat(np.arange(len(often)), count[often])] = impact[rows]
+        column = np.full(len(own), -1)
+        column[often] = np.arange(len(often))
+        slot = np.minimum(np.searchsorted(own, terms), len(own) - 1)
+        known = own[slot] == terms
+        view = (n, ords, at, doc, impact, count, column, dense, dense.astype(np.float32))
+        for a in range(0, len(ids), BATCH):
+            _score_batch(view, ids[a:a + BATCH], pointer[a:a + BATCH + 1], slot, known, weights, k, out)
+    return [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64))]
+
+
+def _score_batch(view, ids, pointer, slot, known, weights, k, out):
+    n, ords, at, doc, impact, count, column, dense, coarse = view
+    exact, frequent = np.zeros((len(ids), n)), np.zeros((len(ids), dense.shape[1]))
     for q in range(len(ids)):
         mine = np.arange(pointer[q], pointer[q + 1])
         mine = mine[known[mine]]
-        if not len(mine):
-            continue
         s, w = slot[mine], weights[mine]
         rare = column[s] < 0
         size = count[s[rare]]
         post = ranges(at[s[rare]], size)
-        exact = np.bincount(doc[post], impact[post] * np.repeat(w[rare], size), n) if len(post) else np.zeros(n)
-        exact[ords == ids[q]] = -np.inf
-        c, wc = column[s[~rare]], w[~rare]
-        if len(c):
-            bound = exact + (part_max[:, c] @ wc)[part_of]
-            first = np.argpartition(-bound, k)[:k] if n > k else np.arange(n)
-            full = exact[first] + dense[np.ix_(first, c)] @ wc
-            least = full.min() if n > k else -np.inf
-            open_ = np.flatnonzero(bound >= least - 1e-9 * abs(least)) if least > 0 else np.arange(n)
-            score = exact[open_] + dense[np.ix_(open_, c)] @ wc
-        else:
-            open_, score = np.arange(n), exact
+        if len(post):
+            exact[q] = np.bincount(doc[post], impact[post] * np.repeat(w[rare], size), n)
+        exact[q, ords == ids[q]] = -np.inf
+        frequent[q, column[s[~rare]]] = w[~rare]
+    parts = np.arange(0, n, PART)
+    narrow = frequent.astype(np.float32)
+    bound = narrow @ np.maximum.reduceat(coarse, parts, axis=0).T + np.maximum.reduceat(exact, parts, axis=1)
+    found = np.full((len(ids), n), -np.inf, np.float32)
+    least = np.full(len(ids), TINY, np.float32)  # a score is above 0
+    for i, p in enumerate(np.argsort(-np.where(np.isfinite(bound), bound, 0).sum(0)).tolist()):
+        on = np.flatnonzero(bound[:, p] >= least * (1 - SLACK))
+        if len(on):
+            here = slice(int(parts[p]), min(int(parts[p]) + PART, n))
+            found[on, here] = narrow[on] @ coarse[here].T + exact[on, here]
+        if n > k and (i in (1, 3, 7) or i % 16 == 15):
+            least = np.maximum(-np.partition(-found, k - 1, axis=1)[:, k - 1], TINY)
+    if n > k:
+        least = np.maximum(-np.partition(-found, k - 1, axis=1)[:, k - 1], TINY)
+    for q in range(len(ids)):
+        near = np.flatnonzero(found[q] >= least[q] * (1 - SLACK))
+        score = np.round(exact[q, near] + dense[near] @ frequent[q], 9)
         good = score > 0
-        open_, score = open_[good], np.round(score[good], 9)
-        if len(open_) > k:
-            least = -np.partition(-score, k - 1)[k - 1]
-            open_, score = open_[score >= least], score[score >= least]
-            best = np.lexsort((ords[open_], -score))[:k]
-            open_, score = open_[best], score[best]
-        out[0].append(np.full(len(open_), ids[q])), out[1].append(ords[open_]), out[2].append(score)
-    return [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64))]
+        near, score = near[good], score[good]
+        best = np.lexsort((ords[near], -score))[:k]
+        out[0].append(np.full(len(best), ids[q])), out[1].append(ords[near[best]]), out[2].append(score[best])
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

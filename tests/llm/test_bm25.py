@@ -31,7 +31,7 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("docs_per_shard,terms", [(1 << 14, 2_000_000), (17, 300)])
+@pytest.mark.parametrize("docs_per_shard,terms", [(1 << 13, 2_000_000), (17, 300)])
 def test_against_brute_force(spark, monkeypatch, docs_per_shard, terms):
     monkeypatch.setattr(bm25, "SHARD_DOCS", docs_per_shard)
     monkeypatch.setattr(bm25, "QUERY_TERMS", terms)
