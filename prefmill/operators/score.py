@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import tasks_for
+from .scale import Span
 from .stream import chunks_by_cost, group_batches, ranges
 
 BLOCK_ROWS = 1 << 21   # preference cells per user block
@@ -118,6 +119,49 @@ def top_items(prefs: DataFrame, matrix: DataFrame, k: int, value: str = "value",
     return rank_per_user(found, k)
 
 
+def positive_extremes(prefs: DataFrame, matrix: DataFrame, value: str = "value", block_rows: int = BLOCK_ROWS,
+                      tile_rows: int = TILE_ROWS) -> Span:
+    """Least and greatest positive cell of ``X * M``: a group returns one row per slice, so users x items is not written."""
+    blocks, tiles = _grid(prefs, matrix, None, block_rows, tile_rows)
+    laid = _groups(prefs, matrix, None, [value], blocks, tiles)
+
+    def run(batches):
+        for (u, i, (x,)), (r, c, (m,)), _ in _each_group(batches, 1):
+            for s in _score_slices(u, i, x, r, c, m):
+                s = s[s > 0]
+                if len(s):
+                    yield pa.RecordBatch.from_pydict({"low": [float(s.min())], "high": [float(s.max())]})
+
+    row = laid.mapInArrow(run, "low double, high double").agg(F.min("low"), F.max("high")).first()
+    return Span(float(row[0] or 0.0), float(row[1] or 0.0))
+
+
+def _score_slices(u, i, x, r, c, m):
+    """The products of a group, a slice of users and columns at a time."""
+    if len(u) == 0 or len(r) == 0:
+        return
+    users, ux = np.unique(u, return_inverse=True)
+    items, rx = np.unique(r, return_inverse=True)
+    cols, cx = np.unique(c, return_inverse=True)
+    ix, known = _where(items, i)
+    ux, ix, x = ux[known], ix[known], x[known]
+    by_user, by_col = np.argsort(ux, kind="stable"), np.argsort(cx, kind="stable")
+    ux, ix, x, rx, cx, m = ux[by_user], ix[by_user], x[by_user], rx[by_col], cx[by_col], m[by_col]
+    width = max(1, min(len(cols), DENSE // len(items)))
+    height = max(1, min(len(users), DENSE // max(len(items), width)))
+    for w in range(0, len(cols), width):
+        e = min(w + width, len(cols))
+        s = slice(*np.searchsorted(cx, (w, e)))
+        dense = np.zeros((len(items), e - w))
+        dense[rx[s], cx[s] - w] = m[s]
+        for h in range(0, len(users), height):
+            t = min(h + height, len(users))
+            s = slice(*np.searchsorted(ux, (h, t)))
+            a = np.zeros((t - h, len(items)))
+            a[ux[s] - h, ix[s]] = x[s]
+            yield a @ dense
+
+
 def rank_per_user(scored: DataFrame, k: int) -> DataFrame:
     """Per-user top ``k`` by (score, item) descending, with ``rank`` from 1."""
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("item_id"))

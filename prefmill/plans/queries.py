@@ -216,13 +216,14 @@ def concat_vectors(spark, d):
 def blend_scores(spark, d):
     """t1 + 0.5 t2 on rated cells: X and Y Y^T X, each scaled over positive cells."""
     r = freeze(ev(spark, d))
-    x = C.as_cells(C.graded(r), "x")
-    far = freeze(C.binary_propagation(r))
-    t1, t2 = scale.minmax_positive(x), scale.minmax_positive(far)
-    joined = t1.withColumnRenamed("value", "t1").join(t2.withColumnRenamed("value", "t2"), ["row", "col"], "left")
-    return joined.select(
-        F.col("row").alias("user_id"), F.col("col").alias("item_id"),
-        F.round(F.col("t1") + 0.5 * F.coalesce("t2", F.lit(0.0)), 6).alias("score"))
+    t1 = scale.minmax_positive(C.as_cells(C.graded(r), "x")).select(
+        F.col("row").alias("user_id"), F.col("col").alias("item_id"), F.col("value").alias("t1"))
+    disliked = freeze(C.binary(r).where("y = 1").select("user_id", "item_id", F.col("y").cast("double").alias("value")))
+    cross = freeze(C.binary_cross(r))
+    far = score.score_cells(disliked, cross, r.select("user_id", "item_id"))
+    t2 = scale.minmax_positive(far, "score", score.positive_extremes(disliked, cross)).withColumnRenamed("score", "t2")
+    return t1.join(t2, ["user_id", "item_id"], "left").select(
+        "user_id", "item_id", F.round(F.col("t1") + 0.5 * F.coalesce("t2", F.lit(0.0)), 6).alias("score"))
 
 
 # ------------------------------------------------------------------ splits
