@@ -184,9 +184,9 @@ SQL = {
     "split_by_hash": w(LI) + f"SELECT user_id, item_id, rating, {md5_role("concat_ws('|', user_id, item_id, 42)")} AS role FROM r",
     "sample_cells": w(EV) + """SELECT user_id, item_id, rating FROM r
       ORDER BY md5(concat_ws('|', user_id, item_id, 0)), user_id, item_id LIMIT 50""",
-    "reviews_split": w(REVIEWS) + f"""SELECT CASE WHEN score > 3 THEN 1 ELSE 0 END AS sentiment, summary,
+    "reviews_split": w(REVIEWS) + f"""SELECT CASE WHEN score > 3 THEN 'positive' ELSE 'negative' END AS sentiment, summary,
       {md5_role("concat_ws('|', summary, 42)")} AS role FROM rv WHERE score <> 3""",
-    "job_reviews": w(REVIEWS) + f"""SELECT CASE WHEN score > 3 THEN 1 ELSE 0 END AS sentiment,
+    "job_reviews": w(REVIEWS) + f"""SELECT CASE WHEN score > 3 THEN 'positive' ELSE 'negative' END AS sentiment,
       {md5_role("concat_ws('|', summary, 42)")} AS role, count(*) AS n FROM rv WHERE score <> 3 GROUP BY 1, 2""",
     "job_cv_subsets": w(EV) + """, p AS (SELECT *, row_number() OVER (ORDER BY user_id, item_id) - 1 AS pos,
         count(*) OVER () // 5 AS size, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS nth FROM r)
