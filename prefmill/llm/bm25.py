@@ -7,7 +7,9 @@ blocks of bounded size past all shards. In a shard a query's rare terms are
 added up exactly; for its frequent terms only the largest contribution per block
 of documents is added at first. Documents whose bound misses the k-th best
 score found so far are never scored in full (block-max WAND over blocks, for many
-queries at once); the rest are. The shards' lists are merged by score.
+queries at once); the rest are. One shard in ``PILOTS`` goes first: the k-th best
+score there is a bound that all other shards start from, so what they hand on
+per query does not grow with their number. The lists are merged by score.
 
 Terms are runs of non-space bytes after A-Z are lowered and ``PUNCTUATION`` is
 taken for spaces. A query is a set of (term, count in the query). Ties go to the
@@ -20,6 +22,7 @@ each term with its largest count. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,7 @@ PUNCTUATION = b".,;:!?\"'()[]"
 _TABLE = bytes(32 if c in PUNCTUATION else c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHARD_BYTES, SHARD_DOCS = 12 << 20, 1 << 13
 PART = 64  # documents of a block
+PILOTS = 8
 BATCH = 256  # queries multiplied together
 SLACK = 1e-4  # relative, above the error of single precision sums
 TINY = np.float32(1e-30)
@@ -61,7 +65,7 @@ def _counts(block: Block):
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """(n_docs, n_words, shard) rows."""
+    """(n_docs, n_words, pilot, shard) rows."""
     def run(batches):
         import zstandard
 
@@ -74,8 +78,9 @@ def index(docs: DataFrame) -> DataFrame:
             body = packer.compress(put_arrays(
                 np.array(ords, np.int64), length.astype(np.int32), terms, pointer, doc.astype(np.uint16), np.minimum(tf, 65535).astype(np.uint16)))
             return pa.RecordBatch.from_arrays(
-                [pa.array([len(ords)], pa.int64()), pa.array([int(length.sum())], pa.int64()), pa.array([body], pa.binary())],
-                ["n_docs", "n_words", "shard"])
+                [pa.array([len(ords)], pa.int64()), pa.array([int(length.sum())], pa.int64()),
+                 pa.array([zlib.crc32(body) % PILOTS == 0]), pa.array([body], pa.binary())],
+                ["n_docs", "n_words", "pilot", "shard"])
 
         for b in batches:
             for o, t in zip(b.column("ord").to_pylist(), b.column("text").to_pylist()):
@@ -87,7 +92,7 @@ def index(docs: DataFrame) -> DataFrame:
         if texts:
             yield flush()
 
-    return _plain(docs).mapInArrow(run, "n_docs long, n_words long, shard binary")
+    return _plain(docs).mapInArrow(run, "n_docs long, n_words long, pilot boolean, shard binary")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -163,12 +168,13 @@ def _bucket(term, buckets: int):
 def score_shard(shard: bytes, queries, average: float, k: int):
     """(query, document, score) of the k best documents of a shard for every query.
 
-    ``queries`` is (ids, pointer, terms, weights). They go in batches; the blocks
+    ``queries`` is (ids, pointer, terms, weights, least): scores below a query's
+    ``least`` are of no use. They go in batches; the blocks
     of documents come by falling bounds, and a block is multiplied only with the
     queries whose bound for it still reaches their k-th best score. That is done
     in single precision, whatever comes near the k-th best again in double.
     """
-    ids, pointer, terms, weights = queries
+    ids, pointer, terms, weights, least = queries
     ords, length, own, at, doc, tf = _open(shard)
     n = len(ords)
     out = [[], [], []]
@@ -185,11 +191,11 @@ def score_shard(shard: bytes, queries, average: float, k: int):
         known = own[slot] == terms
         view = (n, ords, at, doc, impact, count, column, dense, dense.astype(np.float32))
         for a in range(0, len(ids), BATCH):
-            _score_batch(view, ids[a:a + BATCH], pointer[a:a + BATCH + 1], slot, known, weights, k, out)
+            _score_batch(view, ids[a:a + BATCH], pointer[a:a + BATCH + 1], slot, known, weights, least[a:a + BATCH], k, out)
     return [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64))]
 
 
-def _score_batch(view, ids, pointer, slot, known, weights, k, out):
+def _score_batch(view, ids, pointer, slot, known, weights, start, k, out):
     n, ords, at, doc, impact, count, column, dense, coarse = view
     exact, frequent = np.zeros((len(ids), n)), np.zeros((len(ids), dense.shape[1]))
     for q in range(len(ids)):
@@ -207,20 +213,21 @@ def _score_batch(view, ids, pointer, slot, known, weights, k, out):
     narrow = frequent.astype(np.float32)
     bound = narrow @ np.maximum.reduceat(coarse, parts, axis=0).T + np.maximum.reduceat(exact, parts, axis=1)
     found = np.full((len(ids), n), -np.inf, np.float32)
-    least = np.full(len(ids), TINY, np.float32)  # a score is above 0
+    floor = np.maximum(start.astype(np.float32), TINY)  # a score is above 0
+    least = floor
     for i, p in enumerate(np.argsort(-np.where(np.isfinite(bound), bound, 0).sum(0)).tolist()):
         on = np.flatnonzero(bound[:, p] >= least * (1 - SLACK))
         if len(on):
             here = slice(int(parts[p]), min(int(parts[p]) + PART, n))
             found[on, here] = narrow[on] @ coarse[here].T + exact[on, here]
         if n > k and (i in (1, 3, 7) or i % 16 == 15):
-            least = np.maximum(-np.partition(-found, k - 1, axis=1)[:, k - 1], TINY)
+            least = np.maximum(-np.partition(-found, k - 1, axis=1)[:, k - 1], floor)
     if n > k:
-        least = np.maximum(-np.partition(-found, k - 1, axis=1)[:, k - 1], TINY)
+        least = np.maximum(-np.partition(-found, k - 1, axis=1)[:, k - 1], floor)
     for q in range(len(ids)):
         near = np.flatnonzero(found[q] >= least[q] * (1 - SLACK))
         score = np.round(exact[q, near] + dense[near] @ frequent[q], 9)
-        good = score > 0
+        good = (score > 0) & (score >= start[q])
         near, score = near[good], score[good]
         best = np.lexsort((ords[near], -score))[:k]
         out[0].append(np.full(len(best), ids[q])), out[1].append(ords[near[best]]), out[2].append(score[best])
@@ -242,17 +249,28 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         t = got.column("term").to_numpy().view(np.uint64)
         order = np.lexsort((t, ids))
         heads = np.flatnonzero(new_run(ids[order]))
-        block = spark.sparkContext.broadcast(
-            (ids[order][heads], np.append(heads, len(ids)), t[order], got.column("weight").to_numpy()[order]))
+        asked = (ids[order][heads], np.append(heads, len(ids)), t[order], got.column("weight").to_numpy()[order])
+        first = freeze(_best(_scored(shards.where("pilot"), asked, np.zeros(len(heads)), average, k), k))
+        known = first.where(F.col("rank") == k).select("query_id", "score").toArrow()  # a number per query of the block
+        least = np.zeros(len(heads))
+        least[np.searchsorted(asked[0], known.column("query_id").to_numpy())] = known.column("score").to_numpy()
+        part = first.drop("rank").unionByName(_scored(shards.where("NOT pilot"), asked, least, average, k))
+        lists = part if lists is None else lists.unionByName(part)
+    return _best(lists, k).select("query_id", "rank", F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), "score")
 
-        def run(batches, block=block):
-            for batch in batches:
-                for shard in batch.column("shard").to_pylist():
-                    cols = score_shard(shard, block.value, average, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "doc_id", "score"])
 
-        part = shards.select("shard").mapInArrow(run, _RESULT)
-        lists = part if lists is None else lists.unionByName(part)
+def _scored(shards: DataFrame, asked, least: np.ndarray, average: float, k: int) -> DataFrame:
+    block = shards.sparkSession.sparkContext.broadcast((*asked, least))
+
+    def run(batches):
+        for batch in batches:
+            for shard in batch.column("shard").to_pylist():
+                cols = score_shard(shard, block.value, average, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "doc_id", "score"])
+
+    return shards.select("shard").mapInArrow(run, _RESULT)
+
+
+def _best(lists: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")  # k rows per shard, cut again before the shuffle
-    ranked = lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), "score")
+    return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
