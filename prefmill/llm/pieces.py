@@ -37,10 +37,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = """doc_id long, sample int, ids array<int>, n_pieces long, log_prob double, perturbed double,
     log_inclusion double, decoded boolean"""
 SPACE, LITERAL, NEWLINE = 0x2581, 0x110001, 10
-BATCH_CHARS = 3 << 20
-# What leaves a path after its first NEAR arcs, where the mass is below exp(-FAR), would have to come with a
-# waiting time below any that 53 bits can give.
-NEAR, FAR = 256, 120.0
+BATCH_CHARS = 1 << 19
+# What leaves a path after its first NEAR arcs, where the mass is below exp(-FAR), comes after exp(FAR - 38) at the
+# earliest, as 53 bits give no shorter wait; it is looked at only if that could be among the first.
+NEAR, FAR = 128, 60.0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _NULL_KEY = 0x7FFFFFFFFFFFFFFF
 
@@ -179,7 +179,8 @@ class Lattice:
             beta[place[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count[a:b])), begin))
         total = np.empty(len(start))
         total[order] = o_weight
-        self.node_arc = np.searchsorted(start, np.arange(len(self.cp) + 1))
+        self.node_arc = np.zeros(len(self.cp) + 1, np.int64)  # first arc of each place
+        np.cumsum(np.bincount(start, minlength=len(self.cp)), out=self.node_arc[1:])
         total -= beta[start]
         self.logq = np.minimum(total, 0.0)
         q = np.exp(self.logq)
@@ -233,6 +234,17 @@ def _draw(*parts: int) -> float:
     return ((h >> 11) + 0.5) / 2.0**53
 
 
+def _arrivals(key: int, r: int, fresh: np.ndarray, before: np.ndarray, logq: np.ndarray, time: float) -> np.ndarray:
+    """When the rest beside each arc ``fresh`` of a path comes."""
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        beside = before[fresh] + np.log(-np.expm1(logq[fresh]))
+        noise = mix(np.uint64(key & 0xFFFFFFFFFFFFFFFF) + (fresh + (r + 1) * (1 << 40)).astype(np.uint64) * _MUL)
+        wait = -np.log(((noise >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
+        arrival = time + np.exp(np.minimum(np.log(wait) - beside, 700.0))
+        arrival[~np.isfinite(beside)] = np.inf
+    return arrival
+
+
 def sample_batch(v: Vocabulary, keys: list[int], texts: list[str], k: int):
     """Per text a list of (ids, log probability, t) by rising t, and the t of the first sample not taken."""
     lattice = Lattice(v, texts)
@@ -260,15 +272,12 @@ def sample_batch(v: Vocabulary, keys: list[int], texts: list[str], k: int):
             taken[d].append((path, float(logq.sum()), times[d]))
             want = k - r  # no more can still be popped, one of them only to learn its time
             fresh = np.arange(len(head[d]), len(path))
-            if len(fresh) > 2 * NEAR and before[fresh[NEAR]] < -FAR:
-                fresh = fresh[:NEAR]
-            with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-                beside = before[fresh] + np.log(-np.expm1(logq[fresh]))
-                noise = mix(np.uint64(keys[d] & 0xFFFFFFFFFFFFFFFF) + (fresh + (r + 1) * (1 << 40)).astype(np.uint64) * _MUL)
-                wait = -np.log(((noise >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
-                arrival = times[d] + np.exp(np.minimum(np.log(wait) - beside, 700.0))
-                arrival[~np.isfinite(beside)] = np.inf
+            short = len(fresh) > 2 * NEAR and before[fresh[NEAR]] < -FAR
+            arrival = _arrivals(keys[d], r, fresh[:NEAR] if short else fresh, before, logq, times[d])
             best = np.argpartition(arrival, want - 1)[:want] if len(arrival) > want else np.arange(len(arrival))
+            if short and not arrival[best].max() < math.exp(FAR - 40):
+                arrival = _arrivals(keys[d], r, fresh, before, logq, times[d])
+                best = np.argpartition(arrival, want - 1)[:want]
             for b in best.tolist():
                 if math.isfinite(arrival[b]):
                     j = int(fresh[b])
