@@ -5,7 +5,7 @@ noise over the alphabet of its inferred encoding: chi-squared of the character
 counts, the number of runs above and below the middle of the alphabet, and the
 correlation of neighbours, joined by Fisher's method into one p-value. Noise has
 uniform p-values, words have values near 0. Per encoding and length band the
-number of truly random tokens follows from the upper half of the p-values, and a
+number of truly random tokens follows from the p-values above 0.2, and a
 token is reported when its p-value exceeds the least threshold at which the
 estimated share of non-random tokens above it is at most ``q``: short tokens,
 where the tests are weak and words slip through, get a higher threshold.
@@ -41,6 +41,7 @@ ENCODINGS = (  # name, what its strings look like, alphabet; the first that fits
 )
 BANDS = (20, 28, 40, 64, 128)
 BINS = 100
+SURE = 20  # from this bin on only noise is expected
 FAR = 12.0  # the score of a test that cannot be computed
 _TESTED = "array<struct<start:int,end:int,token:bigint,stratum:int,p:double>>"
 _SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
@@ -169,8 +170,8 @@ def thresholds(measured: DataFrame, q: float) -> dict[int, float]:
         "stratum", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(
             F.try_element_at("m", b), F.lit(0).cast("long"))).alias("c"))
     above = lambda b: F.aggregate(F.slice("c", b + 1, F.lit(BINS)), F.lit(0).cast("long"), lambda a, x: a + x)
-    random = 2.0 * above(F.lit(BINS // 2))
-    good = F.filter(F.sequence(F.lit(1), F.lit(BINS // 2)), lambda b: above(b) * (1 - q) <= random * (1 - b / BINS) + 1e-9)
+    random = above(F.lit(SURE)) / (1 - SURE / BINS)
+    good = F.filter(F.sequence(F.lit(1), F.lit(SURE)), lambda b: above(b) * (1 - q) <= random * (1 - b / BINS) + 1e-9)
     return {r["stratum"]: r["b"] / BINS for r in per.select("stratum", F.array_min(good).alias("b")).collect()}
 
 
