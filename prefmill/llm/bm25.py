@@ -37,6 +37,7 @@ K1, B = 1.2, 0.75
 PUNCTUATION = b".,;:!?\"'()[]"
 _TABLE = bytes(32 if c in PUNCTUATION else c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHARD_BYTES, SHARD_DOCS = 12 << 20, 1 << 13
+WORD_BYTES = 2 << 20
 PART = 64  # documents of a block
 PILOTS = 8
 BATCH = 256  # queries multiplied together
@@ -48,20 +49,30 @@ _SHARD = (np.int64, np.int32, np.uint64, np.int64, np.uint16, np.uint16)
 _RESULT = "query_id long, doc_id long, score double"
 
 
-def _block(ords, texts) -> Block:
-    raw = [t.encode("utf-8", "surrogatepass").translate(_TABLE) for t in texts]
-    size = np.array([len(t) for t in raw], np.int64)
-    return Block(np.array(ords, np.int64), np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
-
-
-def _counts(block: Block):
-    """(term, document, count) of a set of documents, by term, then document."""
-    words = Words(block)
-    n = max(len(block.ords), 1)
-    doc = np.repeat(np.arange(len(block.ords)), words.count)
-    terms, which = np.unique(words.hash, return_inverse=True)
+def _words(texts):
+    """Term hashes of the texts, one after the other, and their number per text; some megabytes at a time."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(texts):
+        raw, size = [], 0
+        while at < len(texts) and (not raw or size + len(texts[at]) <= WORD_BYTES):
+            raw.append(texts[at].encode("utf-8", "surrogatepass").translate(_TABLE))
+            size += len(raw[-1])
+            at += 1
+        sizes = np.array([len(t) for t in raw], np.int64)
+        words = Words(Block(np.zeros(len(raw), np.int64), np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes))
+        hashes.append(words.hash), counts.append(words.count)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def _counts(texts):
+    """(term, document, count) of a set of documents, by term, then document; terms and lengths."""
+    hashes, length = _words(texts)
+    n = max(len(texts), 1)
+    doc = np.repeat(np.arange(len(texts)), length)
+    terms, which = np.unique(hashes, return_inverse=True)
     pair, tf = np.unique(which * n + doc, return_counts=True)
-    return terms, pair // n, pair % n, tf, words.count
+    return terms, pair // n, pair % n, tf, length
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -73,7 +84,7 @@ def index(docs: DataFrame) -> DataFrame:
         ords, texts, size = [], [], 0
 
         def flush():
-            terms, term, doc, tf, length = _counts(_block(ords, texts))
+            terms, term, doc, tf, length = _counts(texts)
             pointer = np.searchsorted(term, np.arange(len(terms) + 1))
             body = packer.compress(put_arrays(
                 np.array(ords, np.int64), length.astype(np.int32), terms, pointer, doc.astype(np.uint16), np.minimum(tf, 65535).astype(np.uint16)))
@@ -111,10 +122,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
         for b in batches:
             ords, texts = b.column("ord").to_pylist(), b.column("text").to_pylist()
             for a in range(0, len(ords), 500):
-                block = _block(ords[a:a + 500], texts[a:a + 500])
-                terms, term, doc, tf, _ = _counts(block)
+                terms, term, doc, tf, _ = _counts(texts[a:a + 500])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.ords[doc]), pa.array(terms[term].view(np.int64)), pa.array(tf.astype(np.int64))], ["query", "term", "qtf"])
+                    [pa.array(np.array(ords[a:a + 500], np.int64)[doc]), pa.array(terms[term].view(np.int64)), pa.array(tf.astype(np.int64))], ["query", "term", "qtf"])
 
     plain = _plain(queries.where("doc_id IS NOT NULL"))
     return plain.mapInArrow(run, "query long, term long, qtf long").groupBy("query", "term").agg(F.max("qtf").alias("qtf"))
