@@ -4,7 +4,8 @@ A text is rejected when it is too short, when too many of its words lie in
 repeated 8-word windows, or when it compresses too well (repetitive) or too
 badly (noise). The ratio depends on length, so the limits of whole documents are
 per band of byte length. Fixed chunks share one length and so one band; they
-catch long documents of which a half is junk.
+catch long documents of which a half is junk. The last chunk ends with the text
+and overlaps the one before, so every byte is in one.
 
 Null texts count as empty. Repeated rows and null ids give one result row each.
 Extra columns of the input are ignored.
@@ -33,7 +34,7 @@ class Bands:
 
     ``whole`` lists (bytes from, least, most), ascending; shorter texts than the
     first entry are not judged. ``chunk`` holds for pieces of ``chunk_bytes``;
-    a text fails when more than ``bad_share`` of its full chunks are outside.
+    a text fails when ``bad_share`` or more of its chunks are outside.
     """
 
     whole: tuple = (
@@ -91,10 +92,10 @@ def measure(text: str, bands: Bands, packer) -> tuple:
         verdict = limits[0] <= ratio <= limits[1]
     size = bands.chunk_bytes
     if len(data) > size:  # one chunk alone would repeat the whole
-        for at in range(0, len(data) - size + 1, size):
+        for at in [*range(0, len(data) - size, size), len(data) - size]:
             n_chunks += 1
             bad += not bands.chunk[0] <= size / len(packer.compress(data[at:at + size])) <= bands.chunk[1]
-        verdict = verdict and bad <= bands.bad_share * n_chunks
+        verdict = verdict and bad < bands.bad_share * n_chunks
     return (len(words), chars, symbols, repeated_lines(data), n_repeat, failed, verdict and not failed,
             ratio, n_chunks, bad)
 

@@ -52,6 +52,24 @@ def test_bands():
     assert bands.limits(10) is None and bands.limits(256) == bands.whole[0][1:]
 
 
+def test_chunks_reach_the_end():
+    rnd = random.Random(2)
+    packer, bands = zstandard.ZstdCompressor(level=3), quality_rules.Bands()
+    parts = [a + b for a in "bdfghklmnprst" for b in ("a", "en", "io", "ur")]
+    prose = " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(3000))
+    noise = "".join(chr(rnd.randint(33, 126)) for _ in range(6000))
+    def judged(t):
+        got = quality_rules.measure(t, bands, packer)
+        return got[6], got[8], got[9]
+    assert judged(prose[:4096]) == (True, 2, 0)
+    assert judged(prose[:2049]) == (True, 2, 0)
+    assert judged(prose[:5000]) == (True, 3, 0)
+    assert judged(prose[:2048] + noise[:2040]) == (False, 2, 1)
+    assert judged(prose[:2048] + noise[:4088]) == (False, 3, 2)
+    assert judged(prose[:2048] + noise[:2048]) == (False, 2, 1)
+    assert judged(prose[:6144] + noise[:2040]) == (True, 4, 1)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
