@@ -45,7 +45,7 @@ SLACK = 1e-4  # relative, above the error of single precision sums
 TINY = np.float32(1e-30)
 OFTEN = 16  # a term in more than one of so many documents of a shard is frequent there
 QUERY_TERMS = 2_000_000  # terms of a block of queries, which is broadcast: 16 bytes each
-_SHARD = (np.int64, np.int32, np.uint64, np.int64, np.uint16, np.uint16)
+_SHARD = (np.int64, np.int32, np.uint64, np.int64, np.uint16, np.uint32)
 _RESULT = "query_id long, doc_id long, score double"
 
 
@@ -87,7 +87,7 @@ def index(docs: DataFrame) -> DataFrame:
             terms, term, doc, tf, length = _counts(texts)
             pointer = np.searchsorted(term, np.arange(len(terms) + 1))
             body = packer.compress(put_arrays(
-                np.array(ords, np.int64), length.astype(np.int32), terms, pointer, doc.astype(np.uint16), np.minimum(tf, 65535).astype(np.uint16)))
+                np.array(ords, np.int64), length.astype(np.int32), terms, pointer, doc.astype(np.uint16), tf.astype(np.uint32)))
             return pa.RecordBatch.from_arrays(
                 [pa.array([len(ords)], pa.int64()), pa.array([int(length.sum())], pa.int64()),
                  pa.array([zlib.crc32(body) % PILOTS == 0]), pa.array([body], pa.binary())],

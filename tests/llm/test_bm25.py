@@ -50,6 +50,15 @@ def test_against_brute_force(spark, monkeypatch, docs_per_shard, terms):
         assert all(abs(a - b) < 2e-6 for (a, _), (b, _) in zip(got[q], want[q]))
 
 
+def test_more_repeats_than_16_bits(spark):
+    rows = [(0, "often rare"), (1, "often " * 200_000 + "w " * 200_000), (2, "often other"), *[(i, f"w{i} x") for i in range(3, 9)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bm25.search(docs, docs.where("doc_id = 0"), k=5).orderBy("rank").collect()
+    want = brute(rows, 5)[0]
+    assert [r.doc_id for r in got] == [d for _, d in want]
+    assert all(abs(r.score + s) < 2e-6 for r, (s, _) in zip(got, want))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bm25.search(docs, docs).count() == 0
