@@ -88,3 +88,34 @@ scores AS (
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores)
 SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+SQL["op13_removal_ranks"] = r"""
+WITH base AS (
+  SELECT coalesce(doc_id, 9223372036854775807) AS id, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(id) AS first FROM base GROUP BY t),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT row_number() OVER () AS d, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN first < id THEN 'E' ELSE '' END) AS failed
+  FROM base JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+ranks AS (
+  SELECT part, good, toxic, failed, o, coalesce((SELECT min(strpos(o, x)) FROM (SELECT unnest(string_split(failed, '')) AS x) WHERE x <> ''), 6) AS fall, n
+  FROM (SELECT part, good, toxic, failed, count(*) AS n FROM fails GROUP BY ALL), orders),
+steps AS (
+  SELECT part, o AS filter_order, s AS step, o[s] AS filter,
+    sum(CASE WHEN fall > s THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN fall = s THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN fall < s AND contains(failed, o[s]) THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN failed = o[s] THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN fall = s AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN fall = s AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM ranks, LATERAL (SELECT unnest(range(1, 6))::INT AS s) GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley, filter FROM steps
+"""

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bm25, debruijn_dedup, line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
+from . import (
+    bm25, debruijn_dedup, filter_audit, line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash,
+    suffix_dedup)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -84,3 +86,10 @@ def op6_blockmax_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best other documents for every document whose id is divisible by 100, as a query of its whole text."""
     docs = documents(spark, folder)
     return bm25.search(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
+@query
+def op13_removal_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from every language in each of their 120 orders."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return filter_audit.audit(filter_audit.classes(documents(spark, folder), labels))
