@@ -119,3 +119,29 @@ steps AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
   (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley, filter FROM steps
 """
+
+SQL["op12_multikey_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+base AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, w[i:i + m - 1] AS p FROM base, LATERAL (SELECT unnest(range(1, 5)) AS m),
+    LATERAL (SELECT unnest(range(1, greatest(len(w) - m + 2, 1))) AS i)),
+f AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+candidates AS (SELECT lang, p, f AS a FROM f WHERE f >= 30 AND len(p) > 1),
+cuts AS (SELECT lang, p, a, k, p[1:k] AS head, p[k + 1:] AS tail FROM candidates, LATERAL (SELECT unnest(range(1, len(p))) AS k)),
+priced AS (
+  SELECT c.lang, c.p, a, k, h.f AS l, t.f AS r, ((2000000::HUGEINT * a) // (h.f + t.f))::BIGINT AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.p = c.head JOIN f t ON t.lang = c.lang AND t.p = c.tail),
+worst AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+parts AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(a) AS longest FROM candidates, LATERAL (SELECT unnest(range(2, len(p))) AS m),
+    LATERAL (SELECT unnest(range(1, len(p) - m + 2)) AS i) GROUP BY ALL),
+kept AS (
+  SELECT w.*, array_to_string(w.p, ' ') AS phrase FROM worst w LEFT JOIN parts x ON x.lang = w.lang AND x.p = w.p
+  WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score, k AS cut FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    bm25, debruijn_dedup, filter_audit, line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan, simhash,
-    suffix_dedup)
+    bm25, collocation, debruijn_dedup, filter_audit, line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan,
+    simhash, suffix_dedup)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -93,3 +93,9 @@ def op13_removal_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters remove from every language in each of their 120 orders."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return filter_audit.audit(filter_audit.classes(documents(spark, folder), labels))
+
+
+@query
+def op12_multikey_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 collocations of every language over all whole texts."""
+    return collocation.mine(documents(spark, folder), least=30, top=2000)
