@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    bm25, collocation, debruijn_dedup, filter_audit, line_dedup, mixing, pieces, quality_classifier, quality_rules, secret_scan,
-    simhash, suffix_dedup)
+    bm25, collocation, debruijn_dedup, filter_audit, line_dedup, mixing, pieces, ppm, quality_classifier, quality_rules,
+    secret_scan, simhash, suffix_dedup)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -99,3 +99,9 @@ def op13_removal_ranks(spark: SparkSession, folder: str) -> DataFrame:
 def op12_multikey_phrases(spark: SparkSession, folder: str) -> DataFrame:
     """The first 2000 collocations of every language over all whole texts."""
     return collocation.mine(documents(spark, folder), least=30, top=2000)
+
+
+@query
+def op11_partial_matching(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole text scored by contexts of four bytes, learnt from nine of ten documents."""
+    return ppm.score(documents(spark, folder), ppm.nine_of_ten(), order=4)
