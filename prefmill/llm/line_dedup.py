@@ -22,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import freeze
+from .rows import packed, unpacked
 
 LAST = (1 << 63) - 1
-_NUMBER, _PLACE = "_line_doc", "_line_text"  # names unlikely to be those of a caller's column
 
 
 def _trim(line: Column) -> Column:
@@ -136,13 +136,13 @@ def dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
     lines = freeze(distinct_lines(docs, min_words))
     near = freeze(near_lines(docs, lines))
     kept = lines.join(near, "h", "left_anti").groupBy("doc", "txt").agg(F.collect_list("no").alias("_keep")).select(
-        F.col("doc").alias(_NUMBER), F.col("txt").alias(_PLACE), "_keep")
+        F.col("doc").alias("of_doc"), F.col("txt").alias("of_txt"), "_keep")
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.drop("n_lines", "n_removed")
-    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_txt", F.xxhash64(text))
-    joined = rows.join(kept, (F.col("_doc") == F.col(_NUMBER)) & (F.col("_txt") == F.col(_PLACE)), "left")
+    rows = packed(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("txt"), apart=("text",))
+    joined = rows.join(kept, (F.col("doc") == F.col("of_doc")) & (F.col("txt") == F.col("of_txt")), "left")
     keep = F.coalesce(F.col("_keep"), F.array().cast("array<int>"))
     full = F.size(F.filter(F.split(text, "\n"), lambda x: _trim(x) != "")).cast("long")
     out = joined.withColumn("n_lines", full).withColumn("n_removed", full - F.size(keep))
-    return out.withColumn("text", F.when(F.col("n_removed") == 0, text).otherwise(_kept_text(text, keep))).select(
-        *docs.columns, "n_lines", "n_removed")
+    left = F.when(F.col("n_removed") == 0, text).otherwise(_kept_text(text, keep))
+    return out.select(*unpacked(docs.columns, {"text": left}), "n_lines", "n_removed")

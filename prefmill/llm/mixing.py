@@ -2,14 +2,14 @@
 
 Each source gets a mean repetition rate: the characters it should contribute
 over those it has. A document's count is Poisson with that mean, read off the
-inverse distribution at a uniform number hashed from (seed, document), so a rerun
+inverse distribution at a uniform number hashed from (seed, id, text), so a rerun
 or another partitioning gives the same copies. Copies are then dealt to random
 partitions and ordered randomly inside: a uniform global shuffle in one exchange.
 
 Null texts count as empty, a null source is a source of its own, a null id is
-hashed as an empty string. Equal rows get equal counts. Sources without any
-characters get rate 0.
-Extra input columns are carried along; names in ``ADDED`` are overwritten.
+hashed as an empty string. Rows with one id and different texts draw apart; rows
+equal in id, text and source get equal counts. Sources without any characters get rate 0.
+Extra input columns of whatever name are carried along; names in ``ADDED`` are overwritten.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import freeze
+from . import rows
 
 ADDED = ("copy", "shuffle_key")
 STEP = 16.0  # means above this are split into equal parts, each with its own hash, so exp(-mean) stays exact
@@ -74,12 +75,12 @@ def mix(docs: DataFrame, power: float = 0.7, budget: float = 1.0, seed: int = 7,
     docs = docs.drop(*ADDED)
     rates = freeze(source_rates(docs, power, budget) if rates is None else rates).select(
         F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    ident = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     seeded = F.lit(str(seed))
-    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    counted = joined.withColumn("_n", poisson_count(F.col("_rate"), seeded, ident)).where("_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_rate", "_source")
-    key = uniform(F.lit(f"{seed}s"), ident, F.col("copy").cast("string"))
-    mixed = copies.withColumn("shuffle_key", key)
+    joined = rows.packed(docs, F.col("source"), ident.alias("ident")).join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    counted = joined.withColumn("_n", poisson_count(F.col("_rate"), seeded, F.col("ident"))).where("_n > 0")
+    copies = counted.select("row", "ident", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    key = uniform(F.lit(f"{seed}s"), F.col("ident"), F.col("copy").cast("string"))
+    mixed = copies.select("row.*", "copy", key.alias("shuffle_key"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -15,7 +15,7 @@ steps AS (
   SELECT source, rate, parts, k + 1, term * (rate / parts) / (k + 1), total + term * (rate / parts) / (k + 1)
   FROM steps WHERE k < 99),
 draws AS (
-  SELECT d.*, r.parts, j, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || j), 1, 13))::BIGINT::DOUBLE
+  SELECT d.*, r.parts, j, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || j), 1, 13))::BIGINT::DOUBLE
     / 4503599627370496.0 AS u
   FROM documents d JOIN (SELECT DISTINCT source, parts FROM steps) r ON d.source IS NOT DISTINCT FROM r.source,
     LATERAL (SELECT unnest(range(1, r.parts + 1)) AS j)),
@@ -25,7 +25,7 @@ counted AS (
     FROM draws d LEFT JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.total <= d.u
     GROUP BY ALL) GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
-  ('0x' || substr(md5('7s:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT::DOUBLE
+  ('0x' || substr(md5('7s:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || copy), 1, 13))::BIGINT::DOUBLE
     / 4503599627370496.0 AS shuffle_key
 FROM counted, LATERAL (SELECT unnest(range(1, n::BIGINT + 1)) AS copy)
 """

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import freeze
+from .rows import packed, unpacked
 
 DIM = 1 << 19
 FAULTS = ("low", "toxic")
@@ -109,8 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20000):
                  b.column("low"), b.column("toxic")], ["f", "low", "toxic"])
 
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = text.join(chosen, "doc_id").select("text", "low", "toxic").mapInArrow(
-        run, "f binary, low boolean, toxic boolean").toArrow()
+    found = text.join(chosen, "doc_id").select("text", "low", "toxic").mapInArrow(run, "f binary, low boolean, toxic boolean")
+    got = found.orderBy(F.crc32("f"), "f", "low", "toxic").limit(max_labels).toArrow()  # an id can have many rows
     order = np.argsort(np.array([zlib.crc32(f) for f in got.column("f").to_pylist()], np.int64), kind="stable")
     rows = [np.frombuffer(f, np.int32) for f in got.column("f").to_pylist()]
     y = np.stack([got.column(c).to_numpy().astype(float) for c in FAULTS], 1) if len(rows) else np.zeros((0, 2))
@@ -174,11 +175,11 @@ def judge(docs: DataFrame, labels: DataFrame, max_labels: int = 20000, limit: fl
     """
     weights, bias = train(docs, labels, max_labels)
     added = [f"p_{f}" for f in FAULTS] + ["kept"]
-    docs = docs.drop(*added, *[f"_{f}" for f in FAULTS])
+    docs = docs.drop(*added)
     slim = docs.select("source", "lang", "text")
     sites = freeze(site_rates(evidence(slim, weights, bias).drop("text"))).withColumnsRenamed(
         {c: f"_site_{c}" for c in ("source", "lang", "n", *[k + f for f in FAULTS for k in ("s_", "r_", "m_", "g_")])})
-    joined = evidence(docs, weights, bias).join(
+    joined = evidence(packed(docs, F.col("source"), F.col("lang"), apart=("text",)), weights, bias).join(
         sites, F.col("source").eqNullSafe(F.col("_site_source")) & F.col("lang").eqNullSafe(F.col("_site_lang")))
     out = joined
     for f in FAULTS:
@@ -189,4 +190,4 @@ def judge(docs: DataFrame, labels: DataFrame, max_labels: int = 20000, limit: fl
         shift = F.log(rate / (1 - rate)) - F.log(F.col(f"_site_g_{f}") / (1 - F.col(f"_site_g_{f}")))
         out = out.withColumn(f"p_{f}", _logistic(F.col(f"_{f}") + shift))
     kept = (F.col("p_low") <= limit) & (F.col("p_toxic") <= limit)
-    return out.withColumn("kept", kept).select(*docs.columns, *added)
+    return out.withColumn("kept", kept).select(*unpacked(docs.columns, {"text": F.col("text")}), *added)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import freeze
+from .rows import packed, unpacked
 
 LAST = (1 << 63) - 1
 BLOCKS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -220,9 +221,10 @@ def near_duplicates(docs: DataFrame, limit: int = 4) -> DataFrame:
 
 def keep_one(docs: DataFrame, limit: int = 4) -> DataFrame:
     """The documents that are the first of their group; rows equal to it in id and fingerprint stay with it."""
-    with_fp = fingerprints(docs, "_near_own")
+    with_fp = fingerprints(packed(docs, F.col("doc_id"), apart=("text",)), "_near_own")
     prints = freeze(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
     of = groups(prints, limit).select(*[F.col(c).alias(f"_near_{c}") for c in ("fp", "first", "first_fp")])
     joined = with_fp.join(of, F.col("_near_own") == F.col("_near_fp"))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    return joined.where((own == F.col("_near_first")) & (F.col("_near_own") == F.col("_near_first_fp"))).select(*docs.columns)
+    return joined.where((own == F.col("_near_first")) & (F.col("_near_own") == F.col("_near_first_fp"))).select(
+        *unpacked(docs.columns, {"text": F.col("text")}))

@@ -2,6 +2,8 @@ import hashlib
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from prefmill.llm import mixing
 
 
@@ -23,6 +25,10 @@ def poisson(rate, *key):
     return total
 
 
+def ident(doc_id, text):
+    return f"{'' if doc_id is None else doc_id}:{hashlib.md5((text or '').encode()).hexdigest()}"
+
+
 SCHEMA = "doc_id long, text string, source string, copy int, _n int"
 
 
@@ -35,7 +41,7 @@ def test_counts_against_plain_python(spark):
     rate = {r.source: r.rate for r in rates.collect()}
     want = Counter()
     for d, t, s, *_ in rows:
-        want[(d, t, s)] += poisson(rate[s], "5", "" if d is None else str(d))
+        want[(d, t, s)] += poisson(rate[s], "5", ident(d, t))
     have = Counter((r.doc_id, r.text, r.source) for r in got.collect())
     assert have == Counter({k: n for k, n in want.items() if n})
     assert {r.copy for r in got.where("doc_id = 1").collect()} == set(range(1, want[(1, "xx", "s1")] + 1))
@@ -58,3 +64,11 @@ def test_same_rows_for_another_partitioning_and_a_shuffled_order(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_of_one_id_draw_apart_and_spread(spark):
+    docs = spark.createDataFrame([(i % 2 or None, f"text {i}", "a", 0, 0) for i in range(2000)], SCHEMA)
+    got = mixing.mix(docs, rates=spark.createDataFrame([("a", 1.0)], "source string, rate double"))
+    counts = Counter(r.text for r in got.collect())
+    assert 1800 < sum(counts.values()) < 2200 and set(counts.values()) >= {1, 2, 3}
+    assert got.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from prefmill.llm import mixing, pieces
 from test_line_dedup import brute as brute_lines
-from test_mixing import poisson
+from test_mixing import ident, poisson
 from test_simhash import grouped, print_of
 
 pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary file")
@@ -57,7 +57,7 @@ def test_stages(spark, folder):
     assert Counter(r.doc_id for r in single.collect()) == Counter(first.values())
 
     rate = {r.source: r.rate for r in mixing.source_rates(single, 0.7, 1.0).collect()}
-    copies = Counter({r.doc_id: poisson(rate[r.source], "7", str(r.doc_id)) for r in single.collect()})
+    copies = Counter({r.doc_id: poisson(rate[r.source], "7", ident(r.doc_id, r.text)) for r in single.collect()})
     mixed = stage["mix"](spark, single, folder)
     assert Counter(r.doc_id for r in mixed.collect()) == +copies
 
