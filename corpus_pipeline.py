@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prefmill.llm import line_dedup, mixing, pieces, quality_classifier, shingle_join
+from prefmill.llm import line_dedup, mixing, pieces, quality_classifier, simhash
 from prefmill.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates: five words, Jaccard index 0.8 or more."""
-    return shingle_join.keep_one(docs).select(*COLUMNS)
+    """The first document of each group of near duplicates: four-word shingles, fingerprints at four bits or fewer."""
+    return simhash.keep_one(docs, limit=4).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
