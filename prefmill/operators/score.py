@@ -138,6 +138,12 @@ def positive_extremes(prefs: DataFrame, matrix: DataFrame, value: str = "value",
 
 def _score_slices(u, i, x, r, c, m):
     """The products of a group, a slice of users and columns at a time."""
+    for _, _, scores in placed_slices(u, i, x, r, c, m):
+        yield scores
+
+
+def placed_slices(u, i, x, r, c, m):
+    """Slices of a group's products with the users and the columns they belong to."""
     if len(u) == 0 or len(r) == 0:
         return
     users, ux = np.unique(u, return_inverse=True)
@@ -159,7 +165,7 @@ def _score_slices(u, i, x, r, c, m):
             s = slice(*np.searchsorted(ux, (h, t)))
             a = np.zeros((t - h, len(items)))
             a[ux[s] - h, ix[s]] = x[s]
-            yield a @ dense
+            yield users[h:t], cols[w:e], a @ dense
 
 
 def rank_per_user(scored: DataFrame, k: int) -> DataFrame:
