@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.prefs import sentiment
 from ..operators import (
-    bias, cells as C, clean, diversity, factor, metrics, nmf, pairmodel, recommend, scale, score, search, similar,
-    splits, stats, twosided,
+    bias, cells as C, clean, diversity, factor, metrics, nmf, pairmodel, propagated, recommend, scale, score, search, similar,
+    splits, stats, towers, twosided,
 )
 from ..session import freeze, scratch_path
 from ..sources import blocks, sinks, tables, text
@@ -166,8 +166,8 @@ def two_sided(spark, ratings, ranks=(16, 12), regs=(0.1, 0.01), iters=(10, 20),
                   diversity=d["mean"], diversity_median=d["median"], diversity_quarter=d["quarter"])
 
 
-def left_half(spark, ratings, ranks=(16, 25), regs=(0.1, 0.01), iters=(10, 20)):
-    """ALS on [X, Y], scored on the left half."""
+def left_half(spark, ratings, ranks=(16, 25), regs=(0.1, 0.01), iters=(10, 20), nmf_ranks=(16, 25), nmf_rounds=(50, 80)):
+    """ALS on [X, Y] and NMF on [X; Y] with the dense Y, scored on the left half, each chosen by validation AUC."""
     train, valid, test = _split3(ratings)
     offset = C.id_bound(ratings, "item_id")
 
@@ -176,40 +176,48 @@ def left_half(spark, ratings, ranks=(16, 25), regs=(0.1, 0.01), iters=(10, 20)):
 
     b = best_row(search.search(spark, search.grid(rank=ranks, reg=regs, iters=iters),
                                lambda **g: auc(scores(**g, rows=valid), valid)))
+    below = C.id_bound(ratings, "user_id")
+    cells, base, rows = Q._left_half_stack(train, ratings, below)
+
+    def nmf_scores(m, k, rows):
+        users = m.rows.where(F.col("id") < below).withColumnRenamed("id", "user_id")
+        return factor.score_pairs(_pairs(rows), users, m.cols, k)
+
+    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, rounds: nmf.nmf_fit(
+        cells, k, rounds, base=base, row_ids=rows, base_from=below), nmf_scores, valid)
     return report(spark, best_rank=b["rank"], validation_auc=b["metric"],
-                  test_auc=auc(scores(b["rank"], b["reg"], b["iters"], test), test))
+                  test_auc=auc(scores(b["rank"], b["reg"], b["iters"], test), test),
+                  nmf_rank=n["rank"], nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
+                  nmf_test_auc=auc(nmf_scores(m, n["rank"], test), test))
 
 
-def neg_blend(spark, ratings, rank=16, reg=0.1, iters=10, nmf_iters=4):
-    """[X, Y Y^T X] side by side by ALS (halves blended 1, -0.5) and one above
-    the other by NMF (blended 1, +0.5)."""
-    train, _, test = _split3(ratings)
+def neg_blend(spark, ratings, rank=16, reg=0.1, iters=10, nmf_ranks=(16, 25), nmf_rounds=(50, 80)):
+    """[X, Y Y^T X] side by side by ALS (binary Y, halves blended 1, -0.5) and one above the other by
+    NMF (graded dense Y, blended 1, +0.5, chosen by validation AUC); cells of Y Y^T X below 0.2 are 0."""
+    train, valid, test = _split3(ratings)
     offset = C.id_bound(ratings, "item_id")
     model = Q._neg_blend_model(train, offset, rank, iters, reg)
     als_auc = auc(Q._score_neg_blend(model, rank, test, offset), test)
     below = C.id_bound(ratings, "user_id")
-    far = freeze(C.binary_propagation(train))
-    tall = C.vstack(scale.minmax_positive(C.as_cells(C.graded(train), "x")), scale.minmax_positive(far), below)
-    m = nmf.nmf_fit(freeze(tall.where("value > 0")), rank, nmf_iters)
-    upper = freeze(m.rows.where(F.col("id") < below).withColumnRenamed("id", "user_id"))
-    lower = freeze(m.rows.where(F.col("id") >= below).select((F.col("id") - below).alias("user_id"), "features"))
-    near, off = (
-        scale.minmax_positive(factor.score_pairs(_pairs(test), half, m.cols, rank), "score",
-                              factor.product_span(half.withColumnRenamed("user_id", "id"), m.cols))
-        for half in (upper, lower))
-    blended = near.join(off.withColumnRenamed("score", "off"), ["user_id", "item_id"], "left").select(
-        "user_id", "item_id", (F.col("score") + 0.5 * F.coalesce("off", F.lit(0.0))).alias("score"))
-    return report(spark, als_test_auc=als_auc, nmf_test_auc=auc(blended, test))
-
-
-def pair_model(spark, ratings, k=4, nmf_iters=3, hidden=32, iters=15):
-    """Two-sided embeddings and the neural pair model: AUC on the last rows."""
+    far = propagated.propagated(train, ratings.select("item_id").distinct().count())
+    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, rounds: Q._tall_blend_model(train, far, below, k, rounds),
+                      lambda m, k, rows: Q._score_tall_blend(m, k, rows, below), valid)
+    blended = Q._score_tall_blend(m, n["rank"], test, below)
+    return report(spark, als_test_auc=als_auc, nmf_rank=n["rank"], nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
+                  nmf_test_auc=auc(blended, test), cut_cells=far.fixes.count())
+
+
+def pair_model(spark, ratings, k=25, nmf_iters=50, hidden=128, iters=15, batch=50, steps=2000, rate=1e-3):
+    """Two-sided embeddings, the two-tower model and a perceptron on them: AUC on the last rows."""
     train, valid, test = _split3(ratings)
     emb = Q._embeddings(train, ratings, k, nmf_iters)
     emb = pairmodel.Embeddings(freeze(emb.users), freeze(emb.items))
     model = pairmodel.fit_pair_model(train, emb, k, hidden, iters)
     both = [auc(pairmodel.score_with(model, _pairs(x), emb), x) for x in (valid, test)]
-    return report(spark, validation_auc=both[0], test_auc=both[1])
+    net = towers.fit_towers(train, emb, hidden, batch, steps, rate)
+    tower = [auc(towers.score_towers(net, _pairs(x), emb), x) for x in (valid, test)]
+    return report(spark, validation_auc=both[0], test_auc=both[1], first_loss=net.losses[0], last_loss=net.losses[-1],
+                  tower_validation_auc=tower[0], tower_test_auc=tower[1])
 
 
 def block_files(spark, path):
@@ -279,17 +287,17 @@ def job_two_sided(spark, d):
 
 @query
 def job_left_half(spark, d):
-    return left_half(spark, freeze(Q.ev(spark, d)), iters=(10,))
+    return left_half(spark, freeze(Q.ev(spark, d)), iters=(10,), nmf_ranks=(8, 16), nmf_rounds=(4, 8))
 
 
 @query
 def job_neg_blend(spark, d):
-    return neg_blend(spark, freeze(Q.ev(spark, d)), rank=8, iters=5, nmf_iters=3)
+    return neg_blend(spark, freeze(Q.ev(spark, d)), rank=8, iters=5, nmf_ranks=(8,), nmf_rounds=(3, 6))
 
 
 @query
 def job_pair_model(spark, d):
-    return pair_model(spark, freeze(Q.ev(spark, d)))
+    return pair_model(spark, freeze(Q.ev(spark, d)), k=4, nmf_iters=3, hidden=32, batch=256, steps=40, rate=0.01)
 
 
 @query

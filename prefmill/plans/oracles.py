@@ -248,6 +248,14 @@ SQL = {
     "neg_propagation": w(EV, CROSS, FAR) + "SELECT user_id AS row, item_id AS col, v AS value FROM far",
     "neg_propagation_graded": w(EV, SPLIT, DENSE) + _two_sided + """
       SELECT t.user_id, t.item_id, round(yam.v, 6) AS score FROM test t JOIN yam ON yam.user_id = t.user_id AND yam.item_id = t.item_id""",
+    "neg_cut_columns": w(EV, SPLIT) + """,
+      xy AS (SELECT u.user_id, i.item_id, coalesce(t.rating / 5, 0) AS x, coalesce((6 - t.rating) / 5, 1.2::DOUBLE) AS y
+        FROM (SELECT DISTINCT user_id FROM train) u CROSS JOIN (SELECT DISTINCT item_id FROM r) i LEFT JOIN train t USING (user_id, item_id)),
+      a AS (SELECT p.item_id AS row, t.item_id AS col, sum(p.y * t.rating / 5) AS v FROM xy p JOIN train t USING (user_id) GROUP BY 1, 2),
+      f AS (SELECT xy.user_id, a.col, sum(xy.y * a.v) AS v FROM xy JOIN a ON xy.item_id = a.row GROUP BY 1, 2),
+      b AS (SELECT min(v) AS lo, max(v) AS hi FROM f)
+      SELECT col AS item_id, round(sum(CASE WHEN (v - lo) / (hi - lo) < 0.2::DOUBLE THEN 0 ELSE (v - lo) / (hi - lo) END), 4) AS total
+      FROM f, b GROUP BY col""",
     "minmax_positive": w(EV, SGRAM) + """, b AS (SELECT min(v) AS lo, max(v) AS hi FROM s0 WHERE v > 0)
       SELECT row, col, round((v - lo) / (hi - lo), 6) AS value FROM s0, b""",
     "minmax_all": w(EV, SGRAM) + """, b AS (SELECT CASE WHEN count(*) < (SELECT count(DISTINCT item_id) * count(DISTINCT item_id) FROM r)

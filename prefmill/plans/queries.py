@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import prefs as P
 from ..functions.vectors import combine
 from ..operators import (
-    bias, cells as C, clean, diversity, factor, graph, metrics, nmf, ordering, pairmodel, points, product,
-    recommend, scale, score, search, similar, splits, stats, twosided,
+    bias, cells as C, clean, diversity, factor, graph, metrics, nmf, ordering, pairmodel, points, propagated, product,
+    recommend, scale, score, search, similar, splits, stats, towers, twosided,
 )
 from ..session import freeze, scratch_path
 from ..sources import blocks, sinks, tables, text
@@ -641,7 +641,8 @@ def als_hcat(spark, d):
 
 def _neg_blend_model(train, offset, rank, iters, reg):
     x, far = C.as_cells(C.graded(train), "x"), freeze(C.binary_propagation(train))
-    t = scale.sparsify(C.hstack(scale.minmax_positive(x), scale.minmax_positive(far), offset), 1e-2)
+    cut = scale.zero_below(scale.minmax_positive(far), propagated.CUT)
+    t = scale.sparsify(C.hstack(scale.minmax_positive(x), cut, offset), 1e-2)
     return factor.als_fit(t, rank, iters, reg)
 
 
@@ -665,6 +666,74 @@ def als_neg_hcat(spark, d):
     return _score_neg_blend(_neg_blend_model(train, offset, 8, 5, 0.1), 8, test, offset)
 
 
+@query
+def neg_cut_columns(spark, d):
+    """Column sums of the graded dense Y (Y^T X) of the training rows, scaled by its extremes and zero below 0.2."""
+    train, _, r = ev_split(spark, d)
+    far = propagated.propagated(train, n_items(r))
+    return propagated.column_sums(far).select(F.col("col").alias("item_id"), F.round("total", 4).alias("total"))
+
+
+def _tall_blend_model(train, far, below, k, iters):
+    """Factors of [X; Y Y^T X], both scaled, Y graded and dense."""
+    upper = scale.minmax_positive(freeze(C.as_cells(C.graded(train), "x"))).where("value > 0")
+    return propagated.nmf_above(freeze(upper), far, below, k, iters)
+
+
+def _score_tall_blend(model, k, test, below, weight=0.5):
+    """Upper and lower half of the completed stack, each scaled over all its positive cells, blended."""
+    pairs = test.select("user_id", "item_id")
+    halves = (model.rows.where(F.col("id") < below), model.rows.where(F.col("id") >= below).withColumn("id", F.col("id") - below))
+    near, far = (
+        scale.minmax_positive(factor.score_pairs(pairs, half.withColumnRenamed("id", "user_id"), model.cols, k), "score",
+                              factor.product_span(half, model.cols)) for half in map(freeze, halves))
+    return near.join(far.withColumnRenamed("score", "far"), ["user_id", "item_id"], "left").select(
+        "user_id", "item_id", (F.col("score") + weight * F.coalesce("far", F.lit(0.0))).alias("score"))
+
+
+@query
+def nmf_neg_blend(spark, d):
+    """Held-out cells by the blended halves of the factored [X; Y Y^T X], graded, with the 0.2 cut."""
+    train, test, r = ev_split(spark, d)
+    below = C.id_bound(r, "user_id")
+    model = _tall_blend_model(train, propagated.propagated(train, n_items(r)), below, 8, 4)
+    return _score_tall_blend(model, 8, test, below)
+
+
+def _left_half_stack(train, catalogue, below, cut=propagated.CUT):
+    """Cells, column bases and rows of [X; Y], scaled together over the positive cells, zero below the cut.
+
+    Y is 1.2 on unrated cells: the base of every column. Rated cells are stored as what they differ by.
+    """
+    prefs = freeze(C.graded(train))
+    items = freeze(catalogue.select(F.col("item_id").alias("col")).distinct())
+    users = freeze(prefs.select(F.col("user_id").alias("id")).distinct())
+    f = prefs.agg(F.min(F.least("x", "y")), F.max(F.greatest("x", "y")), F.count(F.lit(1))).first()
+    high = P.UNSEEN_DISLIKE if f[2] < users.count() * items.count() else f[1]
+    span = scale.Span(f[0], high)
+
+    def scaled(v):
+        return F.when(span.scale(v) < cut, 0.0).otherwise(span.scale(v))
+
+    base = items.withColumn("value", scaled(F.lit(P.UNSEEN_DISLIKE)))
+    upper = prefs.select(F.col("user_id").alias("row"), F.col("item_id").alias("col"), scaled(F.col("x")).alias("value"))
+    lower = prefs.select((F.col("user_id") + below).alias("row"), F.col("item_id").alias("col"),
+                         (scaled(F.col("y")) - scaled(F.lit(P.UNSEEN_DISLIKE))).alias("value"))
+    rows = users.unionByName(users.select((F.col("id") + below).alias("id")))
+    return freeze(upper.unionByName(lower).where("value <> 0")), base, rows
+
+
+@query
+def nmf_left_half(spark, d):
+    """Held-out cells by the left half of the factored [X; Y], Y dense."""
+    train, test, r = ev_split(spark, d)
+    below = C.id_bound(r, "user_id")
+    cells, base, rows = _left_half_stack(train, r, below)
+    model = nmf.nmf_fit(cells, 8, 4, base=base, row_ids=rows, base_from=below)
+    users = model.rows.where(F.col("id") < below).withColumnRenamed("id", "user_id")
+    return factor.score_pairs(test.select("user_id", "item_id"), users, model.cols, 8)
+
+
 @query
 def dot_cells(spark, d):
     """Cells of the completed matrix at all held-out ratings."""
@@ -769,6 +838,16 @@ def pair_model(spark, d):
     return pairmodel.score_with(model, test.select("user_id", "item_id"), emb)
 
 
+@query
+def tower_model(spark, d):
+    """Held-out pairs by the two-tower model on two-sided embeddings."""
+    train, test, r = ev_split(spark, d)
+    emb = _embeddings(train, r, 4, 3)
+    emb = pairmodel.Embeddings(freeze(emb.users), freeze(emb.items))
+    model = towers.fit_towers(train, emb, hidden=32, batch=256, steps=40, rate=0.01)
+    return towers.score_towers(model, test.select("user_id", "item_id"), emb)
+
+
 @query
 def biased_mf(spark, d):
     """All titles for one user by estimate, the ten best."""
