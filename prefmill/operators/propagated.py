@@ -189,10 +189,10 @@ def square_sum(far: Propagated) -> float:
     return affine + product / width + (far.fixes.agg(F.sum(F.when(v < 0, -v * v).otherwise(v * v))).first()[0] or 0.0)
 
 
-def nmf_above(upper: DataFrame, far: Propagated, offset: int, k: int, iters: int, seed: int = 0) -> Nmf:
+def nmf_above(upper: DataFrame, far: Propagated, offset: int, k: int, iters: int, seed: int = 0, marks: tuple[int, ...] = ()) -> Nmf:
     """Non-negative factors of [upper; far]: ``upper(row, col, value)`` is sparse, far's users start at row ``offset``.
 
-    Multiplicative updates as in ``nmf``; no cell of the affine part is made.
+    Multiplicative updates as in ``nmf``; no cell of the affine part is made. The models after the rounds ``marks`` are kept.
     """
     sparse = freeze(upper.select("row", "col", "value").unionByName(
         far.fixes.select((F.col("row") + offset).alias("row"), "col", "value")))
@@ -236,15 +236,17 @@ def nmf_above(upper: DataFrame, far: Propagated, offset: int, k: int, iters: int
         return summed(near, level.select("id", combine("flat * _w[{d}] - slope * _m[{d}] + coalesce(far[{d}], 0D)", k).alias("num")))
 
     gram_h = factor_gram(h, k)
-    losses = []
+    losses, kept = [], {}
     keep_w, keep_h = freezing(sparse.sparkSession, "rows"), freezing(sparse.sparkSession, "cols")
-    for _ in range(iters):
+    for done in range(1, iters + 1):
         w = _updated(w, for_rows(h), gram_h, k, keep_w)
         gram_w, _ = _facts(w, k)
         h = _updated(h, for_cols(w), gram_w, k, keep_h)
         gram_h, cross = _facts(h, k)
         losses.append(float(square - 2 * cross + np.sum(gram_w * gram_h)))
-    return Nmf(w.select("id", "features"), h.select("id", "features"), losses)
+        if done in marks:
+            kept[done] = Nmf(freeze(w.select("id", "features")), freeze(h.select("id", "features")), list(losses))
+    return Nmf(w.select("id", "features"), h.select("id", "features"), losses, kept)
 
 
 def _numbers(values, k: int):

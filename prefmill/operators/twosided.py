@@ -67,7 +67,7 @@ def scores(m: TwoSided, train: DataFrame, targets: DataFrame, beta: float = BETA
         "user_id", "item_id", (F.col("xs_scaled") + beta * lower).alias("score"))
 
 
-def fit_nmf(m: TwoSided, item_ids: DataFrame, offset: int, k: int, iters: int, seed: int = 0) -> Nmf:
+def fit_nmf(m: TwoSided, item_ids: DataFrame, offset: int, k: int, iters: int, seed: int = 0, marks: tuple[int, ...] = ()) -> Nmf:
     """Non-negative factors of the scaled [S; Y^T X], graded. The lower half starts
     at row ``offset`` and enters as a column constant less the scaled cells of S."""
     width = (m.neg.high - m.neg.low) or 1.0
@@ -76,7 +76,7 @@ def fit_nmf(m: TwoSided, item_ids: DataFrame, offset: int, k: int, iters: int, s
     base = m.base.select("col", ((F.col("base") - m.neg.low) / width).alias("value"))
     ids = item_ids.select("id").distinct()
     rows = ids.unionByName(ids.select((F.col("id") + offset).alias("id")))
-    return nmf_fit(freeze(upper.unionByName(lower)), k, iters, seed, base, rows, offset)
+    return nmf_fit(freeze(upper.unionByName(lower)), k, iters, seed, base, rows, offset, marks)
 
 
 def nmf_scores(model: Nmf, offset: int, n_items: int, train: DataFrame, targets: DataFrame, k: int,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.prefs import sentiment
 from ..operators import (
-    bias, cells as C, clean, diversity, factor, metrics, nmf, pairmodel, propagated, recommend, scale, score, search, similar,
+    cells as C, clean, diversity, factor, metrics, nmf, pairmodel, propagated, recommend, scale, score, search, sgd, similar,
     splits, stats, towers, twosided,
 )
 from ..session import freeze, scratch_path
@@ -69,14 +69,18 @@ def _pairs(rows):
 def nmf_search(spark, ranks, rounds, fit, scores, valid):
     """Grid of NMF over rank x rounds by validation AUC; the best settings with their model.
 
-    ``fit(rank, rounds)`` gives a model, ``scores(model, rank, rows)`` its scores.
+    ``fit(rank, most, marks)`` gives a model with those after the rounds ``marks``: one fit
+    serves all rounds of a rank. ``scores(model, rank, rows)`` gives the scores of a model.
     """
     models = {}
 
     def measure(rank, rounds):
-        models[rank, rounds] = fit(rank, rounds)
+        if (rank, rounds) not in models:
+            models.update({(rank, n): m for n, m in fit(rank, max(rounds_all), rounds_all).marks.items()})
         return auc(scores(models[rank, rounds], rank, valid), valid)
 
+    rounds_all = tuple(rounds)
+
     b = best_row(search.search(spark, search.grid(rank=ranks, rounds=rounds), measure))
     return b, models[b["rank"], b["rounds"]]
 
@@ -100,7 +104,7 @@ def item_gram(spark, ratings, ranks=(16, 12), regs=(0.1, 0.01), iters=(10, 20),
     def nmf_scores(m, k, rows):
         return factor.score_pairs(_pairs(rows), factor.user_vectors(prefs, m.rows, k), m.cols, k)
 
-    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, rounds: nmf.nmf_fit(s, k, rounds), nmf_scores, valid)
+    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, most, marks: nmf.nmf_fit(s, k, most, marks=marks), nmf_scores, valid)
     users = freeze(factor.user_vectors(prefs, m.rows, n["rank"]))
     lists = freeze(score.top_by_factors(users, m.cols, 50, seen=_pairs(train)))
     packed = diversity.packed_by_factors(lists, m.rows, m.cols, factor.product_span(m.rows, m.cols))
@@ -123,7 +127,7 @@ def preferences(spark, ratings, ranks=(8, 12), regs=(0.1, 0.01), iters=(10, 20),
     def nmf_scores(m, k, rows):
         return factor.score_pairs(_pairs(rows), m.rows.withColumnRenamed("id", "user_id"), m.cols, k)
 
-    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, rounds: nmf.nmf_fit(x, k, rounds), nmf_scores, valid)
+    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, most, marks: nmf.nmf_fit(x, k, most, marks=marks), nmf_scores, valid)
     rank = n["rank"]
     users = m.rows.withColumnRenamed("id", "user_id")
     lists = freeze(score.top_by_factors(users, m.cols, 50, seen=_pairs(train)))
@@ -157,7 +161,7 @@ def two_sided(spark, ratings, ranks=(16, 12), regs=(0.1, 0.01), iters=(10, 20),
         return twosided.nmf_scores(model, offset, n_items, train, rows, k)
 
     n, factors = nmf_search(spark, nmf_ranks, nmf_rounds,
-                            lambda k, rounds: twosided.fit_nmf(m, ids, offset, k, rounds), nmf_scores, valid)
+                            lambda k, most, marks: twosided.fit_nmf(m, ids, offset, k, most, marks=marks), nmf_scores, valid)
     return report(spark, best_rank=b["rank"], validation_auc=b["metric"],
                   als_test_auc=auc(scores(b["rank"], b["reg"], b["iters"], test), test),
                   nmf_rank=n["rank"], nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
@@ -183,8 +187,8 @@ def left_half(spark, ratings, ranks=(16, 25), regs=(0.1, 0.01), iters=(10, 20),
         users = m.rows.where(F.col("id") < below).withColumnRenamed("id", "user_id")
         return factor.score_pairs(_pairs(rows), users, m.cols, k)
 
-    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, rounds: nmf.nmf_fit(
-        cells, k, rounds, base=base, row_ids=rows, base_from=below), nmf_scores, valid)
+    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, most, marks: nmf.nmf_fit(
+        cells, k, most, base=base, row_ids=rows, base_from=below, marks=marks), nmf_scores, valid)
     return report(spark, best_rank=b["rank"], validation_auc=b["metric"],
                   test_auc=auc(scores(b["rank"], b["reg"], b["iters"], test), test),
                   nmf_rank=n["rank"], nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
@@ -200,7 +204,7 @@ def neg_blend(spark, ratings, rank=16, reg=0.1, iters=10, nmf_ranks=(16, 25), nm
     als_auc = auc(Q._score_neg_blend(model, rank, test, offset), test)
     below = C.id_bound(ratings, "user_id")
     far = propagated.propagated(train, ratings.select("item_id").distinct().count())
-    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, rounds: Q._tall_blend_model(train, far, below, k, rounds),
+    n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, most, marks: Q._tall_blend_model(train, far, below, k, most, marks),
                       lambda m, k, rows: Q._score_tall_blend(m, k, rows, below), valid)
     blended = Q._score_tall_blend(m, n["rank"], test, below)
     return report(spark, als_test_auc=als_auc, nmf_rank=n["rank"], nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
@@ -236,20 +240,17 @@ def block_files(spark, path):
                   preference_auc=auc(pref, test))
 
 
-def explore(spark, ratings, items, user_id, item_id):
-    """Statistics, trimming, cross-validated biased factors, similar titles."""
+def explore(spark, ratings, items, user_id, item_id, rank=100, epochs=20, rate=0.005):
+    """Statistics, trimming, biased factors cross-validated in 3 and in 5 folds, similar titles."""
     ratings = freeze(ratings)
     s = stats.dataset_stats(ratings).first()
     kept = freeze(clean.trim_by_activity(ratings))
-    folds = freeze(splits.hash_folds(kept, 3))
-    errs = []
-    for f in range(3):
-        model = bias.fit_biased(folds.where(F.col("fold") != f), rank=4, iters=3)
-        errs.append(metrics.errors(bias.predict_biased(model, folds.where(F.col("fold") == f))).first())
+    cv = {r["folds"]: r for r in sgd.cross_validate(kept, (3, 5), rank=rank, epochs=epochs, rate=rate).groupBy("folds").agg(
+        F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae")).collect()}
     liked = recommend.favourites(kept, items, user_id).count()
     alike = similar.similar_titles(kept, items, item_id).count()
     return report(spark, n_ratings=s["n_ratings"], n_users=s["n_users"], n_items=s["n_items"], n_kept=kept.count(),
-                  cv_rmse=sum(e["rmse"] for e in errs) / 3, cv_mae=sum(e["mae"] for e in errs) / 3,
+                  cv_rmse=cv[3]["rmse"], cv_mae=cv[3]["mae"], cv5_rmse=cv[5]["rmse"], cv5_mae=cv[5]["mae"],
                   favourites=liked, similar=alike)
 
 
@@ -309,7 +310,7 @@ def job_block_files(spark, d):
 
 @query
 def job_explore(spark, d):
-    return explore(spark, Q.ev(spark, d), tables.items_from_parts(spark, d), Q.USER, Q.ITEM)
+    return explore(spark, Q.ev(spark, d), tables.items_from_parts(spark, d), Q.USER, Q.ITEM, rank=8, epochs=4, rate=0.02)
 
 
 @query

@@ -12,7 +12,7 @@ from ..functions import prefs as P
 from ..functions.vectors import combine
 from ..operators import (
     bias, cells as C, clean, diversity, factor, graph, metrics, nmf, ordering, pairmodel, points, propagated, product,
-    recommend, scale, score, search, similar, splits, stats, towers, twosided,
+    recommend, scale, score, search, sgd, similar, splits, stats, towers, twosided,
 )
 from ..session import freeze, scratch_path
 from ..sources import blocks, sinks, tables, text
@@ -674,10 +674,10 @@ def neg_cut_columns(spark, d):
     return propagated.column_sums(far).select(F.col("col").alias("item_id"), F.round("total", 4).alias("total"))
 
 
-def _tall_blend_model(train, far, below, k, iters):
+def _tall_blend_model(train, far, below, k, iters, marks=()):
     """Factors of [X; Y Y^T X], both scaled, Y graded and dense."""
     upper = scale.minmax_positive(freeze(C.as_cells(C.graded(train), "x"))).where("value > 0")
-    return propagated.nmf_above(freeze(upper), far, below, k, iters)
+    return propagated.nmf_above(freeze(upper), far, below, k, iters, marks=marks)
 
 
 def _score_tall_blend(model, k, test, below, weight=0.5):
@@ -786,6 +786,12 @@ def nmf_gram(spark, d):
     return _loss_rows(spark, nmf.nmf_fit(freeze(scale.minmax_positive(freeze(C.item_gram(ev(spark, d))))), 8, 4))
 
 
+@query
+def nmf_hals(spark, d):
+    """Losses of S factored by best component values, up to the stop by projected gradient."""
+    return _loss_rows(spark, nmf.hals(freeze(scale.minmax_positive(freeze(C.item_gram(ev(spark, d))))), 8, tol=0.05, most=12))
+
+
 @query
 def nmf_pref(spark, d):
     return _loss_rows(spark, nmf.nmf_fit(freeze(C.as_cells(C.graded(ev(spark, d)), "x")), 8, 4))
@@ -865,6 +871,22 @@ def recommend_titles_als(spark, d):
     return recommend.recommend_by_model(model, tables.items_from_parts(spark, d), r, USER, 50)
 
 
+@query
+def sgd_mf(spark, d):
+    """All titles for one user by the jointly learnt biased factors, the ten best."""
+    r = freeze(ev(spark, d))
+    model = sgd.fit_sgd(r, rank=8, epochs=5, rate=0.02)
+    items = r.select("item_id").distinct().withColumn("user_id", F.lit(USER).cast("long"))
+    return recommend.top_titles(
+        sgd.predict_sgd(model, items).select("item_id", "score"), tables.items_from_parts(spark, d), 10)
+
+
+@query
+def cv_joint(spark, d):
+    """RMSE and MAE of the jointly learnt biased factors per fold of 3 and of 5, all folds in the same joins."""
+    return sgd.cross_validate(ev(spark, d), (3, 5), rank=8, epochs=4, rate=0.02)
+
+
 @query
 def cv_report(spark, d):
     """RMSE and MAE per fold of three-fold cross-validation of the biased model."""

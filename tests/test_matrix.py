@@ -227,3 +227,27 @@ def test_two_sided_nmf_scores(spark, stars):
     cells = spark.createDataFrame([(u, i) for u in range(14) for i in range(11)], "user_id long, item_id long")
     got = twosided.nmf_scores(model, 11, 11, r, cells, 3).collect()
     assert len(got) == 154 and all(np.isclose(v["score"], want[v["user_id"], v["item_id"]]) for v in got)
+
+
+def test_best_component_values_against_numpy_and_fewer_rounds(spark):
+    rng = np.random.default_rng(6)
+    t = rng.random((25, 3)) @ rng.random((3, 18)) * (rng.random((25, 18)) < 0.7)
+    cells = freeze(spark.createDataFrame(
+        [(i, j, float(t[i, j])) for i, j in zip(*(x.tolist() for x in np.nonzero(t)))], "row long, col long, value double"))
+    plain = nmf.nmf_fit(cells, 3, 15, marks=(5, 15))
+    assert sorted(plain.marks) == [5, 15] and plain.marks[5].losses == plain.losses[:5]
+    fast = nmf.hals(cells, 3, tol=0.1, most=20)
+    size = float(2 * np.sqrt(t.sum() / (25 * 18 * 3)))
+    at = lambda df: np.array([q.features for q in sorted(df.collect())])
+    ids = lambda n: spark.createDataFrame([(i,) for i in range(n)], "id long")
+    w, h = at(nmf._start(ids(25), 3, 0, size)), at(nmf._start(ids(18), 3, 1, size))
+    losses = []
+    for _ in fast.losses:
+        for a, b, m in ((w, h, t), (h, w, t.T)):
+            for d in range(3):
+                g = b.T @ b
+                a[:, d] = np.maximum(0, a[:, d] + ((m @ b)[:, d] - a @ g[:, d]) / g[d, d])
+        losses.append(((t - w @ h.T) ** 2).sum())
+    assert np.allclose(fast.losses, losses) and np.allclose(at(fast.rows), w) and np.allclose(at(fast.cols), h)
+    reached = next(i for i, x in enumerate(fast.losses, 1) if x <= plain.losses[-1])
+    assert reached < 8 and len(fast.losses) < 20  # half the rounds, and a stop before the last

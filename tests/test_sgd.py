@@ -55,7 +55,7 @@ def test_equals_a_sequential_run_of_the_schedule(spark, planted):
 
 
 def test_folds_together_equal_separate_fits_and_beat_damped_biases(planted):
-    settings = dict(rank=4, epochs=12, rate=0.03, reg=0.05)
+    settings = dict(rank=4, epochs=12, rate=0.1, reg=0.05)
     got = {(r.folds, r.fold): r for r in sgd.cross_validate(planted, (3, 5), blocks=2, **settings).collect()}
     assert sorted(got) == [(3, f) for f in range(3)] + [(5, f) for f in range(5)]
     own = F.pmod(F.xxhash64("user_id", "item_id", F.lit(3)), F.lit(3))
