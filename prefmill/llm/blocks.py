@@ -254,7 +254,9 @@ def any_hot():
 
 
 def hot_places(staged: Staged, masks: DataFrame, grams, content, starts) -> DataFrame:
-    """(block, places) of the windows of hot anchors that also start in a smaller document.
+    """(block, places, sources) of the windows of hot anchors that also start in a smaller document.
+
+    ``sources`` holds the id of that document and the first place of the window in it.
 
     A row per block and different window (``content`` gives its bytes) goes through
     an aggregate to its smallest id and is joined back; Spark combines before the
@@ -276,22 +278,28 @@ def hot_places(staged: Staged, masks: DataFrame, grams, content, starts) -> Data
             for window, places in found.items():
                 p = np.array(places)
                 doc = np.searchsorted(first, p, side="right") - 1
-                for c, x in zip(cols, (window, int(block.ords[doc].min()), key[0].as_py(), put_arrays(
-                        block.ords[doc], doc.astype(np.int32), (p - first[doc]).astype(np.int32)))):
+                ords, begin = block.ords[doc], (p - first[doc]).astype(np.int32)
+                least = np.lexsort((begin, ords))[0]
+                for c, x in zip(cols, (window, {"ord": int(ords[least]), "start": int(begin[least])}, key[0].as_py(), put_arrays(
+                        ords, doc.astype(np.int32), begin))):
                     c.append(x)
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.binary()))],
-                                    ["window", "first", "block", "at"])
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(
+            cols, (pa.binary(), pa.struct([("ord", pa.int64()), ("start", pa.int32())]), pa.int64(), pa.binary()))],
+            ["window", "first", "block", "at"])
 
-    hot = freeze(staged.by_block(side_rows(staged, masks)).applyInArrow(run, "window binary, first long, block long, at binary"))
+    hot = freeze(staged.by_block(side_rows(staged, masks)).applyInArrow(run, "window binary, first struct<ord: long, start: int>, block long, at binary"))
     owners = hot.groupBy("window").agg(F.min("first").alias("owner"))
 
     def places(batches):
         for b in batches:
-            out = []
+            out, sources = [], []
             for owner, at in zip(b.column("owner").to_pylist(), b.column("at").to_pylist()):
                 ords, doc, start = get_arrays(at, np.int64, np.int32, np.int32)
-                lost = ords > owner
-                out.append(put_arrays(doc[lost], start[lost], np.ones(int(lost.sum()), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary())], ["block", "places"])
-
-    return hot.join(owners, "window").select("block", "owner", "at").mapInArrow(places, "block long, places binary")
+                lost = ords > owner["ord"]
+                n = int(lost.sum())
+                out.append(put_arrays(doc[lost], start[lost], np.ones(n, np.int32)))
+                sources.append(put_arrays(np.full(n, owner["ord"], np.int64), np.full(n, owner["start"], np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("block"), pa.array(out, pa.binary()), pa.array(sources, pa.binary())], ["block", "places", "sources"])
+
+    return hot.join(owners, "window").select("block", "owner", "at").mapInArrow(places, "block long, places binary, sources binary")

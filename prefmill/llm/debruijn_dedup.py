@@ -243,12 +243,13 @@ def repeats(docs: DataFrame, width: int = 13, hot: int = 1024) -> tuple[blocks.S
 
         def rows(batches):
             for b in batches:
-                for block, p in zip(b.column("block").to_pylist(), b.column("places").to_pylist()):
+                for block, p, of in zip(*(b.column(c).to_pylist() for c in ("block", "places", "sources"))):
                     d, s, n = get_arrays(p, np.int32, np.int32, np.int32)
-                    none = np.full(len(d), -1, np.int64)
+                    source, at = get_arrays(of, np.int64, np.int32)
+                    none = pa.array(np.full(len(d), -1, np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(d), block, np.int64)), pa.array(d), pa.array(s), pa.array(n), pa.array(none),
-                         *[pa.array(none.astype(np.int32))] * 3],
+                        [pa.array(np.full(len(d), block, np.int64)), pa.array(d), pa.array(s), pa.array(n), pa.array(source),
+                         pa.array(at), none, none],
                         ["block", "doc", "start", "count", "source", "at", "unitig_pos", "unitig_edges"])
 
         runs = runs.unionByName(places.mapInArrow(rows, runs.schema))
@@ -258,7 +259,7 @@ def repeats(docs: DataFrame, width: int = 13, hot: int = 1024) -> tuple[blocks.S
 def dedup(docs: DataFrame, width: int = 13, hot: int = 1024) -> DataFrame:
     """(doc_id, n_words, n_removed, n_spans, longest, kept) per row.
 
-    ``n_spans`` counts maximal spans that follow one unitig in step, ``longest`` is
+    ``n_spans`` counts maximal spans that follow one source document in step, ``longest`` is
     the longest in words; ``kept`` is what is left, joined by one space.
     """
     staged, runs = repeats(docs, width, hot)
@@ -267,13 +268,12 @@ def dedup(docs: DataFrame, width: int = 13, hot: int = 1024) -> DataFrame:
                                                 ("unitig_pos", "int"), ("unitig_edges", "int"))]))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, start, count, source, at, tig = (right.column(c).to_numpy().astype(np.int64) for c in (
-            "doc", "start", "count", "source", "at", "unitig_pos"))
+        doc, start, count, source, at = (right.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "count", "source", "at"))
         whole = np.zeros(0, np.int64) if not len(doc) else doc[start < 0]
         real = start >= 0
-        doc, start, count, source, at, tig = (c[real] for c in (doc, start, count, source, at, tig))
+        doc, start, count, source, at = (c[real] for c in (doc, start, count, source, at))
         order = np.lexsort((start, doc))
-        doc, start, count, source, at, tig = (c[order] for c in (doc, start, count, source, at, tig))
+        doc, start, count, source, at = (c[order] for c in (doc, start, count, source, at))
         cols = [[] for _ in range(6)]
         for pack in left.column("pack").to_pylist():
             block = blocks.unpack(pack)
@@ -284,7 +284,7 @@ def dedup(docs: DataFrame, width: int = 13, hot: int = 1024) -> DataFrame:
             gone = np.cumsum(delta[:-1]) > 0
             copies = whole[words.count[whole] >= width]
             gone[ranges(words.first[copies], words.count[copies])] = True
-            span = new_run(doc, source, tig, start - at) if len(doc) else np.zeros(0, bool)
+            span = new_run(doc, source, start - at) if len(doc) else np.zeros(0, bool)
             if len(doc):  # a run must also go on where the one before ends
                 span[1:] |= start[1:] != start[:-1] + count[:-1]
             heads = np.flatnonzero(span)

@@ -246,7 +246,7 @@ def repeats(docs: DataFrame, width: int = 50, hot: int = 1024) -> tuple[blocks.S
     places = _resolve(_send(staged, masks, width), width)
     if masks.where(blocks.any_hot()).limit(1).count():
         places = places.unionByName(blocks.hot_places(
-            staged, masks, lambda b, skip: grams(b, skip, width), lambda b, w: b.data[w:w + width].tobytes(), lambda b: b.start))
+            staged, masks, lambda b, skip: grams(b, skip, width), lambda b, w: b.data[w:w + width].tobytes(), lambda b: b.start).select("block", "places"))
     return staged, freeze(places)
 
 

@@ -94,6 +94,17 @@ def test_a_long_span_over_many_anchors_is_one(spark):
     assert (row.n_removed, row.n_spans, row.longest) == (300, 1, 300)
 
 
+@pytest.mark.parametrize("hot", [4096, 2, 1])
+def test_spans_do_not_depend_on_what_is_hot(spark, monkeypatch, hot):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 900)
+    rnd = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(d, " ".join([f"a{d}x{i}" for i in range(30)] + passage + [f"b{d}x{i}" for i in range(rnd.randint(1, 40))])) for d in range(12)]
+    got = {r.doc_id: r for r in debruijn_dedup.dedup(frame(spark, rows), hot=hot).collect()}
+    assert got[0].n_removed == got[0].n_spans == 0
+    assert all((got[d].n_removed, got[d].n_spans, got[d].longest) == (60, 1, 60) for d in range(1, 12))
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup.dedup, debruijn_dedup.dedup])
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).count() == 0
