@@ -9,7 +9,8 @@ of documents is added at first. Documents whose bound misses the k-th best
 score found so far are never scored in full (block-max WAND over blocks, for many
 queries at once); the rest are. One shard in ``PILOTS`` goes first: the k-th best
 score there is a bound that all other shards start from, so what they hand on
-per query does not grow with their number. The lists are merged by score.
+per query does not grow with their number. Each block's lists are merged by score and
+written, and what was sent for the block is given up, before the next block starts.
 
 Terms are runs of non-space bytes after A-Z are lowered and ``PUNCTUATION`` is
 taken for spaces. A query is a set of (term, count in the query). Ties go to the
@@ -23,12 +24,13 @@ from __future__ import annotations
 
 import math
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import freeze
+from ..session import freeze, scratch_path
 from .blocks import LAST, Block, get_arrays, put_arrays
 from .debruijn_dedup import Words
 from .kernels import new_run, ranges
@@ -252,7 +254,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     terms = freeze(weighted(query_terms(queries), shards, n_docs, buckets))
     n_blocks = max(1, math.ceil(terms.count() / QUERY_TERMS))
-    lists = None
+    path = scratch_path(spark, "lists")
     for b in range(n_blocks):
         got = terms.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b).toArrow()  # about QUERY_TERMS rows
         ids = got.column("query").to_numpy()
@@ -260,18 +262,28 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         order = np.lexsort((t, ids))
         heads = np.flatnonzero(new_run(ids[order]))
         asked = (ids[order][heads], np.append(heads, len(ids)), t[order], got.column("weight").to_numpy()[order])
-        first = freeze(_best(_scored(shards.where("pilot"), asked, np.zeros(len(heads)), average, k), k))
+        with _sent(spark, (*asked, np.zeros(len(heads)))) as block:
+            first = freeze(_best(_scored(shards.where("pilot"), block, average, k), k))
         known = first.where(F.col("rank") == k).select("query_id", "score").toArrow()  # a number per query of the block
         least = np.zeros(len(heads))
         least[np.searchsorted(asked[0], known.column("query_id").to_numpy())] = known.column("score").to_numpy()
-        part = first.drop("rank").unionByName(_scored(shards.where("NOT pilot"), asked, least, average, k))
-        lists = part if lists is None else lists.unionByName(part)
-    return _best(lists, k).select("query_id", "rank", F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), "score")
+        with _sent(spark, (*asked, least)) as block:
+            rest = first.drop("rank").unionByName(_scored(shards.where("NOT pilot"), block, average, k))
+            _best(rest, k).select(
+                "query_id", "rank", F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), "score",
+            ).write.parquet(f"{path}/queries={b}")
+    return spark.read.schema("query_id long, rank int, doc_id long, score double").parquet(path).drop("queries")
 
 
-def _scored(shards: DataFrame, asked, least: np.ndarray, average: float, k: int) -> DataFrame:
-    block = shards.sparkSession.sparkContext.broadcast((*asked, least))
+@contextmanager
+def _sent(spark, value):
+    """A broadcast that ends with the job that needs it."""
+    block = spark.sparkContext.broadcast(value)
+    yield block
+    block.destroy()
 
+
+def _scored(shards: DataFrame, block, average: float, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for shard in batch.column("shard").to_pylist():
