@@ -233,6 +233,7 @@ SQL = {
       bu AS (SELECT user_id, sum(rating - mu - b) / (15 + count(*)) AS b FROM r JOIN bi USING (item_id), m GROUP BY 1)
       SELECT 'item' AS kind, item_id AS id, round(b, 6) AS bias FROM bi UNION ALL SELECT 'user', user_id, round(b, 6) FROM bu""",
     "gram_items": w(EV, SGRAM) + "SELECT row, col, round(v, 6) AS value FROM s0",
+    "gram_kept": w(EV, SGRAM) + "SELECT row, col, round(v, 6) AS value FROM s0",
     "gram_items_sparse": w(LI) + """SELECT row, count(*) AS n, sum(v) AS total FROM (
         SELECT a.item_id AS row, b.item_id AS col, sum(a.rating * b.rating) AS v
         FROM r a JOIN r b ON a.user_id = b.user_id GROUP BY 1, 2) GROUP BY 1""",
@@ -295,6 +296,7 @@ SQL = {
       FROM test JOIN m USING (item_id)""",
     "diversity_top10": DIV10 + "SELECT * FROM ud",
     "diversity_unseen": DIV50 + "SELECT * FROM ud",
+    "diversity_liked": DIV50 + "SELECT * FROM ud WHERE user_id IN (SELECT user_id FROM train WHERE rating >= 3)",
     "diversity_summary": w(EV, SPLIT, GRAM, XS, top(50), SIM_POS, PAIRS, "ud AS (SELECT user_id, avg(distance) AS diversity FROM pairs GROUP BY 1)") + """,
       z AS (SELECT diversity, row_number() OVER (ORDER BY diversity) - 1 AS pos, count(*) OVER () AS n FROM ud)
       SELECT round(avg(diversity), 6) AS mean, round(max(CASE WHEN pos = n // 2 THEN diversity END), 6) AS median,
@@ -304,3 +306,4 @@ SQL = {
     "topk_pairs": w(EV, SPLIT, GRAM, XS, top(10), SIM_POS, PAIRS) + "SELECT user_id, item_a, item_b, round(distance, 6) AS distance FROM pairs",
     "pagerank": w(PAGERANK_START, *[pagerank_round(i) for i in (1, 2, 3)]) + "SELECT id, round(rank, 6) AS rank FROM k3",
 }
+SQL["pr_curve_saved"] = SQL["pr_curve"]

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import prefs as P
 from ..functions.vectors import combine
 from ..operators import (
-    bias, cells as C, clean, diversity, factor, graph, metrics, nmf, ordering, pairmodel, points, propagated, product,
-    recommend, scale, score, search, sgd, similar, splits, stats, towers, twosided,
+    bias, bounded, cells as C, clean, diversity, factor, graph, metrics, nmf, ordering, pairmodel, points, propagated, product,
+    rank, recommend, scale, score, search, sgd, similar, splits, stats, towers, twosided,
 )
 from ..session import freeze, scratch_path
-from ..sources import blocks, sinks, tables, text
+from ..sources import blocks, sinks, store, tables, text
 
 DAY = 86400
 USER = 7          # the user of single-user reports
@@ -386,6 +386,14 @@ def gram_items(spark, d):
     return C.item_gram(ev(spark, d)).select("row", "col", r6("value"))
 
 
+@query
+def gram_kept(spark, d):
+    """S of the ratings, made by the first run over these files and found again by all later ones."""
+    ask = lambda: store.kept(spark, "gram", [f"{d}/events.parquet"], {"version": 1}, lambda: C.item_gram(ev(spark, d)))
+    ask()
+    return ask().select("row", "col", r6("value"))
+
+
 @query
 def gram_items_sparse(spark, d):
     """Row counts and sums of S over the sparse ratings."""
@@ -495,6 +503,14 @@ def pr_curve(spark, d):
     return metrics.pr_curve(_test_scores(spark, d)).select(r6("threshold"), r6("precision"), r6("recall"))
 
 
+@query
+def pr_curve_saved(spark, d):
+    """The curve written as a table and read again."""
+    path = scratch_path(spark, "curve")
+    sinks.write_table(metrics.pr_curve(_test_scores(spark, d)), path)
+    return spark.read.parquet(path).select(r6("threshold"), r6("precision"), r6("recall"))
+
+
 @query
 def pr_auc(spark, d):
     return metrics.pr_auc(_test_scores(spark, d)).select(r6("pr_auc"))
@@ -541,6 +557,14 @@ def diversity_unseen(spark, d):
     return _diversity_unseen(spark, d).select("user_id", r6("diversity"))
 
 
+@query
+def diversity_liked(spark, d):
+    """Diversity of unseen lists, of users who liked something in training."""
+    lists, s, train = _lists(spark, d, 50)
+    liked = diversity.with_liked_train(lists, train)
+    return diversity.list_diversity(liked, scale.minmax_positive(s)).select("user_id", r6("diversity"))
+
+
 @query
 def diversity_summary(spark, d):
     return diversity.summary(freeze(_diversity_unseen(spark, d))).select(
@@ -776,6 +800,23 @@ def matrix_rank(spark, d):
     return spark.range(1).select(F.lit(rank).alias("rank"))
 
 
+@query
+def rank_gram(spark, d):
+    """Rank of S as stored, with its greatest and its last counted singular value."""
+    got = rank.stored_rank(C.item_gram(ev(spark, d)))
+    row = (got.rank, float(got.values[0]), float(got.values[got.rank - 1]), got.width, got.exact)
+    return spark.createDataFrame([row], "rank int, greatest double, least double, width int, exact boolean")
+
+
+@query
+def topk_products(spark, d):
+    """Ten unseen items per user by the completed matrix, most products skipped by bounds."""
+    r = freeze(li(spark, d))
+    model = factor.fit_ratings(r, 8, 5)
+    users = factor.row_factors(model).withColumnRenamed("id", "user_id")
+    return bounded.top_products(users, factor.col_factors(model), 10, seen=r.select("user_id", "item_id"), bucket=512).table
+
+
 def _loss_rows(spark, model):
     return spark.createDataFrame(
         [(i + 1, loss) for i, loss in enumerate(model.losses)], "iteration int, loss double")
