@@ -93,7 +93,7 @@ def _survey(group):
 
 def _laid(prefs: DataFrame, cells: DataFrame, values: list[str], block_rows: int, tile_rows: int) -> DataFrame:
     given = prefs.select("user_id", "item_id", F.col("x").alias("value"))
-    return _groups(given, cells, None, values, *_grid(given, cells, None, block_rows, tile_rows))
+    return _groups(given, cells, None, values, *_grid(given, cells, None, block_rows, tile_rows)[:2])
 
 
 def propagated(train: DataFrame, n_items: int, cut: float = CUT, block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS) -> Propagated:

@@ -20,16 +20,18 @@ TILE_ROWS = 1 << 21    # matrix cells per column tile
 SMALL = 1 << 13        # preference cells worth a task of their own
 DENSE = 1 << 23        # cells of a dense scratch block
 EXPAND = 1 << 22       # lookups expanded at once
+ROUTE = 1 << 26        # copies of matrix cells from which rows go only where they are needed
 
 
 def _grid(prefs: DataFrame, matrix: DataFrame, targets: DataFrame | None, block_rows: int, tile_rows: int):
     """User blocks and column tiles such that no group holds many more than ``block_rows`` of users' cells
-    (preferences and targets) or ``tile_rows`` of the matrix, however large the tables."""
+    (preferences and targets) or ``tile_rows`` of the matrix, however large the tables; and the matrix cells
+    that all blocks would get together."""
     n_prefs, n_matrix = prefs.count(), matrix.count()
     n_users = n_prefs + (targets.count() if targets is not None else 0)
     blocks = max(-(-n_users // block_rows), tasks_for(prefs.sparkSession, n_prefs, SMALL, block_rows))
     tiles = max(-(-n_matrix // tile_rows), 1)
-    return blocks, tiles
+    return blocks, tiles, blocks * n_matrix
 
 
 def _hashed(col: str, n: int):
@@ -40,13 +42,21 @@ def _spread(n: int):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def _groups(prefs, matrix, targets, values, blocks, tiles, wanted=False):
+def routed(prefs: DataFrame, matrix: DataFrame, blocks: int) -> DataFrame:
+    """The matrix cells of every user block whose users have a preference for their row, with ``block``."""
+    asked = prefs.where("value <> 0").select(_hashed("user_id", blocks).alias("block"), F.col("item_id").alias("row")).distinct()
+    return matrix.join(asked, "row")
+
+
+def _groups(prefs, matrix, targets, values, blocks, tiles, wanted=False, route=False):
     """Union of the three inputs, laid out by (block, tile).
 
     ``side`` 0: preference (user, item, value), 1: matrix (row, col, values),
     2: wanted or hidden cell (user, item), with a value of its own if it has one.
     With ``wanted``, targets are all that is scored: a preference then goes only
-    to tiles its user asks for, a matrix cell only to blocks that ask for its tile.
+    to tiles its user asks for, a matrix cell only to blocks that ask for its tile. With
+    ``route``, a matrix row goes only to blocks that have its item; columns met by none of a block's
+    rows are then not there, so it is for results above 0 only.
     """
     nothing = [F.lit(0.0).alias(f"v{i}") for i in range(len(values))]
     if wanted and tiles > 1:
@@ -55,6 +65,9 @@ def _groups(prefs, matrix, targets, values, blocks, tiles, wanted=False):
         by_block = asked.select(_hashed("user_id", blocks).alias("block"), "tile").distinct()
         matrix = matrix.withColumn("tile", _hashed("col", tiles)).join(by_block, "tile")
         p_tile, m_block, m_tile = F.col("tile"), F.col("block"), F.col("tile")
+    elif route:
+        p_tile, m_block, m_tile = _spread(tiles).alias("tile"), F.col("block"), _hashed("col", tiles).alias("tile")
+        matrix = routed(prefs, matrix, blocks)
     else:
         p_tile, m_block, m_tile = _spread(tiles).alias("tile"), _spread(blocks).alias("block"), _hashed("col", tiles).alias("tile")
     p = prefs.select(
@@ -96,16 +109,18 @@ def _each_group(batches, width):
 
 
 def top_items(prefs: DataFrame, matrix: DataFrame, k: int, value: str = "value", hide_seen: bool = True,
-              seen: DataFrame | None = None, positive: bool = True, block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+              seen: DataFrame | None = None, positive: bool = True, block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS,
+              route: int = ROUTE) -> DataFrame:
     """Top ``k`` items per user by ``X * M``, by default among items not rated yet.
 
     ``prefs(user_id, item_id, value)`` lists every observed cell (value 0 where
     not positive); ``seen(user_id, item_id)`` is to be given where it does not.
     Items scoring above 0 are ranked, or all of them without ``positive``; ties
-    go to the larger item id.
+    go to the larger item id. Rows of a matrix are sent by need once all blocks
+    together would get more than ``route`` cells; the result is the same.
     """
-    blocks, tiles = _grid(prefs, matrix, seen, block_rows, tile_rows)
-    laid = _groups(prefs, matrix, seen, [value], blocks, tiles)
+    blocks, tiles, copies = _grid(prefs, matrix, seen, block_rows, tile_rows)
+    laid = _groups(prefs, matrix, seen, [value], blocks, tiles, route=positive and copies > route)
     floor = 0.0 if positive else -np.inf
     by_prefs = hide_seen and seen is None
 
@@ -120,10 +135,10 @@ def top_items(prefs: DataFrame, matrix: DataFrame, k: int, value: str = "value",
 
 
 def positive_extremes(prefs: DataFrame, matrix: DataFrame, value: str = "value", block_rows: int = BLOCK_ROWS,
-                      tile_rows: int = TILE_ROWS) -> Span:
+                      tile_rows: int = TILE_ROWS, route: int = ROUTE) -> Span:
     """Least and greatest positive cell of ``X * M``: a group returns one row per slice, so users x items is not written."""
-    blocks, tiles = _grid(prefs, matrix, None, block_rows, tile_rows)
-    laid = _groups(prefs, matrix, None, [value], blocks, tiles)
+    blocks, tiles, copies = _grid(prefs, matrix, None, block_rows, tile_rows)
+    laid = _groups(prefs, matrix, None, [value], blocks, tiles, route=copies > route)
 
     def run(batches):
         for (u, i, (x,)), (r, c, (m,)), _ in _each_group(batches, 1):
@@ -239,7 +254,7 @@ def score_cells(prefs: DataFrame, matrix: DataFrame, targets: DataFrame, values:
     each gives one column of ``names``.
     """
     values, names = list(values), list(names)
-    blocks, tiles = _grid(prefs, matrix, targets, block_rows, tile_rows)
+    blocks, tiles, _ = _grid(prefs, matrix, targets, block_rows, tile_rows)
     laid = _groups(prefs, matrix, targets, values, blocks, tiles, wanted=True)
     width = len(values)
 
@@ -301,7 +316,7 @@ def list_similarities(lists: DataFrame, matrix: DataFrame, value: str = "value",
     """
     prefs = lists.select("user_id", "item_id", F.col("rank").cast("double").alias("value"))
     wanted = lists.select("user_id", "item_id", F.col("rank").cast("double").alias("value"))
-    blocks, tiles = _grid(prefs, matrix, wanted, block_rows, tile_rows)
+    blocks, tiles, _ = _grid(prefs, matrix, wanted, block_rows, tile_rows)
     laid = _groups(prefs, matrix, wanted, [value], blocks, tiles, wanted=True)
 
     def run(batches):
