@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.prefs import UNSEEN_DISLIKE
 from ..functions.vectors import combine, dot, literal, outer_sums, times_matrix, vec_sum, weighted_sum, zeros
 from ..session import freeze, shared_dir, tasks_for
+from .extremes import product_extremes
 from .ordering import positions
 from .scale import Span
 
 BLOCK = 4096      # factor rows per side of an all-pairs block
+ONE_JOB = 64      # pairs of blocks that are all multiplied, as bounds take more jobs than they save
 INT_MAX = 2**31 - 1
 
 
@@ -152,9 +154,12 @@ def product_span(rows: DataFrame, cols: DataFrame, positive: bool = True, block:
     """Extremes of U V^T over all cells (or the positive ones).
 
     Both factor tables are cut into blocks of about ``block`` ids; a task
-    multiplies two blocks and returns one row.
+    multiplies two blocks and returns one row. Where they make many pairs,
+    bounds leave most of them out.
     """
     nr, nc = -(-rows.count() // block) or 1, -(-cols.count() // block) or 1
+    if nr * nc > ONE_JOB:
+        return product_extremes(rows, cols, positive, block).span
 
     def side(df, own, n_own, other, n_other, is_row):
         return df.select(

@@ -1,8 +1,8 @@
 """Named jobs: whole experiments from ratings to a report ``(metric, value)``.
 
 Each is a function of rating tables and settings; its defaults are the full
-grid. The registered forms run it on the derived ratings with two points on the
-axes that decide most, and fewer rounds.
+grid. The registered forms run it on the derived ratings, `als_tutorial` whole, the
+others with fewer points on an axis and fewer rounds.
 """
 
 from __future__ import annotations
@@ -72,16 +72,11 @@ def nmf_search(spark, ranks, rounds, fit, scores, valid):
     ``fit(rank, most, marks)`` gives a model with those after the rounds ``marks``: one fit
     serves all rounds of a rank. ``scores(model, rank, rows)`` gives the scores of a model.
     """
-    models = {}
-
-    def measure(rank, rounds):
-        if (rank, rounds) not in models:
-            models.update({(rank, n): m for n, m in fit(rank, max(rounds_all), rounds_all).marks.items()})
-        return auc(scores(models[rank, rounds], rank, valid), valid)
-
-    rounds_all = tuple(rounds)
-
-    b = best_row(search.search(spark, search.grid(rank=ranks, rounds=rounds), measure))
+    rounds = tuple(rounds)
+    fits = search.side_by_side(spark, lambda rank: fit(rank, max(rounds), rounds).marks, search.grid(rank=ranks))
+    models = {(rank, n): m for rank, marks in zip(ranks, fits) for n, m in marks.items()}
+    b = best_row(search.search(spark, search.grid(rank=ranks, rounds=rounds),
+                               lambda rank, rounds: auc(scores(models[rank, rounds], rank, valid), valid)))
     return b, models[b["rank"], b["rounds"]]
 
 
@@ -195,19 +190,25 @@ def left_half(spark, ratings, ranks=(16, 25), regs=(0.1, 0.01), iters=(10, 20),
                   nmf_test_auc=auc(nmf_scores(m, n["rank"], test), test))
 
 
-def neg_blend(spark, ratings, rank=16, reg=0.1, iters=10, nmf_ranks=(16, 25), nmf_rounds=(50, 80)):
+def neg_blend(spark, ratings, ranks=(16, 12), regs=(0.1, 0.01), iters=(10, 20), nmf_ranks=(16, 25), nmf_rounds=(50, 80)):
     """[X, Y Y^T X] side by side by ALS (binary Y, halves blended 1, -0.5) and one above the other by
-    NMF (graded dense Y, blended 1, +0.5, chosen by validation AUC); cells of Y Y^T X below 0.2 are 0."""
+    NMF (graded dense Y, blended 1, +0.5; cells of Y Y^T X below 0.2 are 0), each chosen by validation AUC."""
     train, valid, test = _split3(ratings)
     offset = C.id_bound(ratings, "item_id")
-    model = Q._neg_blend_model(train, offset, rank, iters, reg)
-    als_auc = auc(Q._score_neg_blend(model, rank, test, offset), test)
+
+    def scores(rank, reg, iters, rows):
+        return Q._score_neg_blend(Q._neg_blend_model(train, offset, rank, iters, reg), rank, rows, offset)
+
+    b = best_row(search.search(spark, search.grid(rank=ranks, reg=regs, iters=iters),
+                               lambda **g: auc(scores(**g, rows=valid), valid)))
+    als_auc = auc(scores(b["rank"], b["reg"], b["iters"], test), test)
     below = C.id_bound(ratings, "user_id")
     far = propagated.propagated(train, ratings.select("item_id").distinct().count())
     n, m = nmf_search(spark, nmf_ranks, nmf_rounds, lambda k, most, marks: Q._tall_blend_model(train, far, below, k, most, marks),
                       lambda m, k, rows: Q._score_tall_blend(m, k, rows, below), valid)
     blended = Q._score_tall_blend(m, n["rank"], test, below)
-    return report(spark, als_test_auc=als_auc, nmf_rank=n["rank"], nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
+    return report(spark, best_rank=b["rank"], validation_auc=b["metric"], als_test_auc=als_auc,
+                  nmf_rank=n["rank"], nmf_rounds=n["rounds"], nmf_validation_auc=n["metric"],
                   nmf_test_auc=auc(blended, test), cut_cells=far.fixes.count())
 
 
@@ -288,8 +289,7 @@ def cell_products(spark, ratings, rank=8, reg=0.1, iters=5, unit=1):
 
 @query
 def job_als_tutorial(spark, d):
-    return als_tutorial(spark, Q.li(spark, d), tables.items_from_parts(spark, d), Q.USER, Q.DAY,
-                        ranks=(4, 8), regs=(0.1,), iters=(5,))
+    return als_tutorial(spark, Q.li(spark, d), tables.items_from_parts(spark, d), Q.USER, Q.DAY)
 
 
 @query
@@ -314,7 +314,7 @@ def job_left_half(spark, d):
 
 @query
 def job_neg_blend(spark, d):
-    return neg_blend(spark, freeze(Q.ev(spark, d)), rank=8, iters=5, nmf_ranks=(8,), nmf_rounds=(3, 6))
+    return neg_blend(spark, freeze(Q.ev(spark, d)), ranks=(8, 12), regs=(0.1,), iters=(5, 10), nmf_ranks=(8,), nmf_rounds=(3, 6))
 
 
 @query

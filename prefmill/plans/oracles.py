@@ -304,6 +304,9 @@ SQL = {
     "diversity_histogram": DIV10 + """SELECT CAST(least(floor(diversity * 50) + 1, 50) AS INTEGER) AS bin, count(*) AS n
       FROM ud WHERE diversity BETWEEN 0 AND 1 GROUP BY 1""",
     "topk_pairs": w(EV, SPLIT, GRAM, XS, top(10), SIM_POS, PAIRS) + "SELECT user_id, item_a, item_b, round(distance, 6) AS distance FROM pairs",
+    "product_extremes": """WITH e AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+      p AS (SELECT list_dot_product(a.v, b.v) AS s FROM e a CROSS JOIN e b)
+      SELECT round(min(s), 6) AS low, round(max(s), 6) AS high FROM p""",
     "pagerank": w(PAGERANK_START, *[pagerank_round(i) for i in (1, 2, 3)]) + "SELECT id, round(rank, 6) AS rank FROM k3",
 }
 SQL["pr_curve_saved"] = SQL["pr_curve"]

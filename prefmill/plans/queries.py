@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import prefs as P
 from ..functions.vectors import combine
 from ..operators import (
-    bias, bounded, cells as C, clean, diversity, factor, graph, metrics, nmf, ordering, pairmodel, points, propagated, product,
+    bias, bounded, cells as C, clean, diversity, extremes, factor, graph, metrics, nmf, ordering, pairmodel, points, propagated, product,
     rank, recommend, scale, score, search, sgd, similar, splits, stats, towers, twosided,
 )
 from ..session import freeze, scratch_path
@@ -817,6 +817,14 @@ def topk_products(spark, d):
     return bounded.top_products(users, factor.col_factors(model), 10, seen=r.select("user_id", "item_id"), bucket=512).table
 
 
+@query
+def product_extremes(spark, d):
+    """Least and greatest inner product of any two embeddings, by bounds of blocks."""
+    e = tables.table(spark, d, "embeddings").select(F.col("embedding").alias("features"))
+    span = extremes.product_extremes(e, e, positive=False, block=256).span
+    return spark.createDataFrame([(span.low, span.high)], "low double, high double").select(r6("low"), r6("high"))
+
+
 def _loss_rows(spark, model):
     return spark.createDataFrame(
         [(i + 1, loss) for i, loss in enumerate(model.losses)], "iteration int, loss double")

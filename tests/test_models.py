@@ -65,3 +65,29 @@ def test_grid_marks_the_best(spark):
     assert [(r["a"], r["b"]) for r in got if r["best"]] == [(2, 3)] and len(got) == 4
     got = search.search(spark, search.grid(a=[1, 2]), lambda a: a, largest=False).collect()
     assert [r["a"] for r in got if r["best"]] == [1]
+
+
+def test_settings_run_side_by_side(spark):
+    """At most ``at_once`` at a time, results in order, errors raised, the caller's pool untouched."""
+    import threading
+    import time
+    now, most, lock = [0], [0], threading.Lock()
+
+    def measure(a):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.2)
+        n = spark.range(a).count()
+        pool = spark.sparkContext.getLocalProperty(search.POOL)
+        with lock:
+            now[0] -= 1
+        assert pool is not None
+        return n
+
+    got = search.search(spark, search.grid(a=[5, 3, 9, 1, 7]), measure, at_once=2).collect()
+    assert [(r["a"], r["metric"]) for r in got] == [(5, 5.0), (3, 3.0), (9, 9.0), (1, 1.0), (7, 7.0)]
+    assert most[0] == 2 and [r["a"] for r in got if r["best"]] == [9]
+    assert spark.sparkContext.getLocalProperty(search.POOL) is None
+    with pytest.raises(ZeroDivisionError):
+        search.search(spark, search.grid(a=[1, 0, 2]), lambda a: 1 / a)
