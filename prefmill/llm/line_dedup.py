@@ -35,15 +35,23 @@ def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _halves(line: Column, n: Column) -> list[Column]:
-    """Hashes of the first and last half, for this length and for one word less."""
-    out = []
-    for base in (n, n - 1):
-        m = F.floor((base - 1) / 2).cast("int")
-        for side, count in ((0, m), (1, -m)):
-            half = F.call_function("substring_index", line, F.lit(" "), count)
-            out.append(F.xxhash64(F.lit(side), base, half))
-    return out
+def _with_halves(lines: DataFrame, min_words: int) -> DataFrame:
+    """Adds ``halves``: keys of the first and last half, for this length and for one word less; null for short lines.
+
+    Each step is a projection of its own, so that a half is cut out once; for an even number of words both lengths have the same.
+    """
+    own = lines.columns
+    counted = lines.withColumn("n", _words(F.col("line")))
+    cuts = [F.floor((F.col("n") - less) / 2).cast("int").alias(f"m{less}") for less in (1, 2)]
+
+    def half(side: int, m: Column) -> Column:
+        return F.xxhash64(F.lit(side), F.call_function("substring_index", F.col("line"), F.lit(" "), -m if side else m))
+
+    longer = counted.select(*own, "n", *cuts)
+    first = longer.select(*own, "n", "m1", "m2", *[F.when(F.col("n") >= min_words, half(s, F.col("m1"))).alias(f"half{s}") for s in (0, 1)])
+    less = [F.when(F.col("m2") == F.col("m1"), F.col(f"half{s}")).otherwise(half(s, F.col("m2"))) for s in (0, 1)]
+    keys = [F.xxhash64("n", F.col(f"half{s}")) for s in (0, 1)] + [F.xxhash64(F.col("n") - 1, x) for x in less]
+    return first.select(*own, F.when(F.col("n") >= min_words, F.array(*keys)).alias("halves"))
 
 
 def _running_xor(values: Column) -> Column:
@@ -63,10 +71,8 @@ def distinct_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """One row per different line: two hashes, its first place, and the half hashes of those long enough."""
     each = _located(docs).select("doc", "txt", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
     each = each.select("doc", "txt", "no", _trim(F.col("raw")).alias("line")).where("line <> ''")
-    n = _words(F.col("line"))
-    halves = F.when(n >= min_words, F.array(*_halves(F.col("line"), n)))
-    keyed = each.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"),
-                        F.struct("doc", "no", "txt", halves.alias("halves")).alias("at"))
+    keyed = _with_halves(each, min_words).select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"),
+                                                 F.struct("doc", "no", "txt", "halves").alias("at"))
     return keyed.groupBy("h", "h2").agg(F.min("at").alias("at")).select("h", "h2", "at.*")
 
 
