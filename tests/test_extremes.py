@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from prefmill.operators import extremes
+from prefmill.operators import extremes, factor
 from prefmill.operators.scale import Span
 
 
@@ -67,3 +67,11 @@ def test_empty_null_and_repeated(spark):
     assert extremes.product_extremes(u, none) == extremes.Extremes(Span(0.0, 0.0), 0, 0)
     odd = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [2.0, 2.0]), (3, [2.0, 2.0])], "id long, features array<double>")
     assert extremes.product_extremes(odd, u, block=1).span == Span(4.0, 4.0)
+
+
+def test_span_is_the_same_by_bounds_and_by_all_pairs(spark):
+    rnd = np.random.default_rng(10)
+    u, v = table(spark, rnd.normal(size=(60, 3))), table(spark, rnd.normal(size=(50, 3)))
+    few, many = factor.product_span(u, v, block=30), factor.product_span(u, v, block=5)
+    assert -(-60 // 30) * -(-50 // 30) <= factor.ONE_JOB < 12 * 10
+    assert np.isclose(few.low, many.low, rtol=1e-12) and np.isclose(few.high, many.high, rtol=1e-12)
