@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import freeze
-from .blocks import get_arrays, put_arrays
+from .blocks import get_arrays
 from .kernels import ranges
 
 LAST = (1 << 63) - 1
@@ -39,7 +40,9 @@ END, START = 256, 257  # START stands for every context place before a text
 BITS = 9  # of a symbol within a string
 ORDER = 4
 BLOCK_BYTES = 32 << 20
-STEP = 1 << 20  # symbols looked at in one go
+STEP = 1 << 20  # symbols scored in one go
+PART = 1 << 19  # symbols sorted or looked up in one go
+ROWS = 256  # texts taken from Arrow in one go
 STRINGS = 400_000  # different strings priced in one go, unless they share their two nearest bytes
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -48,21 +51,21 @@ def symbols(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts as symbols, each behind ``order`` STARTs and before an END, and the text each symbol belongs to."""
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size + order + 1) - size - 1
-    out = np.full(int((size + order + 1).sum()), START, np.int64)
+    out = np.full(int((size + order + 1).sum()), START, np.int16)
     out[ranges(begin, size)] = np.frombuffer(b"".join(texts), np.uint8)
     out[begin + size] = END
-    return out, np.repeat(np.arange(len(texts)), size + order + 1)
+    return out, np.repeat(np.arange(len(texts), dtype=np.int32), size + order + 1)
 
 
-def strings(texts: list[bytes], order: int):
+def strings(texts: list[bytes], order: int, step: int = STEP):
     """Pairs of arrays: strings that end at the symbols of the texts, nearest context first and symbol last; number of the text."""
     flat, owner = symbols(texts, order)
-    for a in range(0, len(flat), STEP):
-        z = min(a + STEP, len(flat))
+    for a in range(0, len(flat), step):
+        z = min(a + step, len(flat))
         real = a + np.flatnonzero(flat[a:z] != START)
-        key = flat[real]
+        key = flat[real].astype(np.int64)
         for j in range(1, order + 1):
-            key = key | flat[real - j] << (BITS * (order + 1 - j))
+            key |= flat[real - j].astype(np.int64) << (BITS * (order + 1 - j))
         yield key, owner[real]
 
 
@@ -85,6 +88,32 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first) if len(key) else n
 
 
+def _merged(key: np.ndarray, n: np.ndarray, more: np.ndarray, more_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of different strings as one, their counts added; ``n`` is changed in place."""
+    at = np.searchsorted(key, more)
+    old = np.zeros(len(more), bool)
+    inside = at < len(key)
+    old[inside] = key[at[inside]] == more[inside]
+    n[at[old]] += more_n[old]
+    at, more, more_n = at[~old], more[~old], more_n[~old]
+    return (np.insert(key, at, more), np.insert(n, at, more_n)) if len(more) else (key, n)
+
+
+def _packed(packer, ords: np.ndarray, learn: np.ndarray, texts: list[bytes]) -> bytes:
+    """``put_arrays`` of ids, marks, sizes and the texts end to end, compressed piece by piece."""
+    size = np.array([len(t) for t in texts], np.int64)
+    arrays = [x.tobytes() for x in (ords, learn, size)]
+    head = np.array([*map(len, arrays), size.sum()], np.int64).tobytes()
+    pieces = [head, *arrays, *texts]
+    stream = packer.compressobj(size=sum(map(len, pieces)))
+    return b"".join([stream.compress(p) for p in pieces] + [stream.flush()])
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    """A column of one row that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def staged(docs: DataFrame, train: Column, order: int, size: int) -> DataFrame:
     """(block, ends, keys, key_counts, words, word_counts, pack): texts of about ``size`` bytes and what they ask for.
 
@@ -101,14 +130,9 @@ def staged(docs: DataFrame, train: Column, order: int, size: int) -> DataFrame:
             texts = [t for *_, t in held]
             learn = np.array([x for _, x, _ in held], bool)
             key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            parts = []
             for a, z in _batches(texts):
-                for found, owner in strings(texts[a:z], order):
-                    parts.append(_summed(found, learn[a:z][owner].astype(np.int64)))
-                if sum(len(k) for k, _ in parts) > 2 * STEP:
-                    parts = [_summed(*(np.concatenate(x) for x in zip(*parts)))]
-            if parts:
-                key, n = _summed(*(np.concatenate(x) for x in zip(*parts)))
+                for found, owner in strings(texts[a:z], order, PART):
+                    key, n = _merged(key, n, *_summed(found, learn[a:z][owner].astype(np.int64)))
             number: dict[bytes, int] = {}
             counts = np.zeros(0, np.int64)
             for x, t in zip(learn, texts):
@@ -117,21 +141,21 @@ def staged(docs: DataFrame, train: Column, order: int, size: int) -> DataFrame:
                     counts = np.append(counts, np.zeros(len(number), np.int64))
                 if x:
                     np.add.at(counts, at, 1)
-            pack = packer.compress(put_arrays(
-                np.array([o for o, *_ in held], np.int64), learn, np.array([len(t) for t in texts], np.int64),
-                np.frombuffer(b"".join(texts), np.uint8)))
-            row = ([seq], [int(learn.sum())], [key], [n], [list(number)], [counts[:len(number)]], [pack])
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (
-                pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()))],
+            pack = _packed(packer, np.array([o for o, *_ in held], np.int64), learn, texts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([seq], pa.int64()), pa.array([int(learn.sum())], pa.int64()), _one_list(pa.array(key)), _one_list(pa.array(n)),
+                 _one_list(pa.array(list(number), pa.string())), _one_list(pa.array(counts[:len(number)])), pa.array([pack], pa.binary())],
                 ["block", "ends", "keys", "key_counts", "words", "word_counts", "pack"])
 
         for b in batches:
-            for o, x, t in zip(*(b.column(c).to_pylist() for c in ("ord", "train", "text"))):
-                if held and filled + len(t) > size:
-                    yield flush()
-                    seq, held, filled = seq + 1, [], 0
-                held.append((o, x, t))
-                filled += len(t)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                for o, x, t in zip(*(part.column(c).to_pylist() for c in ("ord", "train", "text"))):
+                    if held and filled + len(t) > size:
+                        yield flush()
+                        seq, held, filled = seq + 1, [], 0
+                    held.append((o, x, t))
+                    filled += len(t)
         if held:
             yield flush()
 
@@ -222,27 +246,30 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, size: int = BLOCK_
             return pa.Table.from_arrays([pa.array([], k) for k in kinds_], names)
         ords, learn, size, data = get_arrays(
             zstandard.ZstdDecompressor().decompress(left.column("pack")[0].as_py()), np.int64, np.bool_, np.int64, np.uint8)
-        raw, ends_at = data.tobytes(), np.cumsum(size).tolist()
+        raw, ends_at = memoryview(data), np.cumsum(size).tolist()
         texts = [raw[z - n:z] for z, n in zip(ends_at, size.tolist())]
-        word, at, value = (right.column(c).to_numpy(zero_copy_only=False) for c in ("word", "key", "value"))
-        known, cost = at[~word], value[~word]
+        words, asked_for = (right.filter(pc.field("word") == x) for x in (True, False))
+        known, cost = (asked_for.column(c).to_numpy() for c in ("key", "value"))
+        del asked_for
         by = np.argsort(known)
         known, cost = known[by], cost[by]
         scores = np.zeros(len(texts))
         for a, z in _batches(texts):
             for found, owner in strings(texts[a:z], order):
-                by = np.argsort(found)
-                place = np.empty(len(found), np.int64)
-                place[by] = np.searchsorted(known, found[by])
-                scores[a:z] += np.bincount(owner, cost[place], z - a)
+                costs = np.empty(len(found))
+                for at in range(0, len(found), PART):
+                    by = at + np.argsort(found[at:at + PART])
+                    costs[by] = cost[np.searchsorted(known, found[by])]
+                scores[a:z] += np.bincount(owner, costs, z - a)
+        del known, cost
         number = {w: i for i, w in enumerate(left.column("words")[0].as_py())}
         count = np.zeros(len(number))
-        count[at[word]] = value[word]
+        count[words.column("key").to_numpy()] = words.column("value").to_numpy()
         logs = np.log10((count + 0.1) / (tokens + 0.1 * (distinct + 1)))
         base = np.full(len(texts), np.log10((ends + 0.1) / (tokens + 0.1 * (distinct + 1))))
         n, seen = np.ones(len(texts), np.int64), np.full(len(texts), int(ends > 0), np.int64)
         for i, t in enumerate(texts):
-            mine = np.array([number[w] for w in t.translate(_LOWER).split()], np.int64)
+            mine = np.array([number[w] for w in bytes(t).translate(_LOWER).split()], np.int64)
             n[i] += len(mine)
             seen[i] += int((count[mine] > 0).sum())
             base[i] += logs[mine].sum()

@@ -114,3 +114,35 @@ def test_probabilities_sum_to_one(rows):
     for text in (b"", b"the c", b"qq", b"th"):
         contexts = model.contexts([*text, 0], len(text))
         assert sum(model.probability(contexts, s) for s in range(ppm.SYMBOLS)) == pytest.approx(1)
+
+
+def test_lists_of_strings_are_added_in_place():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    want, key, n = Counter(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for size in (0, 5, 40, 1, 0, 60):
+        found = rng.integers(0, 50, size)
+        want.update(found.tolist())
+        key, n = ppm._merged(key, n, *ppm._summed(found, np.ones(size, np.int64)))
+    assert dict(zip(key.tolist(), n.tolist())) == want and (np.diff(key) > 0).all()
+
+
+def test_a_block_of_texts_is_staged_in_little_memory(monkeypatch):
+    """What a task holds beside the texts themselves is bounded by the steps, not by copies of the block."""
+    import tracemalloc
+    import numpy as np
+    import zstandard
+
+    from prefmill.llm.blocks import get_arrays
+
+    texts = [b"abcd efgh" * 10_000] * 100
+    ids, learn = np.arange(100), np.ones(100, bool)
+    tracemalloc.start()
+    try:
+        pack = ppm._packed(zstandard.ZstdCompressor(level=3), ids, learn, texts)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
+    got = get_arrays(zstandard.ZstdDecompressor().decompress(pack), np.int64, np.bool_, np.int64, np.uint8)
+    assert [x.tolist() for x in got[:3]] == [ids.tolist(), learn.tolist(), [90_000] * 100] and got[3].tobytes() == b"".join(texts)
