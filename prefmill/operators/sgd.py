@@ -81,6 +81,14 @@ def _step(rank: int, rate: float, reg: float):
     return run
 
 
+def blocks_for(spark, n: int) -> int:
+    """Blocks of users and of items for ``n`` ratings: one per core, more only once their square of cells needs it.
+
+    A pass writes the state once per stratum, and there are as many strata as blocks.
+    """
+    return max(tasks_for(spark, n, SMALL, float("inf")), int(np.ceil((n / CELL) ** 0.5)))
+
+
 def fit_sgd(ratings: DataFrame, rank: int = 100, epochs: int = 20, rate: float = 0.005, reg: float = 0.02, seed: int = 0,
             blocks: int | None = None) -> Biased:
     """Fit ``ratings(user_id, item_id, rating[, model])``, one model per value of ``model``; of equal cells each counts."""
@@ -90,7 +98,7 @@ def fit_sgd(ratings: DataFrame, rank: int = 100, epochs: int = 20, rate: float =
                                 F.col("item_id").cast("long").alias("item_id"), F.col("rating").cast("double").alias("rating")))
     means = freeze(given.groupBy("model").agg(F.avg("rating").alias("mean")))
     n = given.count()
-    n_blocks = blocks or max(tasks_for(spark, n, SMALL, CELL), int(np.ceil((n / CELL) ** 0.5)))
+    n_blocks = blocks or blocks_for(spark, n)
 
     def block(c):
         return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n_blocks)).cast("int")
