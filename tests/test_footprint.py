@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prefmill import session
-from prefmill.operators import diversity, factor, graph, product, score, sgd
+from prefmill.operators import cells as C, diversity, factor, graph, product, score, sgd
 from prefmill.operators.scale import Span
 
 
@@ -79,3 +79,42 @@ def test_ranks_are_the_same_however_the_edges_are_laid(spark, monkeypatch):
     assert session.spread(edges, 60, "src").rdd.getNumPartitions() == 30
     got = {r["id"]: r["rank"] for r in graph.pagerank(edges, 3).collect()}
     assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 1e-12 for k in got)
+
+
+def test_partial_cells_travel_in_few_bytes():
+    rng = np.random.default_rng(4)
+    row, col = rng.integers(0, 1 << 22, (2, 200_000))
+    cells = product._summed([(np.minimum(row, col), np.maximum(row, col), rng.integers(1, 26, len(row)).astype(float))])
+    sent = list(product._blocks_of(cells, 3, True))
+    assert len(sent) == 6 and sum(len(b.column("cells")[0].as_buffer()) for b in sent) < 8 * len(row)
+    back = [h for b in product._each_block(sent) for ok, h in b[1] if ok]
+    assert all((a == b).all() for a, b in zip(product._summed(back), cells))
+
+
+def test_products_are_the_same_in_many_blocks_and_kept(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = (rng.random((40, 30)) < 0.4) * rng.integers(-3, 6, (40, 30)) * 0.5
+    at = 1 << 40  # ids beyond 32 bits, some below zero
+    rows = [(int(i), int(j) * (at if j % 2 else -1), float(m[i, j])) for i, j in zip(*np.nonzero(m))]
+    table = spark.createDataFrame(rows, "row long, col long, value double")
+    numbers = spark.createDataFrame([(j * (at if j % 2 else -1), None if j == 4 else float(j)) for j in range(25)], "col long, base double")
+    want = {(a, b): v for (a, b), v in np.ndenumerate(m.T @ m) if ((m[:, a] != 0) & (m[:, b] != 0)).any()}
+    place = {j * (at if j % 2 else -1): j for j in range(30)}
+    monkeypatch.setattr(product, "PART_CELLS", 40)
+    monkeypatch.setattr(product, "HELD", 50)
+    monkeypatch.setattr(product, "YIELD", 7)
+    for keep in (False, True):
+        got = [(place[r["row"]], place[r["col"]], r["value"]) for r in product.gram(table, keep=keep).collect()]
+        assert len(got) == len(want) and all(abs(want[a, b] - v) < 1e-12 for a, b, v in got)
+        based = product.gram(table, columns=numbers, keep=keep).collect()
+        assert len(based) == sum(b < 25 for _, b in want)
+        assert all(r["base"] == (None if place[r["col"]] == 4 else place[r["col"]]) for r in based)
+
+
+def test_cells_with_their_base_are_not_joined(spark):
+    r = session.freeze(spark.createDataFrame([(u, i, float(1 + (u + i) % 5)) for u in range(9) for i in range(u % 4, 12, 2)], "user_id long, item_id long, rating double"))
+    base = session.freeze(C.column_base(r))
+    s = C.item_gram(r, base.select("col", "base"), keep=True)
+    assert "Join" not in s.where("base > value")._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted((str(x["row"]), x["col"], round(x["value"], 9)) for x in df.collect())
+    assert rows(C.graded_cross(s, base, 12)) == rows(C.graded_cross(session.freeze(C.item_gram(r)), base, 12))
