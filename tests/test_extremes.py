@@ -75,3 +75,23 @@ def test_span_is_the_same_by_bounds_and_by_all_pairs(spark):
     few, many = factor.product_span(u, v, block=30), factor.product_span(u, v, block=5)
     assert -(-60 // 30) * -(-50 // 30) <= factor.ONE_JOB < 12 * 10
     assert np.isclose(few.low, many.low, rtol=1e-12) and np.isclose(few.high, many.high, rtol=1e-12)
+
+
+@pytest.mark.parametrize("positive", [False, True])
+def test_tiles_equal_brute_force_and_ship_a_block_once(spark, monkeypatch, positive):
+    rnd = np.random.default_rng(11)
+    u, v = rnd.normal(size=(90, 4)), rnd.normal(size=(40, 4))
+    monkeypatch.setattr(extremes, "FIRST", ())
+    monkeypatch.setattr(extremes, "TILE", 20)
+    monkeypatch.setattr(extremes, "WIDE", 7)
+    shipped, real = [], extremes._by_tiles
+
+    def by_tiles(sides, pairs, blocks, positive):
+        shipped.append((blocks, pairs.count()))
+        return real(sides, pairs, blocks, positive)
+
+    monkeypatch.setattr(extremes, "_by_tiles", by_tiles)
+    got = extremes.product_extremes(table(spark, u), table(spark, v), positive, 5)
+    low, high = brute(u, v, positive)
+    assert shipped == [(4, got.opened)] and got.opened > 4
+    assert np.isclose(got.span.low, low, rtol=1e-12) and np.isclose(got.span.high, high, rtol=1e-12)
