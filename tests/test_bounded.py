@@ -47,3 +47,19 @@ def test_empty(spark):
     items = spark.createDataFrame([], "id long, features array<double>")
     assert bounded.top_products(users, items, 3).table.count() == 0
     assert bounded.top_products(users.where("user_id > 5"), items, 3).table.count() == 0
+
+
+def test_a_user_travels_once_a_strip_of_buckets(spark, monkeypatch):
+    rnd = np.random.default_rng(12)
+    u, v = ({i: rnd.normal(size=4) for i in range(n)} for n in (40, 120))
+    users, items = (spark.createDataFrame([(i, x.tolist()) for i, x in m.items()], f"{c} long, features array<double>")
+                    for m, c in ((u, "user_id"), (v, "id")))
+    groups, real = [], bounded.tasks_for
+    monkeypatch.setattr(bounded, "GROUPS", 1, raising=False)
+    monkeypatch.setattr(bounded, "tasks_for", lambda spark, n, *a: groups.append(n) or real(spark, n, *a))
+    got = bounded.top_products(users, items, 5, bucket=3, block=5)
+    rows = {}
+    for r in got.table.orderBy("user_id", "rank").collect():
+        rows.setdefault(r.user_id, []).append((round(r.score, 9), r.item_id))
+    assert rows == brute(u, v, 5, set(), False)
+    assert len(groups) == 1 and groups[0] <= 8  # blocks of 5 users, each with all buckets it needs
