@@ -3,9 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from prefmill.operators import cells as C, factor
+from prefmill.operators import cells as C, factor, nmf, pairmodel, scale
 from prefmill.operators.scale import Span
-from prefmill.plans import jobs
+from prefmill.plans import jobs, queries as Q
+from prefmill.session import freeze
 
 
 def counted(monkeypatch, module, name):
@@ -38,3 +39,16 @@ def test_two_halves_in_one_pass_equal_two_passes(spark):
         near = np.dot(un[u], vn[v])
         far = np.dot(uf[u], vf[v]) if uf[u] and vf[v] else 0.0
         assert np.isclose(score, ((near - 0.1) / 1.9 if near > 0 else 0.0) - 0.5 * (far > 0))
+
+
+def test_embeddings_multiply_the_ratings_once(spark, tiny, monkeypatch):
+    r = tiny[1]
+    pos = nmf.nmf_fit(freeze(scale.minmax_positive(freeze(C.item_gram(r)))), 2, 1)
+    neg = Q._graded_cross_nmf(r, r, 2, 1)
+    want = pairmodel.two_sided_embeddings(C.graded(r), pos.rows, pos.cols, neg.rows, neg.cols, 2)
+    made = counted(monkeypatch, C, "item_gram")
+    got = Q._embeddings(r, r, 2, 1)
+    assert len(made) == 1  # both sides are factored from the same S
+    for a, b, name in ((got.users, want.users, "user_id"), (got.items, want.items, "item_id")):
+        a, b = ({x[name]: x["features"] for x in t.collect()} for t in (a, b))
+        assert a.keys() == b.keys() and all(np.allclose(a[i], b[i]) for i in a)
