@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import freeze, scratch_path
+from ..session import freeze, scratch_path, shuffles_dropped
 from .kernels import new_run, ranges, sliding_min
 
 LAST = (1 << 63) - 1
@@ -120,8 +120,9 @@ def stage(docs: DataFrame) -> Staged:
     packed = plain.mapInArrow(run, "block long, ords array<long>, digests array<binary>, pack binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"staged_{uuid.uuid4().hex}"
-    packed.repartition(n, "block").write.bucketBy(n, "block").option("path", scratch_path(spark, "blocks")).option(
-        "compression", "uncompressed").saveAsTable(name)
+    with shuffles_dropped(spark):
+        packed.repartition(n, "block").write.bucketBy(n, "block").option("path", scratch_path(spark, "blocks")).option(
+            "compression", "uncompressed").saveAsTable(name)
     table = spark.table(name)
     each = table.select("block", F.posexplode(F.arrays_zip("ords", "digests")).alias("idx", "d")).select(
         "block", "idx", F.col("d.ords").alias("ord"), F.col("d.digests").alias("digest"))

@@ -10,9 +10,11 @@ tries for the groups that still share their prefix. Runs of equal suffixes are
 repeated strings; the smallest id of a run owns it. Only the places of windows
 owned by a smaller id go back to the blocks.
 
-An anchor in more than ``hot`` blocks is not gathered in one bucket: its windows
-become rows, are reduced to their smallest id by an aggregate and joined back,
-which Spark can split.
+An anchor in more than ``hot`` blocks is not gathered in one bucket: the bytes of
+its windows travel in two parts, those with most of their other bytes before it and
+those with most behind, each to the bucket of all that its windows share (33 bytes
+where ``width`` is 50). They travel without their places, so a block sends a part
+once however often it has it; the owners come back and the block looks up its places.
 
 Null texts count as empty; a null doc_id comes after all others; rows with the
 same id do not remove each other's bytes. Extra columns are ignored.
@@ -32,7 +34,8 @@ from .kernels import combine, new_run, ranges, word_at_each_byte
 GRAM = 16
 SHALLOW = 3  # digits of eight bytes before the tries take over
 CHUNK = 200_000  # suffixes sorted at a time
-_KINDS = (np.uint64, np.int64, np.uint8, np.int64, np.int64, np.int32, np.int32)
+_KINDS = (np.uint32, np.int32, np.uint8, np.int32, np.int64, np.int32, np.int32)
+_HOT_KINDS = (np.uint32, np.int32, np.uint8, np.int64)
 
 
 def grams(block: Block, skip: np.ndarray, width: int):
@@ -57,6 +60,51 @@ def _contexts(block: Block, lo, hi, width: int):
     return list(seen), which
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(put_arrays(*arrays))
+
+
+def _unpack(payload: bytes, *kinds) -> list[np.ndarray]:
+    import zstandard
+
+    return get_arrays(zstandard.ZstdDecompressor().decompress(payload), *kinds)
+
+
+def _hot_parts(h: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int):
+    """The windows of hot anchors in parts: keys, first and last window.
+
+    The windows of a part share a gram and half of what else they hold, and the key
+    is of that. Equal windows have their anchor at the same place, so the same key.
+    """
+    reach = (width - GRAM + 1) // 2
+    cut = np.clip(at - reach + 1, lo, hi + 1)  # from here on windows reach further behind the anchor than before it
+    left, right = np.flatnonzero(cut > lo), np.flatnonzero(cut <= hi)
+    return (np.concatenate([combine(h[at[left] - reach], h[at[left]]), combine(h[at[right] + reach], h[at[right]])]),
+            np.concatenate([lo[left], cut[right]]), np.concatenate([cut[left] - 1, hi[right]]))
+
+
+def _hot_contexts(block: Block, h, at, lo, hi, width: int, buckets: int):
+    """Different contexts of hot anchors with their keys and buckets, and the places (context, document, first window, number)."""
+    keys, lo, hi = _hot_parts(h, at, lo, hi, width)
+    contexts, which = _contexts(block, lo, hi, width)
+    key = np.empty(len(contexts), np.uint64)
+    key[which] = keys
+    doc = np.searchsorted(block.start, lo, side="right") - 1
+    return contexts, key, ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), (which, doc, lo - block.start[doc], hi - lo + 1)
+
+
+def _lost_runs(lost: np.ndarray, n: np.ndarray):
+    """Runs of true in rows of ``n`` flags, laid end to end: the row, the first flag and the number of flags of each."""
+    row = np.repeat(np.arange(len(n)), n)
+    inside = ranges(np.zeros(len(n), np.int64), n)
+    edges = new_run(row, lost)
+    first, ends = np.flatnonzero(edges & lost), np.flatnonzero(edges)
+    stop = np.append(ends, len(lost))[np.searchsorted(ends, first, side="right")]
+    return row[first], inside[first], stop - first
+
+
 def deep_shallow(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order rows of big-endian digits; returns the order and, in that order, where a run of equal rows begins.
 
@@ -159,7 +207,10 @@ def window_owners(anchor: np.ndarray, contexts: list[bytes], owner: np.ndarray,
 
 
 def _send(staged: blocks.Staged, masks: DataFrame, width: int) -> DataFrame:
-    """(bucket, block, payload): the different contexts of repeated anchors with their places."""
+    """(bucket, block, payload): the different contexts of repeated anchors with their places.
+
+    The bucket -1 - b holds parts of hot anchors, each with the least id that has it in the block.
+    """
     buckets = staged.buckets
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -168,7 +219,18 @@ def _send(staged: blocks.Staged, masks: DataFrame, width: int) -> DataFrame:
         for pack in left.column("pack").to_pylist() if states else []:
             block = blocks.unpack(pack)
             h, (at, lo, hi) = grams(block, skip, width)
-            keep = np.flatnonzero(blocks.anchor_states(h[at], states, buckets) == 1)
+            state = blocks.anchor_states(h[at], states, buckets)
+            keep = np.flatnonzero(state == 2)
+            if len(keep):
+                contexts, hot_key, bucket, (which, doc, _, _) = _hot_contexts(block, h, at[keep], lo[keep], hi[keep], width, buckets)
+                least = np.full(len(contexts), LAST, np.int64)
+                np.minimum.at(least, which, block.ords[doc])
+                lengths = np.array([len(c) for c in contexts], np.int32)
+                for b in np.unique(bucket):
+                    c = np.flatnonzero(bucket == b)
+                    rows.append((-1 - int(b), key[0].as_py(), _pack(
+                        hot_key[c].astype(np.uint32), lengths[c], np.frombuffer(b"".join([contexts[i] for i in c.tolist()]), np.uint8), least[c])))
+            keep = np.flatnonzero(state == 1)
             h, lo, hi = h[at[keep]], lo[keep], hi[keep]
             contexts, which = _contexts(block, lo, hi, width)
             doc = np.searchsorted(block.start, lo, side="right") - 1
@@ -177,12 +239,12 @@ def _send(staged: blocks.Staged, masks: DataFrame, width: int) -> DataFrame:
             bucket = ((h[first] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             places = np.bincount(which, minlength=len(contexts))
             begin = np.cumsum(places) - places
-            lengths = np.array([len(c) for c in contexts], np.int64)
+            lengths = np.array([len(c) for c in contexts], np.int32)
             for b in np.unique(bucket):
                 c = np.flatnonzero(bucket == b)
                 loc = order[ranges(begin[c], places[c])]
-                rows.append((int(b), key[0].as_py(), put_arrays(
-                    h[first[c]], lengths[c], np.frombuffer(b"".join([contexts[i] for i in c.tolist()]), np.uint8), places[c],
+                rows.append((int(b), key[0].as_py(), _pack(
+                    h[first[c]].astype(np.uint32), lengths[c], np.frombuffer(b"".join([contexts[i] for i in c.tolist()]), np.uint8), places[c].astype(np.int32),
                     block.ords[doc[loc]], doc[loc].astype(np.int32), (lo[loc] - block.start[doc[loc]]).astype(np.int32))))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(
             zip(*rows) if rows else ((),) * 3, (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "block", "payload"])
@@ -191,12 +253,43 @@ def _send(staged: blocks.Staged, masks: DataFrame, width: int) -> DataFrame:
 
 
 def _resolve(sent: DataFrame, width: int) -> DataFrame:
-    """(block, places): windows owned by a smaller id, as (document, first start, number) triples."""
+    """(block, bucket, places): windows owned by a smaller id, as (document, first start, number) triples.
+
+    For hot anchors, whose rows name a bucket: the owners of all windows the block sent there, as (owner, number) runs.
+    """
+    def hot(bucket: int, rows: pa.Table) -> pa.Table:
+        seen: dict[bytes, int] = {}
+        keys, which, least = [], [], []
+        for payload in rows.column("payload").to_pylist():
+            key, sizes, data, ords = _unpack(payload, *_HOT_KINDS)
+            raw, at = data.tobytes(), 0
+            mine = np.empty(len(key), np.int64)
+            for i, (n, k) in enumerate(zip(sizes.tolist(), key.tolist())):
+                mine[i] = c = seen.setdefault(raw[at:at + n], len(seen))
+                if c == len(keys):
+                    keys.append(k)
+                at += n
+            which.append(mine), least.append(ords)
+        contexts = list(seen)
+        owner = np.full(len(contexts), LAST, np.int64)
+        np.minimum.at(owner, np.concatenate(which), np.concatenate(least))
+        owners, count = window_owners(np.array(keys, np.uint64), contexts, owner, width)
+        begin = np.cumsum(count) - count
+        out = []
+        for mine in which:
+            got = owners[ranges(begin[mine], count[mine])]
+            first = np.flatnonzero(new_run(got))
+            out.append(put_arrays(got[first], np.diff(np.append(first, len(got)))))
+        return pa.Table.from_arrays([rows.column("block"), pa.array([bucket] * len(out), pa.int32()), pa.array(out, pa.binary())],
+                                    ["block", "bucket", "places"])
+
     def run(rows: pa.Table) -> pa.Table:
+        if (bucket := rows.column("bucket")[0].as_py()) < 0:
+            return hot(-1 - bucket, rows)
         seen: dict[bytes, int] = {}
         which, loc_ctx, anchor, row_of, ords, docs, starts = [], [], [], [], [], [], []
         for r, payload in enumerate(rows.column("payload").to_pylist()):
-            h, sizes, data, places, o, d, s = get_arrays(payload, *_KINDS)
+            h, sizes, data, places, o, d, s = _unpack(payload, *_KINDS)
             raw, at = data.tobytes(), 0
             mine = []
             for n, x in zip(sizes.tolist(), h.tolist()):
@@ -218,14 +311,8 @@ def _resolve(sent: DataFrame, width: int) -> DataFrame:
         least = np.minimum.reduceat(owners, begin) if len(begin) else owners
         loc = np.flatnonzero(least[loc_ctx] < ords)
         n = count[loc_ctx[loc]]
-        lost = owners[ranges(begin[loc_ctx[loc]], n)] < np.repeat(ords[loc], n)
-        place = np.repeat(np.arange(len(loc)), n)
-        inside = ranges(np.zeros(len(n), np.int64), n)
-        begins = new_run(place, lost) & lost if len(lost) else lost
-        first = np.flatnonzero(begins)
-        ends = np.flatnonzero(new_run(place, lost)) if len(lost) else first
-        stop = np.append(ends, len(lost))[np.searchsorted(ends, first, side="right")]
-        l = loc[place[first]]
+        place, inside, number = _lost_runs(owners[ranges(begin[loc_ctx[loc]], n)] < np.repeat(ords[loc], n), n)
+        l = loc[place]
         block_of = rows.column("block").to_numpy()
         out_block, out = [], []
         by = np.argsort(row_of[l], kind="stable")
@@ -233,21 +320,51 @@ def _resolve(sent: DataFrame, width: int) -> DataFrame:
         for a, b in zip(cut, np.append(cut[1:], len(by))):
             i = by[a:b]
             out_block.append(int(block_of[row_of[l[i[0]]]]))
-            out.append(put_arrays(docs[l[i]], (starts[l[i]] + inside[first[i]]).astype(np.int32), (stop[i] - first[i]).astype(np.int32)))
-        return pa.Table.from_arrays([pa.array(out_block, pa.int64()), pa.array(out, pa.binary())], ["block", "places"])
+            out.append(put_arrays(docs[l[i]], (starts[l[i]] + inside[i]).astype(np.int32), number[i].astype(np.int32)))
+        return pa.Table.from_arrays([pa.array(out_block, pa.int64()), pa.nulls(len(out), pa.int32()), pa.array(out, pa.binary())],
+                                    ["block", "bucket", "places"])
+
+    return sent.groupBy("bucket").applyInArrow(run, "block long, bucket int, places binary")
+
+
+def _hot_places(staged: blocks.Staged, masks: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+    """(block, places) of the windows of hot anchors, from the owners that ``_resolve`` gave by block and bucket."""
+    buckets = staged.buckets
+    side = blocks.side_rows(staged, masks).withColumn("places", F.lit(None).cast("binary")).unionByName(
+        owners.select("block", "bucket", F.lit(None).cast("binary").alias("payload"), "places"))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        given = right.filter(right.column("places").is_valid())
+        known = dict(zip(given.column("bucket").to_pylist(), given.column("places").to_pylist()))
+        out = []
+        for pack in left.column("pack").to_pylist() if known else []:
+            skip, states = blocks.split_side(right.filter(right.column("places").is_null()))
+            block = blocks.unpack(pack)
+            h, (at, lo, hi) = grams(block, skip, width)
+            keep = np.flatnonzero(blocks.anchor_states(h[at], states, buckets) == 2)
+            contexts, _, bucket, (which, doc, start, n) = _hot_contexts(block, h, at[keep], lo[keep], hi[keep], width, buckets)
+            count = np.array([len(c) for c in contexts], np.int64) - width + 1
+            begin = np.cumsum(count) - count
+            owner = np.empty(int(count.sum()), np.int64)
+            for b, payload in known.items():
+                c = np.flatnonzero(bucket == b)
+                owner[ranges(begin[c], count[c])] = np.repeat(*get_arrays(payload, np.int64, np.int64))
+            place, inside, number = _lost_runs(owner[ranges(begin[which], n)] < np.repeat(block.ords[doc], n), n)
+            out.append(put_arrays(doc[place].astype(np.int32), (start[place] + inside).astype(np.int32), number.astype(np.int32)))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(out), pa.int64()), pa.array(out, pa.binary())], ["block", "places"])
 
-    return sent.groupBy("bucket").applyInArrow(run, "block long, places binary")
+    return staged.by_block(side).applyInArrow(run, "block long, places binary")
 
 
 def repeats(docs: DataFrame, width: int = 50, hot: int = 1024) -> tuple[blocks.Staged, DataFrame]:
     """The staged table and (block, places) of all windows that also start in a smaller document."""
     staged = blocks.stage(docs)
     masks = freeze(blocks.repeated_anchors(staged, lambda b, skip: grams(b, skip, width), hot))
-    places = _resolve(_send(staged, masks, width), width)
-    if masks.where(blocks.any_hot()).limit(1).count():
-        places = places.unionByName(blocks.hot_places(
-            staged, masks, lambda b, skip: grams(b, skip, width), lambda b, w: b.data[w:w + width].tobytes(), lambda b: b.start).select("block", "places"))
-    return staged, freeze(places)
+    found = freeze(_resolve(_send(staged, masks, width), width))
+    places, owners = found.where("bucket IS NULL").select("block", "places"), found.where("bucket IS NOT NULL")
+    if owners.limit(1).count():
+        places = places.unionByName(freeze(_hot_places(staged, masks, owners, width)))
+    return staged, places
 
 
 def dedup(docs: DataFrame, width: int = 50, hot: int = 1024) -> DataFrame:

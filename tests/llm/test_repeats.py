@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prefmill.llm import blocks, debruijn_dedup, suffix_dedup
 from prefmill.llm.kernels import sliding_min, word_at_each_byte
@@ -105,6 +106,48 @@ def test_spans_do_not_depend_on_what_is_hot(spark, monkeypatch, hot):
     assert all((got[d].n_removed, got[d].n_spans, got[d].longest) == (60, 1, 60) for d in range(1, 12))
 
 
+def test_hot_windows_travel_packed(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    rnd = random.Random(7)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    passage = text(900)
+    rows = [(d, text(rnd.randint(40, 90)) + passage * (1 + d % 2) + text(rnd.randint(40, 90))) for d in range(20)]
+    written = []
+
+    def freeze(df, plain=blocks.freeze):
+        out = plain(df)
+        sizes = [F.octet_length(c) for c, kind in out.dtypes if kind == "binary"]
+        written.append(tuple(out.select(F.lit(1).alias("n"), sum(sizes, F.lit(0)).alias("size")).agg(F.sum("n"), F.sum("size")).first()))
+        return out
+
+    for module in (blocks, suffix_dedup):
+        monkeypatch.setattr(module, "freeze", freeze)
+    got = suffix_dedup.dedup(frame(spark, rows), width=50, hot=2).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {d: sum(g) for d, _, g in brute(rows, lambda t: list(t.encode()), 50)}
+    assert sum(n or 0 for n, _ in written) < 900 and sum(b or 0 for _, b in written) < 3 * sum(len(t) for _, t in rows)  # no row a window
+
+    staged = blocks.stage(frame(spark, rows))
+    masks = blocks.repeated_anchors(staged, lambda b, skip: suffix_dedup.grams(b, skip, 50), 2)
+    sent = suffix_dedup._send(staged, masks, 50).where("bucket < 0").agg(F.sum(F.octet_length("payload"))).first()[0]
+    assert sent < 12 * sum(len(t) for _, t in rows)
+
+
+def test_parts_of_hot_anchors_hold_every_window_once():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 100, 3000).astype(np.uint8)
+    data[2000:2400] = data[100:500]
+    block = blocks.Block(np.arange(3), data, np.array([0, 1500, 2990]), np.array([1500, 1490, 10]))
+    for width in (16, 17, 20, 50):
+        h, (at, lo, hi) = suffix_dedup.grams(block, np.zeros(0, np.int64), width)
+        keys, first, last = suffix_dedup._hot_parts(h, at, lo, hi, width)
+        windows = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
+        assert sorted(windows.tolist()) == sorted(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)]).tolist())
+        key_of = {}
+        for k, a, b in zip(keys.tolist(), first.tolist(), last.tolist()):
+            for w in range(a, b + 1):
+                assert key_of.setdefault(data[w:w + width].tobytes(), k) == k
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup.dedup, debruijn_dedup.dedup])
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).count() == 0
