@@ -1,13 +1,15 @@
 """What a task holds, and how often state is written, does not grow with the tables."""
 
+import time
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from prefmill import session
-from prefmill.operators import cells as C, diversity, factor, graph, product, score, sgd
+from prefmill.operators import cells as C, diversity, factor, graph, product, score, search, sgd
 from prefmill.operators.scale import Span
+from prefmill.plans import jobs
 
 
 def peak_mb(work) -> float:
@@ -72,6 +74,49 @@ def test_als_lets_go_of_shuffles_while_it_runs(spark, monkeypatch):
     assert asked["checkpointInterval"] <= 2
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def left_over(before, now, at_most):
+    """What is new once it is no more than ``at_most``, or after a while; Spark deletes in the background."""
+    for _ in range(200):
+        if len(now() - before) <= at_most:
+            break
+        time.sleep(0.1)
+    return now() - before
+
+
+def test_a_grid_of_fits_leaves_nothing_of_them(spark, tiny, monkeypatch):
+    asked, told, fit, plain = [], [], factor.ALS, search.search
+    monkeypatch.setattr(factor, "ALS", lambda **a: asked.append(a["checkpointInterval"]) or fit(**a))
+    monkeypatch.setattr(search, "search", lambda *a, **k: told.append(k["at_once"]) or plain(*a, **k))
+    shuffles = lambda: {n.split("_")[1] for n in shuffle_files(spark)}
+    cached = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    items = spark.createDataFrame([(i, f"t{i}") for i in range(15)], "item_id long, title string")
+    reports = []
+    for cells in (1 << 23, 1):
+        monkeypatch.setattr(jobs, "CELLS_AT_ONCE", cells)
+        files, rows = shuffles(), cached()
+        reports.append({r["metric"]: r["value"] for r in jobs.als_tutorial(spark, tiny[1], items, 3, ranks=(2, 3), regs=(0.1,), iters=(2, 3)).collect()})
+        assert len(left_over(files, shuffles, 1)) <= 1  # adaptive execution forgets one of the list of titles
+        assert not left_over(rows, cached, 0)
+    assert told == [4, 1] and asked == [2] * 5 + [1] * 5
+    assert all(abs(reports[1][k] - v) < 1e-6 for k, v in reports[0].items())
+
+
+def test_dropped_shuffles_are_made_again(spark):
+    before = spark.conf.get(session._DROP)
+    table = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    files, rows = shuffle_files(spark), lambda df: sorted(map(tuple, df.collect()))
+    with session.shuffles_dropped(spark), session.shuffles_dropped(spark):
+        frozen = session.freeze(table)
+        assert not left_over(files, lambda: shuffle_files(spark), 0)
+        assert rows(table) == rows(table) == rows(frozen) == [(k, 143 - (k == 6)) for k in range(7)]
+    assert rows(table) == rows(frozen) and spark.conf.get(session._DROP) == before
+
+
 def test_ranks_are_the_same_however_the_edges_are_laid(spark, monkeypatch):
     edges = spark.createDataFrame([(a, b) for a in range(12) for b in range(a % 5 + 1)] * 2, "src long, dst long")
     plain = {r["id"]: r["rank"] for r in graph.pagerank(edges, 3).collect()}
